@@ -35,13 +35,14 @@ def current_year() -> int:
 def _full_year(year: Column, reference_year: int) -> Column:
     """Two digits become the year within fifty years of the reference year."""
     century = reference_year // 100 * 100
-    guess = century + year.cast("int")
+    number = year.try_cast("int")
+    guess = century + number
     near = (
         F.when(guess >= reference_year + 50, guess - 100)
         .when(guess < reference_year - 50, guess + 100)
         .otherwise(guess)
     )
-    return F.when(F.length(year) == 4, year.cast("int")).when(F.length(year) <= 2, near)
+    return F.when(F.length(year) == 4, number).when(F.length(year) <= 2, near)
 
 
 def _assembled(year: Column, month: Column, day: Column) -> Column:

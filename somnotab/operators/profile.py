@@ -43,22 +43,32 @@ def _value(field: T.StructField) -> Column:
     return column
 
 
-def display_number(value: Column) -> Column:
-    """Two decimals, or scientific notation above a million in absolute value.
+def _two_decimals(number: Column) -> Column:
+    """Exact binary value, rounded half to even."""
+    return F.call_function("format_number", number, F.lit("0.00"))
 
-    Rounds the exact binary value half to even.
-    """
+
+def display_number(value: Column) -> Column:
+    """Two decimals, or scientific notation above a million in absolute value."""
     number = value.cast("double")
-    plain = F.call_function("format_number", number, F.lit("0.00"))
-    scientific = F.regexp_replace(
-        F.call_function("format_number", number, F.lit("0.00E00")), "E", "E+"
+    size = F.abs(number)
+    exponent = F.floor(F.log10(size))
+    digits = F.rint(size / F.pow(F.lit(10.0), exponent - 2))
+    carried = digits >= 1000
+    mantissa = _two_decimals(F.when(carried, F.lit(1.0)).otherwise(digits / 100))
+    power = F.format_string("%02d", exponent + carried.cast("int"))
+    sign = F.when(number < 0, "-").otherwise("")
+    infinite = size == float("inf")
+    return (
+        F.when(infinite, F.concat(sign, F.lit("INF")))
+        .when(size > LARGE, F.concat(sign, mantissa, F.lit("E+"), power))
+        .otherwise(_two_decimals(number))
     )
-    return F.when(F.abs(number) > LARGE, scientific).otherwise(plain)
 
 
 def display_percent(part: Column, whole: Column) -> Column:
     percent = F.try_divide(part, whole) * 100
-    share = F.call_function("format_number", percent, F.lit("0.00"))
+    share = _two_decimals(percent)
     return F.concat(F.coalesce(share, F.lit(NO_NUMBER)), F.lit("%"))
 
 
