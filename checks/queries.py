@@ -89,7 +89,7 @@ def classify_documents(spark, folder):
     documents = table(spark, folder, "documents").select(
         "doc_id", F.lit("doc").alias("ext"), "text"
     )
-    labelled = labelling.with_labels(labelling.with_normal_text(documents))
+    labelled = labelling.with_labels(documents)
     return labelling.explode_labels(labelled).select("doc_id", "exam_type")
 
 

@@ -45,6 +45,19 @@ def phrase_key(normal: Column) -> Column:
     return F.lower(normal)
 
 
+def unfolded_pattern(words: tuple[str, ...]) -> str:
+    """Pattern that finds folded, lower-case words in raw text, whatever its accents and case."""
+    spellings: dict[str, str] = {}
+    for raw, folded in zip(FOLDED_FROM, FOLDED_TO):
+        if folded.islower():
+            spellings[folded] = spellings.get(folded, folded) + raw
+
+    def letter(c: str) -> str:
+        return f"[{spellings[c]}]" if c in spellings else c
+
+    return "(?iu)" + "|".join("".join(letter(c) for c in word) for word in words)
+
+
 def contains_any(key: Column, phrases: tuple[str, ...]) -> Column:
     """True when any of the (lower-case) phrases occurs in the key."""
     test = key.contains(phrases[0])

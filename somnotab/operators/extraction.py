@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somnotab.functions import text as tx
-from somnotab.operators.labelling import OK
+from somnotab.operators.labelling import OK, computed_once
 from somnotab.specs.exams import EXTRACTORS, Extractor, extractor_for
 from somnotab.specs.fields import Field
 
@@ -177,9 +177,8 @@ def extract_all(
         number = F.when(mine, i) if number is None else number.when(mine, i)
     work = _Projections(section, extractors, dispatch=True)
     keep = [c for c in slices.columns if c != section]
-    return _with_regions(slices.withColumn("_extractor", number), work).select(
-        *keep, work.record().alias("record")
-    )
+    rows = _with_regions(slices.withColumn("_extractor", number), work)
+    return computed_once(rows.select(*keep, work.record().alias("_record")), "_record", "record")
 
 
 def records_of(extracted: DataFrame, exam: str, ext: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somnotab.functions import text as tx
-from somnotab.specs.exams import EXAMS, EXTRACTORS, READABLE, UNKNOWN, Exam
+from somnotab.specs.exams import EXAMS, EXTRACTORS, HINT_WORDS, READABLE, UNKNOWN, Exam
 
 # Outcome of a (report, label) row.
 OK = "ok"
@@ -42,16 +42,27 @@ def with_normal_text(reports: DataFrame) -> DataFrame:
     return reports.withColumn("normal", tx.normalize(F.col("text"))).drop("text")
 
 
-def with_labels(normalised: DataFrame) -> DataFrame:
-    """Add ``labels``; NULL for files that are not read or could not be decoded.
+def with_labels(reports: DataFrame) -> DataFrame:
+    """Replace ``text`` by its normal form and add ``labels``.
 
-    The lower-cased key is its own column so that the eight phrase tests share it.
+    ``labels`` is NULL for files that are not read or could not be decoded. Every phrase holds
+    one of a few hint words, and one search of the raw text for these tells most foreign
+    documents apart: they are unknown without being normalised (``normal`` stays NULL). The
+    lower-cased key is a column of its own, so that all phrase tests share it.
     """
-    readable = F.lower("ext").isin(*READABLE) & F.col("normal").isNotNull()
+    readable = F.lower("ext").isin(*READABLE) & F.col("text").isNotNull()
+    hinted = F.col("text").rlike(tx.unfolded_pattern(HINT_WORDS))
     return (
-        normalised.withColumn("_key", F.when(readable, tx.phrase_key(F.col("normal"))))
-        .withColumn("labels", F.when(F.col("_key").isNotNull(), exam_labels(F.col("_key"))))
-        .drop("_key")
+        reports.withColumn("readable", F.coalesce(readable, F.lit(False)))
+        .withColumn("normal", F.when(F.col("readable") & hinted, tx.normalize(F.col("text"))))
+        .withColumn("_key", tx.phrase_key(F.col("normal")))
+        .withColumn(
+            "labels",
+            F.when(F.col("_key").isNotNull(), exam_labels(F.col("_key"))).when(
+                F.col("readable"), F.array(F.lit(UNKNOWN))
+            ),
+        )
+        .drop("_key", "readable", "text")
     )
 
 
@@ -63,12 +74,12 @@ def explode_labels(labelled: DataFrame) -> DataFrame:
     )
 
 
-def outcome(ext: Column, normal: Column, label: Column, section: Column) -> Column:
+def outcome(ext: Column, label: Column, section: Column) -> Column:
     """Why a (report, label) row can or cannot be extracted."""
     dispatched = F.array(*[F.lit(f"{e.exam}.{e.ext}") for e in EXTRACTORS])
     return (
         F.when(~F.coalesce(ext.isin(*READABLE), F.lit(False)), UNSUPPORTED)
-        .when(normal.isNull(), UNREADABLE)
+        .when(label.isNull(), UNREADABLE)
         .when(label == UNKNOWN, UNKNOWN_TYPE)
         .when(section.isNull(), NO_SLICE)
         .when(~F.array_contains(dispatched, F.concat_ws(".", label, ext)), NO_EXTRACTOR)
@@ -83,12 +94,22 @@ def label_and_slice(reports: DataFrame) -> DataFrame:
     so the scan's partitioning is kept and nothing is shuffled. The normal form is computed
     once, before the explode, and dropped after the section is cut.
     """
-    exploded = explode_labels(with_labels(with_normal_text(reports)))
-    cut = exploded.withColumn("ext", F.lower("ext")).withColumn(
-        "_cut", exam_slice(F.col("exam_type"), F.col("normal"))
+    exploded = explode_labels(with_labels(reports)).withColumn("ext", F.lower("ext"))
+    cut = exploded.withColumn("_cut", exam_slice(F.col("exam_type"), F.col("normal")))
+    section = tx.blank_to_null(F.col("_section"))
+    return (
+        computed_once(cut.drop("normal"), "_cut", "_section")
+        .withColumn("section", section)
+        .drop("_section")
+        .withColumn("status", outcome(F.col("ext"), F.col("exam_type"), F.col("section")))
     )
-    sliced = cut.withColumn("section", tx.blank_to_null(F.col("_cut"))).drop("_cut")
-    return sliced.withColumn(
-        "status",
-        outcome(F.col("ext"), F.col("normal"), F.col("exam_type"), F.col("section")),
-    ).drop("normal")
+
+
+def computed_once(frame: DataFrame, column: str, name: str) -> DataFrame:
+    """Rename an expensive column across a fence.
+
+    A filter on a computed column is moved below the projection and computes it again. It is
+    not moved below a generator, so the column passes through one that yields its single value.
+    """
+    others = [c for c in frame.columns if c != column]
+    return frame.select(*others, F.explode(F.array(column)).alias(name))

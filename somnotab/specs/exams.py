@@ -58,6 +58,10 @@ EXAMS = (
 )
 
 
+# Words of which every recognition phrase holds at least one.
+HINT_WORDS = ("informe", "estadisticas")
+
+
 @dataclass(frozen=True)
 class Extractor:
     """Field list for one exam type in one file type.
