@@ -199,7 +199,8 @@ def layout_variant(spark, folder):
     )
     text = tx.normalize(F.concat_ws(" ", F.col("p_name"), heading, F.col("p_brand")))
     marks = extractor_for("BASAL", "doc").variant_marks
-    return parts.select("p_partkey", extraction.layout_variant(text, marks).alias("variant"))
+    key = tx.phrase_key(text)
+    return parts.select("p_partkey", extraction.layout_variant(key, marks).alias("variant"))
 
 
 # --- extraction ---------------------------------------------------------------------------

@@ -80,7 +80,7 @@ class Template:
 
     def reports(self, spark: SparkSession, folder: str) -> DataFrame:
         """``reports(doc_id, path, ext, text)`` with one row per row of the table."""
-        rows = spark.read.parquet(f"{folder}/{self.table}.parquet")
+        rows = spread(spark.read.parquet(f"{folder}/{self.table}.parquet"))
         return rows.select(
             F.col(self.key).alias("doc_id"),
             F.format_string(f"/reports/{self.exam}/%d.{self.ext}", self.key).alias("path"),
@@ -94,6 +94,16 @@ class Template:
         return f"select {self.key} as doc_id, {values} from {self.table}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small test file over all cores.
+
+    A report is a thousand times the size of the row it is rendered from, and a file of one row
+    group is read by one task. A table of many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 NAME = "replace(c_name, '#', ' ')"
 DOCTOR = "'Dr ' || replace(c_name, '#', ' ')"
 COMPANY = "'EPS ' || c_mktsegment"

@@ -41,8 +41,12 @@ def normalize(text: Column) -> Column:
 
 
 def phrase_key(normal: Column) -> Column:
-    """Lower-cased normal form, for byte-wise ``contains`` tests of fixed phrases."""
-    return F.lower(normal)
+    """Lower-cased normal form, for plain searches of fixed phrases.
+
+    The one letter whose lower case is two characters is replaced first, so that the key is as
+    long as the text.
+    """
+    return F.lower(F.replace(normal, F.lit("İ"), F.lit("i")))
 
 
 def unfolded_pattern(words: tuple[str, ...]) -> str:
@@ -77,14 +81,17 @@ def slice_between(normal: Column, start: str | None, end: str) -> Column:
     return F.trim(F.regexp_extract(normal, f"(?isU){opening}(.*?)(?:{end})", 1))
 
 
-def text_after(text: Column, marker: str, ignore_case: bool = True) -> Column:
+def text_after(text: Column, marker: str, flags: str) -> Column:
     """Text after the first match of ``marker``; empty when the marker is absent."""
-    return F.regexp_extract(text, f"(?{'i' if ignore_case else ''}sU){marker}(.*)", 1)
+    return F.regexp_extract(text, f"(?s{flags}){marker}(.*)", 1)
 
 
-def text_before_last(text: Column, marker: str, ignore_case: bool = True) -> Column:
-    """Text before the last match of ``marker``; empty when the marker is absent."""
-    return F.regexp_extract(text, f"(?{'i' if ignore_case else ''}sU)\\A(.*){marker}", 1)
+def text_before_last(text: Column, marker: str, flags: str) -> Column:
+    """Text before the last ``marker``, a plain phrase; empty when it is absent."""
+    if "i" in flags:
+        return F.regexp_extract(text, f"(?s{flags})\\A(.*){marker}", 1)
+    rest = F.length(F.substring_index(text, marker, -1))
+    return F.substring(text, F.lit(1), F.length(text) - rest - len(marker))
 
 
 def blank_to_null(value: Column) -> Column:

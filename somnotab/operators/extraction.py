@@ -2,7 +2,7 @@
 
 An extractor is a list of field specs; the work is three projections over one row:
 
-1. cut the regions the fields name (each distinct region once),
+1. lower-case the section and cut the regions the fields name (each distinct one once),
 2. one ``regexp_extract`` per field on its region,
 3. empty string to NULL.
 
@@ -24,12 +24,18 @@ from somnotab.specs.fields import Field
 MISSING = "N/A"
 
 
-def layout_variant(section: Column, marks: tuple[str, str]) -> Column:
-    """1, 2 or 3 by the presence of the two headings (see the layout marks)."""
-    first, second = (section.rlike(f"(?iU){mark}") for mark in marks)
+def layout_variant(key: Column, marks: tuple[tuple[str, str], ...]) -> Column:
+    """1, 2 or 3 by the two headings found in the lower-cased text.
+
+    The bare words are looked for first, so that most texts without them need no pattern search.
+    """
+    first, second = (key.contains(words) & key.rlike(f"(?U){mark}") for words, mark in marks)
     return F.when(first & second, 2).when(first, 1).otherwise(3)
 
 
+_KEY = "_key"
+
+
 class _Projections:
     """Collects regions and field expressions for one or several extractors."""
 
@@ -37,32 +43,37 @@ class _Projections:
         self.section = section
         self.extractors = extractors
         self.dispatch = dispatch
+        # Region identity to column name and the extractors that use it.
         self.regions: dict[tuple, tuple[str, set[int]]] = {}
-        self._collect()
-
-    def _collect(self) -> None:
-        for number, extractor in enumerate(self.extractors):
+        for number, extractor in enumerate(extractors):
             for spec in _all_fields(extractor):
-                chain = spec.region
-                for depth in range(1, len(chain) + 1):
+                for depth in range(2, len(spec.region) + 1):
                     name = f"_region{len(self.regions)}"
-                    _, users = self.regions.setdefault(chain[:depth], (name, set()))
+                    _, users = self.regions.setdefault(spec.region[:depth], (name, set()))
                     users.add(number)
 
     def _mine(self, numbers) -> Column:
         return F.col("_extractor").isin(*sorted(numbers))
 
-    def region_steps(self) -> list[dict[str, Column]]:
-        """Regions by depth; each depth only reads the one before."""
-        steps: dict[int, dict[str, Column]] = {}
-        for chain, (name, users) in self.regions.items():
-            parent = self.regions[chain[:-1]][0] if len(chain) > 1 else self.section
-            side, marker, cased = chain[-1]
+    def _text(self, region: tuple) -> Column:
+        """The column holding a region; with no cuts, the section or its lower-cased form."""
+        if len(region) > 1:
+            return F.col(self.regions[region][0])
+        return F.col(_KEY if region[0] else self.section)
+
+    def steps(self) -> list[dict[str, Column]]:
+        """The lower-cased section, then regions by depth; each step reads the one before."""
+        key = tx.phrase_key(F.col(self.section))
+        if self.dispatch:
+            key = F.when(F.col("_extractor").isNotNull(), key)
+        steps: dict[int, dict[str, Column]] = {1: {_KEY: key}}
+        for region, (name, users) in self.regions.items():
+            side, marker, flags = region[-1]
             cut = tx.text_after if side == "after" else tx.text_before_last
-            value = cut(F.col(parent), marker, ignore_case=not cased)
+            value = cut(self._text(region[:-1]), marker, flags)
             if self.dispatch:
                 value = F.when(self._mine(users), value)
-            steps.setdefault(len(chain), {})[name] = value
+            steps.setdefault(len(region), {})[name] = value
         return [steps[depth] for depth in sorted(steps)]
 
     def variant(self) -> Column | None:
@@ -70,7 +81,7 @@ class _Projections:
         for number, extractor in enumerate(self.extractors):
             if extractor.variant_marks is None:
                 continue
-            value = layout_variant(F.col(self.section), extractor.variant_marks)
+            value = layout_variant(F.col(_KEY), extractor.variant_marks)
             if self.dispatch:
                 mine = F.col("_extractor") == number
                 result = F.when(mine, value) if result is None else result.when(mine, value)
@@ -79,8 +90,7 @@ class _Projections:
         return result
 
     def _groups(self, spec: Field, group: int) -> Column:
-        source = self.regions[spec.region][0] if spec.region else self.section
-        return F.regexp_extract(F.col(source), spec.regex, group)
+        return F.regexp_extract(self._text(spec.region), spec.regex, group)
 
     def _value(self, spec: Field) -> Column:
         """First non-empty group; empty string when there is none."""
@@ -126,7 +136,7 @@ def _quoted(name: str) -> Column:
 
 def _with_regions(rows: DataFrame, work: _Projections) -> DataFrame:
     frame = rows
-    for step in work.region_steps():
+    for step in work.steps():
         frame = frame.withColumns(step)
     variant = work.variant()
     return frame if variant is None else frame.withColumn("_variant", variant)

@@ -20,9 +20,7 @@ def _unit(separator: str, tail: str, gap: str = " ?") -> str:
     return rf"{separator}(?:\( ?([a-z]+) ?\){gap}{{num}}|{{num}}{gap}\(?([a-z]+)\)?){tail}"
 
 
-_IDENTIFIER = Field(
-    "id", r"\b(?:identificacion|id)\b{cell}([a-z0-9]+)", before=r"\bpeso\b"
-)
+_IDENTIFIER = Field("id", r"\b(?:identificacion|id)\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)")
 
 # Labels, units and stop words of the DOC layout.
 DOC = [
@@ -44,13 +42,12 @@ DOC = [
     ),
     _IDENTIFIER,
     Field("peso", r"peso ?:?.*?({num})(?: |\z)", before=" talla"),
-    Field("medida_peso", _unit("peso{colon}", " "), before="talla", groups=2),
+    Field("medida_peso", _unit("peso{colon}", " (?=.*?talla)"), groups=2),
     Field(
         "talla",
-        r"talla{colon}(?:\( ?[a-z]+ ?\) ?)?({num})(?: ?\(?[a-z]+\)?)? ",
-        before="imc",
+        r"talla{colon}(?:\( ?[a-z]+ ?\) ?)?({num})(?: ?\(?[a-z]+\)?)? (?=.*?imc)",
     ),
-    Field("medida_talla", _unit("talla{colon}", " "), before="imc", groups=2),
+    Field("medida_talla", _unit("talla{colon}", " (?=.*?imc)"), groups=2),
     Field("imc", "imc{colon}({num}) ?cuello"),
     Field("cuello", "cuello{colon}({num}) ?[a-z]* ?perimetro"),
     Field("medida_cuello", r"cuello{colon}{num} ?([^\d ]+) ?perimetro"),
@@ -107,10 +104,10 @@ RTF = [
     Field("edad_meses", r"edad.{0,100}?(\d+) ?meses?.{0,100}?id"),
     Field("edad_dias", r"edad.{0,100}?(\d+) ?dias?.{0,100}?id"),
     _IDENTIFIER,
-    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})", before="talla"),
-    Field("medida_peso", _unit("peso{cell}", "", gap=r" ?\|? ?"), before="talla", groups=2),
-    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})", before="imc"),
-    Field("medida_talla", _unit("talla{cell}", "", gap=r" ?\|? ?"), before="imc", groups=2),
+    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?talla)"),
+    Field("medida_peso", _unit("peso{cell}", "(?=.*?talla)", gap=r" ?\|? ?"), groups=2),
+    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?imc)"),
+    Field("medida_talla", _unit("talla{cell}", "(?=.*?imc)", gap=r" ?\|? ?"), groups=2),
     Field("imc", r"imc{cell}({loose}) ?\|? ?cuello"),
     Field("cuello", r"cuello{cell}(\d+) ?[a-z]+ ?\|? ?perimetro"),
     Field("medida_cuello", r"cuello{cell}\d+ ?([a-z]+) ?\|? ?perimetro"),
@@ -169,10 +166,11 @@ RTF = [
     Field("t90", "t90{sep}({loose}) ?%", after=("interpretacion",)),
 ]
 
-# The two column headings that tell the layout variants apart.
+# The two column headings that tell the layout variants apart, each as the bare
+# words and as they must stand in the lower-cased text.
 # Variant 2 has both, variant 1 only the first, variant 3 is everything else.
-DOC_VARIANT_MARKS = (r"\bsuma ap\b", r"\brera\b")
-RTF_VARIANT_MARKS = (r"\| ?suma ap ?\|", r"\| ?rera ?\|")
+DOC_VARIANT_MARKS = (("suma ap", r"\bsuma ap\b"), ("rera", r"\brera\b"))
+RTF_VARIANT_MARKS = (("suma ap", r"\| ?suma ap ?\|"), ("rera", r"\| ?rera ?\|"))
 
 
 def _event_count(pattern: str) -> Field:

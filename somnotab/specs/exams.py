@@ -74,7 +74,7 @@ class Extractor:
     ext: str
     fields: tuple[Field, ...]
     variants: dict[int, tuple[Field, ...]] = field(default_factory=dict)
-    variant_marks: tuple[str, str] | None = None
+    variant_marks: tuple[tuple[str, str], ...] | None = None
     with_source: bool = False
 
     @property
