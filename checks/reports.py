@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somnotab.operators.labelling import computed_once
+
 K = "c_custkey"
 
 
@@ -61,26 +63,29 @@ class Template:
         return self.helpers[name] if name in self.helpers else self.fields[name]
 
     def rendered(self) -> Column:
+        """The text as one SQL expression."""
         pieces = []
         for part in re.split("(«[^»]*»)", self.text):
             if part.startswith("«"):
-                pieces.append(F.coalesce(self._joined(part[1:-1]), F.lit("")))
+                pieces.append(f"coalesce({self._joined(part[1:-1])}, '')")
             elif part:
                 pieces.append(self._joined(part))
-        return F.concat(*pieces)
+        return F.expr(f"concat({', '.join(pieces)})")
 
-    def _joined(self, part: str) -> Column:
+    def _joined(self, part: str) -> str:
         pieces = []
         for piece in re.split(r"(\{[^}]*\})", part):
             if piece.startswith("{"):
-                pieces.append(F.expr(self.expression(piece[1:-1])))
+                pieces.append(self.expression(piece[1:-1]))
             elif piece:
-                pieces.append(F.lit(piece))
-        return F.concat(*pieces)
+                pieces.append("'" + piece.replace("\\", "\\\\").replace("'", "\\'") + "'")
+        return f"concat({', '.join(pieces)})"
 
     def reports(self, spark: SparkSession, folder: str) -> DataFrame:
         """``reports(doc_id, path, ext, text)`` with one row per row of the table."""
-        rows = spread(spark.read.parquet(f"{folder}/{self.table}.parquet"))
+        return self.render(spread(spark.read.parquet(f"{folder}/{self.table}.parquet")))
+
+    def render(self, rows: DataFrame) -> DataFrame:
         return rows.select(
             F.col(self.key).alias("doc_id"),
             F.format_string(f"/reports/{self.exam}/%d.{self.ext}", self.key).alias("path"),
@@ -588,9 +593,14 @@ TEMPLATES = (
 
 
 def all_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One report of every kind per customer; ``doc_id`` counts the kinds within the key."""
+    """One report of every kind per customer; ``doc_id`` counts the kinds within the key.
+
+    The fence keeps what follows from being planned once per kind.
+    """
+    rows = spark.read.parquet(f"{folder}/customer.parquet")
     kinds = [
-        t.reports(spark, folder).withColumn("doc_id", F.col("doc_id") * 100 + i)
+        t.render(rows).withColumn("doc_id", F.col("doc_id") * 100 + i)
         for i, t in enumerate(TEMPLATES)
     ]
-    return reduce(DataFrame.unionAll, kinds)
+    reports = reduce(DataFrame.unionAll, kinds)
+    return computed_once(reports.withColumnRenamed("text", "_text"), "_text", "text")

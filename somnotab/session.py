@@ -19,6 +19,8 @@ def local_session(cpus: str | int = "*", app: str = "somnotab") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SOMNOTAB_DRIVER_MEMORY", "8g"))
+        # Call-site capture costs a millisecond per column expression, and plans here have many.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
