@@ -1049,7 +1049,7 @@ def _cells(spark, folder):
         F.struct(F.lit(cell).alias("cell"), F.expr(sql).alias("value"))
         for cell, sql in cells.items()
     ]
-    orders = table(spark, folder, "orders")
+    orders = rp.spread(table(spark, folder, "orders"))
     return orders.select(
         F.concat(F.lit("/w/"), F.col("o_orderkey").cast("string"), F.lit(".xlsx")).alias("file"),
         F.inline(F.array(*pairs)),

@@ -597,7 +597,7 @@ def all_reports(spark: SparkSession, folder: str) -> DataFrame:
 
     The fence keeps what follows from being planned once per kind.
     """
-    rows = spark.read.parquet(f"{folder}/customer.parquet")
+    rows = spread(spark.read.parquet(f"{folder}/customer.parquet"))
     kinds = [
         t.render(rows).withColumn("doc_id", F.col("doc_id") * 100 + i)
         for i, t in enumerate(TEMPLATES)
