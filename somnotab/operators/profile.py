@@ -1,10 +1,11 @@
 """Column profile of a table.
 
-Two passes whatever the number of columns: one global aggregate (counts, min / mean / max,
-sample) and one frequency table ``(variable, value, n)``, grouped with map-side partial
-aggregation. Distinct counts and category frequencies both read the frequency table, so there
-is no distinct aggregate per column and no task ever sees all values of a variable: the ten
-most frequent ones are picked by a ranked filter, which Spark pre-limits in every partition.
+The number of passes does not grow with the number of columns. One global aggregate gives
+counts, min / mean / max and samples. A frequency table ``(variable, value, n)``, grouped with
+map-side partial aggregation, gives distinct counts for all columns and category frequencies
+for the listed ones, so there is no distinct aggregate per column. No task ever sees all values
+of a variable: the ten most frequent ones are picked by a ranked filter, which Spark pre-limits
+in every partition, and the others are a difference of two sums.
 """
 
 from __future__ import annotations

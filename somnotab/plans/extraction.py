@@ -45,10 +45,10 @@ class Outputs:
 def run(reports: DataFrame, folder: str, exams: tuple[str, ...] | None = None) -> Outputs:
     """Extract, then append result files and audit lines.
 
-    The texts are read by one job, which stores the extracted rows in the shared folder; the
-    result files and the audit are written from there.
+    The texts are read by one job, which stores the extracted rows in the shared folder by exam
+    and file type; each result file reads its own partition of them, the audit all of them.
     """
-    stored = stage(extracted_reports(reports, exams), "extracted")
+    stored = stage(extracted_reports(reports, exams), "extracted", ("exam_type", "ext"))
     lines = audit(stored)
     audit_path = f"{folder.rstrip('/')}/audit"
     results = sinks.write_results(stored, folder)

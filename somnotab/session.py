@@ -43,12 +43,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="somnotab-")
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
+def stage(frame: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     What several sinks read is computed once, and a lost executor only costs its own tasks.
+    Partitions are rebalanced before they are written: small ones share a file, and one that
+    holds most of the rows is split.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    rows = frame.hint("rebalance", *partition_by) if partition_by else frame
+    rows.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
