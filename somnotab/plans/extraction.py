@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from somnotab.operators.audit import audit, audit_counts
 from somnotab.operators.extraction import extract, extract_all
-from somnotab.operators.labelling import label_and_slice
+from somnotab.operators.labelling import NO_EXTRACTOR, OK, label_and_slice
 from somnotab.session import stage
 from somnotab.sources import sinks
 from somnotab.specs.exams import EXTRACTORS
@@ -24,8 +24,8 @@ def extracted_reports(reports: DataFrame, exams: tuple[str, ...] | None = None)
     chosen = tuple(e for e in EXTRACTORS if exams is None or e.exam in exams)
     slices = label_and_slice(reports)
     if exams is not None:
-        off = (F.col("status") == "ok") & ~F.col("exam_type").isin(*exams)
-        slices = slices.withColumn("status", F.when(off, "no_extractor").otherwise(F.col("status")))
+        off = (F.col("status") == OK) & ~F.col("exam_type").isin(*exams)
+        slices = slices.withColumn("status", F.when(off, NO_EXTRACTOR).otherwise(F.col("status")))
     return extract_all(slices, chosen)
 
 
