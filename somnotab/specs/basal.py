@@ -20,7 +20,7 @@ def _unit(separator: str, tail: str, gap: str = " ?") -> str:
     return rf"{separator}(?:\( ?([a-z]+) ?\){gap}{{num}}|{{num}}{gap}\(?([a-z]+)\)?){tail}"
 
 
-_IDENTIFIER = Field("id", r"\b(?:identificacion|id)\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)")
+_IDENTIFIER = Field("id", r"\bid(?:entificacion)?\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)")
 
 # Labels, units and stop words of the DOC layout.
 DOC = [
@@ -61,8 +61,8 @@ DOC = [
         r"Perimetro Abdominal{colon}{num} ?([^\d ]+) ?Solicita",
         cased=True,
     ),
-    Field("solicita", "solicita{colon}(.*?) ?(?:empresa|eps)"),
-    Field("empresa", rf"(?:empresa|eps){{colon}}(.{{1,50}}?)(?= ?(?:fecha|{_DATE_AHEAD}|\z))"),
+    Field("solicita", "solicita{colon}(.*?) ?e(?:mpresa|ps)"),
+    Field("empresa", rf"e(?:mpresa|ps){{colon}}(.{{1,50}}?)(?= ?(?:fecha|{_DATE_AHEAD}|\z))"),
     Field("fecha_estudio", r"fecha{colon}(\d{1,4}[-/]\d{2}[-/]\d{2,4}) ?procedimiento"),
     Field("epworth", r"epworth{colon}(\d+) ?/24"),
     Field("tiempo_en_cama", "tiempo en cama: ?({num})", after=(_ARCHITECTURE,)),
@@ -92,7 +92,7 @@ DOC = [
     Field("t90", "T90{sep}({loose}) ?%", after=("INTERPRETACION",), cased=True),
 ]
 
-_INDEX_CELLS = r"(?:indice \(nº/h tst\)|indice \[nº/h\])"
+_INDEX_CELLS = r"indice (?:\(nº/h tst\)|\[nº/h\])"
 
 # Labels, units and stop words of the RTF layout, whose table cells end in a pipe.
 RTF = [
@@ -119,7 +119,7 @@ RTF = [
     Field("solicita", r"solicita{cell}(.+?) ?\|? ?empresa"),
     Field(
         "empresa",
-        rf"(?:empresa|eps){{cell}}(.{{1,50}}?)(?= ?\|? ?(?:fecha|{_DATE_AHEAD}|\z))",
+        rf"e(?:mpresa|ps){{cell}}(.{{1,50}}?)(?= ?\|? ?(?:fecha|{_DATE_AHEAD}|\z))",
     ),
     Field(
         "fecha_estudio",
