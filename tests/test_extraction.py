@@ -1,13 +1,15 @@
 """Field specs against a plain model, hand-written reports, long texts, plans."""
 
+import random
 import re
 import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
+from checks import reports as rp
+from somnotab.functions import text as tx
 from somnotab.operators import audit as au
 from somnotab.operators import extraction as ex
 from somnotab.operators import labelling as lb
@@ -100,6 +102,46 @@ def test_titration_regions_equal_one_long_search(spark, texts):
                 assert record[spec.name] == model(spec, text), (exam, ext, spec.name, text)
 
 
+def shuffled_texts(template, seed, n=150):
+    """Texts of the template's own phrases: in order, with gaps, in another order, in other case."""
+    draw = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        filled = re.sub(r"\{[^}]*\}", lambda _: draw.choice(SAMPLES), template.text)
+        filled = " ".join(re.sub("[«»]", "", filled).translate(FOLD).split())
+        words = re.split(r"(?<=[ |])", filled)
+        chunks, i = [], 0
+        while i < len(words):
+            size = draw.randint(1, 8)
+            chunks.append("".join(words[i : i + size]))
+            i += size
+        chunks = [c for c in chunks if draw.random() > 0.15]
+        if draw.random() < 0.3:
+            draw.shuffle(chunks)
+        if draw.random() < 0.2:
+            chunks = chunks + chunks
+        text = "".join(chunks)
+        texts.append(" ".join(draw.choice([text, text, text.upper(), text.lower()]).split()))
+    return texts
+
+
+SAMPLES = ["12,5", "45", "7", "ANA PEREZ", "05/03/2024", "2024/03/05", "R-1", "14/10", "anos", "M", "1:02:03", "kg"]
+FOLD = str.maketrans(tx.FOLDED_FROM, tx.FOLDED_TO)
+
+
+@pytest.mark.parametrize("template", rp.TEMPLATES, ids=lambda t: f"{t.exam}.{t.ext}")
+def test_every_field_equals_one_long_search(spark, template):
+    texts = shuffled_texts(template, f"{template.exam}{template.ext}")
+    extractor, records = extracted(spark, template.exam, template.ext, texts)
+    found = set()
+    for text, record in zip(texts, records):
+        for spec in extractor.fields:
+            assert record[spec.name] == model(spec, text), (spec.name, text)
+            if record[spec.name] is not None:
+                found.add(spec.name)
+    assert len(found) > len(extractor.fields) / 2
+
+
 def test_header_variants(spark):
     texts = [
         "Nombre: ANA PEREZ Edad: 45 anos Id 12",
