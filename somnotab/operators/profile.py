@@ -205,10 +205,24 @@ def frequency_texts(frequencies: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
+def presence(df: DataFrame) -> DataFrame:
+    """``(variable, n_rows, n_present)`` from one global count."""
+    counts = [F.count(_value(f)).alias(f"_present{i}") for i, f in enumerate(df.schema.fields)]
+    lines = [
+        F.struct(
+            F.lit(name).alias("variable"),
+            F.col("_rows").alias("n_rows"),
+            F.col(f"_present{i}").alias("n_present"),
+        )
+        for i, name in enumerate(df.columns)
+    ]
+    return df.agg(F.count("*").alias("_rows"), *counts).select(F.inline(F.array(*lines)))
+
+
 def missing_share(df: DataFrame) -> DataFrame:
     """``(variable, n_missing, missing_share)``."""
     absent = F.col("n_rows") - F.col("n_present")
-    return summary(df).select(
+    return presence(df).select(
         "variable",
         absent.alias("n_missing"),
         display_percent(absent, F.col("n_rows")).alias("missing_share"),
@@ -217,8 +231,7 @@ def missing_share(df: DataFrame) -> DataFrame:
 
 def distinct_share(df: DataFrame) -> DataFrame:
     """``(variable, n_distinct, distinct_share)``; columns without values count zero."""
-    lines = summary(df).select("variable", "n_rows")
-    return lines.join(distinct_counts(value_frequencies(df)), "variable", "left").select(
+    return presence(df).join(distinct_counts(value_frequencies(df)), "variable", "left").select(
         "variable",
         F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
         display_percent(F.coalesce("n_distinct", F.lit(0)), F.col("n_rows")).alias(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from somnotab.operators.audit import audit, audit_counts
-from somnotab.operators.extraction import extract, extract_all
+from somnotab.operators.extraction import extract_all
 from somnotab.operators.labelling import NO_EXTRACTOR, OK, label_and_slice
 from somnotab.session import stage
 from somnotab.sources import sinks
@@ -29,12 +29,6 @@ def extracted_reports(reports: DataFrame, exams: tuple[str, ...] | None = None)
     return extract_all(slices, chosen)
 
 
-def basal_records(reports: DataFrame, ext: str) -> DataFrame:
-    """Baseline records of one file type; the type is filtered before the text is touched."""
-    wanted = reports.where(F.lower("ext") == ext)
-    return extract(label_and_slice(wanted), "BASAL", ext)
-
-
 @dataclass(frozen=True)
 class Outputs:
     results: list[str]
