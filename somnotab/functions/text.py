@@ -50,16 +50,19 @@ def phrase_key(normal: Column) -> Column:
 
 
 def unfolded_pattern(words: tuple[str, ...]) -> str:
-    """Pattern that finds folded, lower-case words in raw text, whatever its accents and case."""
-    spellings: dict[str, str] = {}
-    for raw, folded in zip(FOLDED_FROM, FOLDED_TO):
-        if folded.islower():
-            spellings[folded] = spellings.get(folded, folded) + raw
-
-    def letter(c: str) -> str:
-        return f"[{spellings[c]}]" if c in spellings else c
+    """Pattern that finds folded, lower-case words in raw text, whatever its accents and case.
 
-    return "(?iu)" + "|".join("".join(letter(c) for c in word) for word in words)
+    The accented spellings are listed in both cases, and so is the dotted capital that the
+    phrase key replaces; the rest of the alphabet is plain, so plain case folding is enough.
+    """
+    spellings = {"i": "İ"}
+    for raw, folded in zip(FOLDED_FROM, FOLDED_TO):
+        letter = folded.lower()
+        spellings[letter] = spellings.get(letter, "") + raw
+    patterns = [
+        "".join(f"[{c}{spellings[c]}]" if c in spellings else c for c in word) for word in words
+    ]
+    return "(?i)" + "|".join(patterns)
 
 
 def contains_any(key: Column, phrases: tuple[str, ...]) -> Column:

@@ -42,6 +42,16 @@ def test_hint_words_cover_all_phrases():
             assert any(word in phrase.split() for word in HINT_WORDS), phrase
 
 
+def test_hint_pattern_misses_no_spelling(values):
+    """Whatever folds to a hint word is found in the raw text."""
+    spelled = ["informe", "INFORME", "ínfórmé", "IÑFÓRMÉ", "İnforme", "estadisticas", "ESTADÍSTICAS", "éstádístícás"]
+    near = ["infome", "inform", "informa", "in forme", "estadistica s", ""]
+    pattern = tx.unfolded_pattern(HINT_WORDS)
+    assert values(lambda c: c.rlike(pattern), spelled + near) == [True] * 8 + [False] * 6
+    keys = values(lambda c: tx.phrase_key(tx.normalize(c)), spelled)
+    assert all(any(word in key for word in HINT_WORDS) for key in keys)
+
+
 def reports(spark, texts, ext="doc"):
     rows = [(i, f"/r/{i}", ext, t) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, path string, ext string, text string")

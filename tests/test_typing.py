@@ -1,5 +1,6 @@
 """Numbers, dates, units, derived columns, publication."""
 
+import random
 from datetime import date, datetime
 
 import pandas as pd
@@ -54,6 +55,21 @@ def test_dates(values):
     assert got == [pandas_date(d) for d in DATES]
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_dates_equal_the_model(values):
+    draw = random.Random(5)
+    texts = []
+    for _ in range(800):
+        mark = draw.choice("-/")
+        day, month = draw.randint(0, 40), draw.randint(0, 15)
+        year = draw.choice([draw.randint(1990, 2030), draw.randint(1600, 2300), draw.randint(0, 99)])
+        parts = [draw.choice([f"{v:02d}", str(v)]) for v in (day, month)]
+        order = [*parts, f"{year:02d}"] if draw.random() < 0.6 else [f"{year:02d}", *parts]
+        texts.append(mark.join(order))
+    got = values(lambda c: casts.to_date(c, casts.current_year()), texts)
+    assert dict(zip(texts, got)) == {t: pandas_date(t) for t in texts}
+
+
 def test_iso_dates(values):
     got = values(lambda c: casts.to_date(c, 2026, "iso"), ["2024-05-01", "05/03/2024", "2024-25-05"])
     assert got == [date(2024, 5, 1), date(2024, 3, 5), None]
