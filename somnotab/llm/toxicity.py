@@ -1,8 +1,8 @@
 """Toxic text: a learned lexicon, misspellings by Levenshtein automata, and the context of every hit.
 
 The lexicon is learned from labelled rows: words and word beginnings (four to six letters) that stand in
-several different contexts of toxic documents and hardly ever in others. Contexts, not
-occurrences, are counted, so copies of one document are one piece of evidence. The lexicon is kept
+several toxic documents, in different contexts, and hardly ever in others. A document counts by the context
+of a term's first place, so copies of one document are one piece of evidence. The lexicon is kept
 as a trie. A word is run through the Levenshtein automaton of distance one in step with the trie, and
 only common paths are followed; a term's halves, one of which an edit leaves whole, say beforehand
 whether any path can succeed.
@@ -192,10 +192,12 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = [clean_word(w) for w in text.split()]
                 if toxic:
+                    known = set()
                     for i, word in enumerate(words):
-                        if word.isalpha():
-                            context = _context(words, i)
-                            rows += [(key, context) for key in (word, *stem_keys(word))]
+                        if word.isalpha() and word not in known:
+                            new = {word, *stem_keys(word)} - known
+                            known |= new
+                            rows += [(key, _context(words, i)) for key in new]
                 else:
                     found = {w for w in set(words) if w.isalpha()}
                     clean.update(found | {key for w in found for key in stem_keys(w)})
