@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 20_000
+#: Contexts that a term must stand in, and their least share of the toxic rows.
 CONTEXTS = 3
+SUPPORT = 0.004
 EVIDENCE = 3.0
 WINDOW = 8
 _STEMS = (4, 5, 6)
@@ -105,23 +107,33 @@ class Lexicon:
     def __post_init__(self):
         fuzzy = [t for t in sorted(self.weights) if len(t) >= _FUZZY_LENGTH and not t.endswith("*")]
         self.trie = Trie(fuzzy)
-        self.heads, self.tails = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        # By length of a word one edit away: the halves that it can begin or end with.
+        self.halves: dict[int, list[tuple[set, set, int, int]]] = {}
+        for size in {len(t) + d for t in fuzzy for d in (-1, 0, 1)}:
+            groups: dict[int, tuple[set, set, int, int]] = {}
+            for t in fuzzy:
+                if abs(len(t) - size) <= 1:
+                    half = len(t) // 2
+                    heads, tails, _, _ = groups.setdefault(len(t), (set(), set(), half, len(t) - half))
+                    heads.add(t[:half])
+                    tails.add(t[half:])
+            self.halves[size] = list(groups.values())
+        self.stems = {t[:-1]: w for t, w in self.weights.items() if t.endswith("*")}
 
     def find(self, raw: str) -> tuple[str, float, bool] | None:
         """Term, weight, and whether it was misspelled."""
         word = clean_word(raw)
         if word in self.weights:
             return word, self.weights[word], False
-        best = max((k for k in stem_keys(word) if k in self.weights), key=self.weights.__getitem__, default=None)
-        if best is not None:
-            return best, self.weights[best], False
-        if len(word) >= _FUZZY_LENGTH - 1 and (
-            any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
-        ):
-            term = self.trie.within(word, 1)
-            if term is not None:
-                return term, self.weights[term], True
+        size = len(word)
+        stems = [word[:n] for n in _STEMS if size > n and word[:n] in self.stems]
+        if stems:
+            best = max(stems, key=self.stems.__getitem__)
+            return f"{best}*", self.stems[best], False
+        for heads, tails, head, tail in self.halves.get(size, ()):
+            if word[:head] in heads or word[-tail:] in tails:
+                term = self.trie.within(word, 1)
+                return None if term is None else (term, self.weights[term], True)
         return None
 
 
@@ -227,7 +239,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n_toxic or not n_clean:
         return {}
     evidence = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    chosen = stats.where(F.col("toxic") >= CONTEXTS).withColumn("weight", evidence).where(F.col("weight") >= EVIDENCE)
+    least = max(CONTEXTS, math.ceil(SUPPORT * n_toxic))
+    chosen = stats.where(F.col("toxic") >= least).withColumn("weight", evidence).where(F.col("weight") >= EVIDENCE)
     best = chosen.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(LEXICON_TERMS).collect()
     return {r["term"]: float(r["weight"]) for r in best}
 
