@@ -193,9 +193,13 @@ def word_marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.n
         return a / a.max(axis=axes, keepdims=True)
 
     # What a block does to a message that enters it.
+    # No transition leads to the first word of a text.
+    opening = np.zeros(total, dtype=bool)
+    opening[first[:-1]] = True
     product = np.broadcast_to(np.eye(size, dtype=np.float32), (total, size, size)).copy()
     for t in range(_STEP):
-        moved = scaled((product @ step) * grid[:, t, None, :], (1, 2))
+        reached = product @ step if t else np.where(opening[:, None, None], product, product @ step)
+        moved = scaled(reached * grid[:, t, None, :], (1, 2))
         product = np.where(real[:, t, None, None], moved, product)
     entering = np.ones((total, size), dtype=np.float32)
     leaving = np.ones((total, size), dtype=np.float32)
@@ -208,7 +212,8 @@ def word_marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.n
     forward = np.empty_like(grid)
     message = entering
     for t in range(_STEP):
-        moved = scaled((message @ step) * grid[:, t], 1)
+        reached = message @ step if t else np.where(opening[:, None], message, message @ step)
+        moved = scaled(reached * grid[:, t], 1)
         message = np.where(real[:, t, None], moved, message)
         forward[:, t] = message
     message = leaving

@@ -5,7 +5,7 @@ text in a normal form and remembers, for every piece, the source characters it c
 look-alike letters and digits become ASCII, invisible characters vanish, spelled digits become
 digits, ``at``/``dot`` disguises become ``@`` and ``.``; (3) the same patterns over the normal form
 give spans that are mapped back to source characters. A mapped span is added if it holds
-rewritten characters and touches no base span of its kind; base spans always stay.
+rewritten characters and every base span of its kind that it touches lies within it; base spans always stay.
 
 Defined cases: a null or empty text has no spans; offsets are code points, the end is exclusive;
 repeated rows are searched each for itself. Every pattern takes time linear in the text.
@@ -198,7 +198,8 @@ def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         begin = source if rewritten else source + start - at
         at, source, stop, rewritten = pieces[last]
         finish = stop if rewritten else source + end - at
-        if not any(k == kind and s < finish and begin < e for s, e, k in base):
+        met = [(s, e) for s, e, k in base if k == kind and s < finish and begin < e]
+        if all(begin <= s and e <= finish and (begin, finish) != (s, e) for s, e in met):
             added.append((begin, finish, kind))
     return added
 
