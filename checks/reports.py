@@ -103,10 +103,9 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows of a small test file over all cores.
 
     A report is a thousand times the size of the row it is rendered from, and a file of one row
-    group is read by one task. A table of many files is left as it is.
+    group is read by one task.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 NAME = "replace(c_name, '#', ' ')"

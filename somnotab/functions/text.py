@@ -78,10 +78,11 @@ def slice_between(normal: Column, start: str | None, end: str) -> Column:
 
     ``start=None`` means the beginning of the text. The result is trimmed, and empty when a
     marker is absent or nothing lies between them. If no end follows the first start then no
-    end follows a later one either, so one leftmost lazy match finds the pair.
+    end follows a later one either, so the end is looked for once, from the first start on: a
+    text that repeats the start and lacks the end is read twice, not once per start.
     """
-    opening = r"\A" if start is None else f"(?:{start})"
-    return F.trim(F.regexp_extract(normal, f"(?isU){opening}(.*?)(?:{end})", 1))
+    rest = normal if start is None else text_after(normal, f"(?:{start})", "iU")
+    return F.trim(F.regexp_extract(rest, f"(?isU)\\A(.*?)(?:{end})", 1))
 
 
 def text_after(text: Column, marker: str, flags: str) -> Column:

@@ -117,12 +117,13 @@ def row_uuid(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     Without keys it is random and drawn again whenever the plan is recomputed, so write the
     result once and read it back. With keys it is a digest of them in the same format, and
-    stays the same over retries and runs.
+    stays the same over retries and runs; NULL and blank are different keys, and rows with equal
+    keys share an identifier, so keys must name a row.
     """
     if keys is None:
         return df.withColumn("uuid", F.expr("uuid()"))
     typed = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    lengths = [F.length(t).cast("string") for t in typed]
+    lengths = [F.coalesce(F.length(F.col(k).cast("string")), F.lit(-1)).cast("string") for k in keys]
     digest = F.sha2(F.concat_ws(":", *lengths, *typed), 256)
     parts = [
         F.substring(digest, 1, 8),

@@ -18,9 +18,6 @@ EXCEPTION = "exception"
 # Fixed value: how many offending identifiers are listed.
 LISTED = 10
 
-# Up to how many days of a batch are written into the plan as literals.
-MAX_LITERAL_DAYS = 1000
-
 # Fixed value: what table and column names look like.
 _IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
@@ -68,27 +65,26 @@ def _listed(identifiers: DataFrame, count: str, names: str) -> DataFrame:
 def in_touched_partitions(target: DataFrame, keyed: DataFrame, date_field: str) -> DataFrame:
     """Rows of the target whose date occurs in the batch.
 
-    Few days become a literal list, which prunes partitions when the plan is made; that they
-    are few is looked at, not assumed. More days than that are joined.
+    The first and the last day of the batch are literals, which prune partitions when the plan is
+    made; the days between them that the batch does not hold go by a semi-join on the days.
     """
-    days = keyed.where(F.col("day").isNotNull()).select("day").distinct()
-    some = [row["day"] for row in days.limit(MAX_LITERAL_DAYS + 1).collect()]
-    if len(some) <= MAX_LITERAL_DAYS:
-        return target.where(F.col(date_field).cast("date").isin(*some)) if some else (
-            target.where(F.lit(False))
-        )
-    return target.join(days, target[date_field].cast("date") == days["day"], "left_semi")
+    first, last = keyed.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return target.where(F.lit(False))
+    day = F.col(date_field).cast("date")
+    days = keyed.where(F.col("day").isNotNull()).select(F.col("day").alias("_batch_day")).distinct()
+    return target.where(day.between(first, last)).join(days, day == F.col("_batch_day"), "left_semi")
 
 
 def already_loaded(keyed: DataFrame, target: DataFrame, date_field: str) -> DataFrame:
     """Distinct identifiers of the batch that the target holds in the batch's own partitions.
 
-    Both sides of the identifier join are reduced to distinct values first, with partial
-    aggregation, so a repeated identifier does not make a hot key.
+    The batch is the side that a join builds on, so a small batch leaves the target where it is;
+    its identifiers are distinct before the join, and what meets them is distinct after it.
     """
     touched = in_touched_partitions(target, keyed, date_field)
-    loaded = touched.select(F.col("uuid").cast("string").alias("uuid")).distinct()
-    return keyed.select("uuid").distinct().join(loaded, "uuid", "left_semi")
+    loaded = touched.select(F.col("uuid").cast("string").alias("uuid"))
+    return loaded.join(keyed.select("uuid").distinct(), "uuid", "left_semi").distinct()
 
 
 def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) -> DataFrame:
@@ -152,7 +148,12 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
 
 
 def shaped_rows(batch: DataFrame, date_field: str, now: datetime) -> DataFrame:
-    """Rows as loaded: blanks as NULL, the date as a date, one time stamp per batch."""
+    """Rows as loaded: blanks as NULL, the date as a date, one time stamp per batch.
+
+    ``now`` carries its time zone: a bare time would be read in the zone of the driver.
+    """
+    if now.tzinfo is None:
+        raise ValueError("the time stamp of a batch needs a time zone")
     columns = []
     for field in batch.schema.fields:
         column = F.col(f"`{field.name}`")

@@ -1,8 +1,9 @@
 """Workbook cells to one gated record per file.
 
-Input is the long cell table ``(file, cell, value)``. Only the named cells are kept, before
-the one shuffle on the file, and the pivot is a plain aggregate with partial results on the map
-side, so neither a huge workbook nor a repeated cell gathers in one task.
+Input is the long cell table ``(file, cell, value)``. The pivot is a plain aggregate
+with partial results on the map side, so the shuffle moves one row per file and task, and neither a
+huge workbook nor a repeated cell gathers in one task. A file without any named cell is a file
+that does not pass.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ def is_rehab_workbook(name: Column) -> Column:
 
 def pivot_cells(cells: DataFrame) -> DataFrame:
     """One row per file with a column per named cell."""
-    named = cells.where(F.col("cell").isin(*wb.CELLS))
     values = [F.max(F.when(F.col("cell") == c, F.col("value"))).alias(c) for c in wb.CELLS]
-    return named.groupBy("file").agg(*values)
+    return cells.groupBy("file").agg(*values)
 
 
 def classify(pivoted: DataFrame) -> DataFrame:

@@ -17,12 +17,15 @@ def unify(frames: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
     return curation.row_uuid(union_by_name(frames), keys)
 
 
-def unify_files(spark: SparkSession, paths: list[str], output: str) -> DataFrame:
+def unify_files(
+    spark: SparkSession, paths: list[str], output: str, keys: list[str] | None = None
+) -> DataFrame:
     """Unify result files, write the unified table and read it back.
 
-    Reading back fixes the random identifiers.
+    With ``keys`` identifiers are the same in every run; without, they are random and reading back
+    fixes them.
     """
-    unified = curation.row_uuid(tables.read_results(spark, paths, exclude=output))
+    unified = curation.row_uuid(tables.read_results(spark, paths, exclude=output), keys)
     sinks.write_unified(unified, output)
     return tables.read_table(spark, output)
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from somnotab.operators import ingest
+from somnotab.session import stage
 from somnotab.sources.files import path_exists
 from somnotab.sources.sinks import append_partitioned
 
@@ -21,6 +22,8 @@ def load_batch(
 ) -> dict:
     """Check the batch and append all of it, or nothing.
 
+    The batch is stored first: the gate checks, and the table gets, exactly the stored rows, and
+    the source is read once. ``now`` needs a time zone.
     The answer has the gate's fields and, on success, ``rows_inserted``. Appending is one
     write job, whose files become visible when the job commits; one writer at a time is
     assumed. Failures while running are answered with the status ``exception``.
@@ -31,11 +34,14 @@ def load_batch(
     except ValueError as problem:
         return {"status": ingest.ERROR, "reason": str(problem)}
     path = f"{warehouse.rstrip('/')}/{table}"
+    if now.tzinfo is None:
+        return {"status": ingest.ERROR, "reason": "now needs a time zone"}
     try:
+        frozen = stage(batch, "batch")
         target = spark.read.parquet(path) if path_exists(spark, path) else None
-        answer = ingest.gate(batch, date_field, target).first().asDict()
+        answer = ingest.gate(frozen, date_field, target).first().asDict()
         if answer["status"] == ingest.SUCCESS:
-            rows = ingest.shaped_rows(batch, date_field, now)
+            rows = ingest.shaped_rows(frozen, date_field, now)
             append_partitioned(rows, path, date_field)
             answer["rows_inserted"] = answer["n_rows"]
         return answer

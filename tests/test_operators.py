@@ -1,6 +1,6 @@
 """Schemas, profile, batch gate, workbooks, search, inventory, flows."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from somnotab.sources import files, sinks, tables
 from somnotab.specs import workbook as wb
 from somnotab.streaming.reports import append_new_reports
 
-NOW = datetime(2026, 1, 15, 10, 30)
+NOW = datetime(2026, 1, 15, 10, 30, tzinfo=timezone(timedelta(hours=-5)))
 
 
 def plan_of(frame):
@@ -116,20 +116,45 @@ def test_load(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/t")
     assert stored.count() == 4
     row = stored.where("uuid = 'a' and day = '2024-05-01'").first()
-    assert row["x"] is None and row["day"] == date(2024, 5, 1) and row["migrado"] == NOW
+    assert row["x"] is None and row["day"] == date(2024, 5, 1) and row["migrado"].timestamp() == NOW.timestamp()
     assert stored.where("uuid is null").count() == 1
     keyed = ingest.keyed_rows(batch(spark, [("a", "2024-05-01", "")]), "day")
     plan = plan_of(ingest.in_touched_partitions(stored, keyed, "day"))
     assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [(day" in plan or "PartitionFilters: [cast(day" in plan
 
 
-def test_many_days_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(ingest, "MAX_LITERAL_DAYS", 1)
-    target = spark.createDataFrame([("a", date(2024, 5, 1)), ("b", date(2024, 6, 1))], "uuid string, day date")
-    keyed = ingest.keyed_rows(batch(spark, [("a", "2024-05-01", ""), ("b", "2024-05-02", "")]), "day")
+def test_days_between_are_joined(spark):
+    target = spark.createDataFrame(
+        [("a", date(2024, 5, 1)), ("b", date(2024, 6, 1)), ("c", date(2024, 5, 3))], "uuid string, day date"
+    )
+    rows = [("a", "2024-05-01", ""), ("b", "2024-05-02", ""), ("c", "2024-05-04", "")]
+    keyed = ingest.keyed_rows(batch(spark, rows), "day")
     assert [r["uuid"] for r in ingest.already_loaded(keyed, target, "day").collect()] == ["a"]
 
 
+def test_load_reads_its_source_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+
+    source = batch(spark, [("a", "2024-05-01", "1"), ("b", "2024-05-02", "2")])
+    source = source.mapInArrow(counted, source.schema)
+    assert load_batch(spark, source, str(tmp_path), "t", "day", NOW)["rows_inserted"] == 2
+    assert seen.value == 2
+    bare = load_batch(spark, source, str(tmp_path), "t", "day", datetime(2026, 1, 1))
+    assert bare["status"] == "error"
+
+
+def test_workbook_without_named_cells_is_rejected(spark):
+    cells = spark.createDataFrame([("/w/x.xlsx", "ZZ9", "v")], "file string, cell string, value string")
+    classified = workbook.classify(workbook.pivot_cells(cells))
+    assert [r["ruta_archivo"] for r in workbook.rejected(classified).collect()] == ["/w/x.xlsx"]
+    assert workbook.accepted(classified).count() == 0
+
+
 def workbook_cells(spark):
     def sheet(name, **cells):
         return [(name, cell, value) for cell, value in cells.items()]

@@ -4,6 +4,7 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from somnotab.functions import text as tx
 from somnotab.operators import labelling as lb
@@ -139,3 +140,19 @@ def test_plan_normalises_once_and_does_not_shuffle(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("translate(") == 1
     assert "Exchange" not in plan
+
+
+def test_slice_is_linear_without_an_end(spark):
+    """Twice the text takes about twice the time, however often the opening words repeat."""
+    import time
+
+    from somnotab.functions.text import slice_between
+
+    def seconds(n):
+        rows = spark.createDataFrame([("estadisticas diarias " + "fecha " * n,)], "x string")
+        start = time.perf_counter()
+        assert rows.select(slice_between(F.col("x"), "fecha", "conclusiones")).first()[0] == ""
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(200_000) < 5
