@@ -98,6 +98,11 @@ def text_before_last(text: Column, marker: str, flags: str) -> Column:
     return F.substring(text, F.lit(1), F.length(text) - rest - len(marker))
 
 
+def text_if_found(text: Column, marker: str, flags: str) -> Column:
+    """The text itself; empty when the marker is absent."""
+    return F.when(~text.rlike(f"(?{flags}){marker}"), "").otherwise(text)
+
+
 def blank_to_null(value: Column) -> Column:
     """NULL for the empty string, which is how Spark reports an unmatched group."""
     return F.when(value != "", value)

@@ -36,6 +36,9 @@ def layout_variant(key: Column, marks: tuple[tuple[str, str], ...]) -> Column:
 _KEY = "_key"
 
 
+_CUTS = {"after": tx.text_after, "before": tx.text_before_last, "needs": tx.text_if_found}
+
+
 class _Projections:
     """Collects regions and field expressions for one or several extractors."""
 
@@ -69,8 +72,7 @@ class _Projections:
         steps: dict[int, dict[str, Column]] = {1: {_KEY: key}}
         for region, (name, users) in self.regions.items():
             side, marker, flags = region[-1]
-            cut = tx.text_after if side == "after" else tx.text_before_last
-            value = cut(self._text(region[:-1]), marker, flags)
+            value = _CUTS[side](self._text(region[:-1]), marker, flags)
             if self.dispatch:
                 value = F.when(self._mine(users), value)
             steps.setdefault(len(region), {})[name] = value

@@ -20,11 +20,11 @@ def _unit(separator: str, tail: str, gap: str = " ?") -> str:
     return rf"{separator}(?:\( ?([a-z]+) ?\){gap}{{num}}|{{num}}{gap}\(?([a-z]+)\)?){tail}"
 
 
-_IDENTIFIER = Field("id", r"\bid(?:entificacion)?\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)")
+_IDENTIFIER = Field("id", r"\bid(?:entificacion)?\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)", needs="peso")
 
 # Labels, units and stop words of the DOC layout.
 DOC = [
-    Field("nombre", "nombre{colon}([a-z0-9., ]+)(?= ?edad)"),
+    Field("nombre", "nombre{colon}([a-z0-9., ]+)(?= ?edad)", needs="edad"),
     Field(
         "edad_anos",
         r"edad{colon}(\d+) ?anos?"
@@ -42,12 +42,13 @@ DOC = [
     ),
     _IDENTIFIER,
     Field("peso", r"peso ?:?.*?({num})(?: |\z)", before=" talla"),
-    Field("medida_peso", _unit("peso{colon}", " (?=.*?talla)"), groups=2),
+    Field("medida_peso", _unit("peso{colon}", " (?=.*?talla)"), groups=2, needs="talla"),
     Field(
         "talla",
         r"talla{colon}(?:\( ?[a-z]+ ?\) ?)?({num})(?: ?\(?[a-z]+\)?)? (?=.*?imc)",
+        needs="imc",
     ),
-    Field("medida_talla", _unit("talla{colon}", " (?=.*?imc)"), groups=2),
+    Field("medida_talla", _unit("talla{colon}", " (?=.*?imc)"), groups=2, needs="imc"),
     Field("imc", "imc{colon}({num}) ?cuello"),
     Field("cuello", "cuello{colon}({num}) ?[a-z]* ?perimetro"),
     Field("medida_cuello", r"cuello{colon}{num} ?([^\d ]+) ?perimetro"),
@@ -61,7 +62,7 @@ DOC = [
         r"Perimetro Abdominal{colon}{num} ?([^\d ]+) ?Solicita",
         cased=True,
     ),
-    Field("solicita", "solicita{colon}(.*?) ?e(?:mpresa|ps)"),
+    Field("solicita", "solicita{colon}(.*?) ?e(?:mpresa|ps)", needs="e(?:mpresa|ps)"),
     Field("empresa", rf"e(?:mpresa|ps){{colon}}(.{{1,50}}?)(?= ?(?:fecha|{_DATE_AHEAD}|\z))"),
     Field("fecha_estudio", r"fecha{colon}(\d{1,4}[-/]\d{2}[-/]\d{2,4}) ?procedimiento"),
     Field("epworth", r"epworth{colon}(\d+) ?/24"),
@@ -104,10 +105,10 @@ RTF = [
     Field("edad_meses", r"edad.{0,100}?(\d+) ?meses?.{0,100}?id"),
     Field("edad_dias", r"edad.{0,100}?(\d+) ?dias?.{0,100}?id"),
     _IDENTIFIER,
-    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?talla)"),
-    Field("medida_peso", _unit("peso{cell}", "(?=.*?talla)", gap=r" ?\|? ?"), groups=2),
-    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?imc)"),
-    Field("medida_talla", _unit("talla{cell}", "(?=.*?imc)", gap=r" ?\|? ?"), groups=2),
+    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?talla)", needs="talla"),
+    Field("medida_peso", _unit("peso{cell}", "(?=.*?talla)", gap=r" ?\|? ?"), groups=2, needs="talla"),
+    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?imc)", needs="imc"),
+    Field("medida_talla", _unit("talla{cell}", "(?=.*?imc)", gap=r" ?\|? ?"), groups=2, needs="imc"),
     Field("imc", r"imc{cell}({loose}) ?\|? ?cuello"),
     Field("cuello", r"cuello{cell}(\d+) ?[a-z]+ ?\|? ?perimetro"),
     Field("medida_cuello", r"cuello{cell}\d+ ?([a-z]+) ?\|? ?perimetro"),
@@ -116,7 +117,7 @@ RTF = [
         "medida_perimetro_abdominal",
         r"perimetro ?abdominal{cell}\d+ ?([a-z]+) ?\|? ?solicita",
     ),
-    Field("solicita", r"solicita{cell}(.+?) ?\|? ?empresa"),
+    Field("solicita", r"solicita{cell}(.+?) ?\|? ?empresa", needs="empresa"),
     Field(
         "empresa",
         rf"e(?:mpresa|ps){{cell}}(.{{1,50}}?)(?= ?\|? ?(?:fecha|{_DATE_AHEAD}|\z))",

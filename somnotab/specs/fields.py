@@ -4,7 +4,9 @@ A pattern is written with the placeholders below and may assume single spaces. I
 long ``marker ... .* ... value`` expressions a field names the *region* it lives in:
 
 * ``after=(m1, m2)``: the text after the first ``m1``, then after the first ``m2`` in that;
-* ``before=m``: the text before the last ``m``, a plain phrase.
+* ``before=m``: the text before the last ``m``, a plain phrase;
+* ``needs=m``: the whole text, but nothing if ``m`` does not occur in it. For patterns that end with
+  a closing word: without one, every opening word would be tried to the end of the text.
 
 For a leftmost search both say the same as the long expression, but a region is cut once per
 record and shared by all fields that name it, and a missing marker leaves nothing to search.
@@ -70,6 +72,7 @@ class Field:
     pattern: str
     after: tuple[str, ...] = ()
     before: str | None = None
+    needs: str | None = None
     cased: bool = False
     groups: int = 1
 
@@ -96,6 +99,8 @@ class Field:
         cuts = tuple(("after", m, self.flags) for m in self.after)
         if self.before is not None:
             cuts += (("before", self.before, self.flags),)
+        if self.needs is not None:
+            cuts += (("needs", self.needs, self.flags),)
         return (self.lowered, *cuts)
 
     def named(self, name: str) -> "Field":

@@ -19,6 +19,7 @@ CAPNOGRAPHY_DOC = [
         Field(
             "nombre_paciente",
             r"Nombre(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad\b)",
+            needs="Edad",
         )
     ),
     Field("edad_paciente", "edad{sep}({num})"),
@@ -28,7 +29,7 @@ CAPNOGRAPHY_DOC = [
     ),
     *cased(
         Field("id_paciente", r"Id{sep}([A-Za-z]?\d{4,10})"),
-        Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha"),
+        Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha", needs="Fecha"),
         Field("fecha_proced", "Fecha{sep}({dmy}|{ymd})(?= ?DATOS)"),
     ),
     Field(
@@ -44,7 +45,7 @@ CAPNOGRAPHY_DOC = [
 
 CAPNOGRAPHY_RTF = [
     *cased(
-        Field("nombre_paciente", r"Nombre(?: del paciente)?:\|([^|]+)\|Edad"),
+        Field("nombre_paciente", r"Nombre(?: del paciente)?:\|([^|]+)\|Edad", needs="Edad"),
         Field("edad_paciente", r"\|Edad\| ?(\d{1,2}) ?anos?\b"),
     ),
     Field("medida_edad_paciente", r"edad\|? ?\d+ ?(\w+)\|? ?id"),
@@ -96,7 +97,7 @@ POLYGRAPHY_DOCX = [
         r"fecha\D{1,10}(\d{1,2}[/-]\d{1,2}[/-]\d{4}"
         r"|\d{1,2} ?(?:de|del)? ?[a-z]+ ?(?:de|del)?\d{4}) ?informacion",
     ),
-    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?id"),
+    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?id", needs="id"),
     Field(
         "id_paciente",
         r"(?:id|cc|ti|ce) ?:? ?([a-z0-9]+)(?=\D*?(?:edad|\z))",

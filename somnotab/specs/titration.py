@@ -14,6 +14,7 @@ def _mask(device: str, alphabet: str, inside_quotes: str) -> list[Field]:
         Field(
             "mascara_marca",
             rf"\b{device}\b es marca ([{alphabet} &.-]+?)(?= y se utilizo mascara)",
+            needs="y se utilizo mascara",
         ),
         Field("mascara_tipo", r"mascara (\w+) tamano"),
         Field(
@@ -40,7 +41,7 @@ _SLEEP_ARCHITECTURE = ("interpretacion arquitectura del sueno:",)
 
 # Labels, units and stop words of the CPAP layouts.
 CPAP_DOC = [
-    Field("nombre_paciente", r"nombre(?: del paciente)?{sep}({words})(?={sep}edad\b)"),
+    Field("nombre_paciente", r"nombre(?: del paciente)?{sep}({words})(?={sep}edad\b)", needs="edad"),
     Field("edad_paciente", "edad{sep}({num})"),
     Field("medida_edad_paciente", r"edad{sep}\d+ ?(anos|meses)\b", cased=True),
     Field("id_paciente", "id{sep}([a-z0-9]{4,20})"),
@@ -75,7 +76,7 @@ CPAP_DOC = [
 
 CPAP_DOCX = [
     *cased(
-        Field("nombre_paciente", "Nombre: ?(.*?) ?Edad"),
+        Field("nombre_paciente", "Nombre: ?(.*?) ?Edad", needs="Edad"),
         Field("edad_paciente", r"Edad{sep}(\d{1,3})"),
     ),
     Field("medida_edad_paciente", r"edad{sep}\d{1,3} ?(\w+)"),
@@ -109,7 +110,7 @@ CPAP_DOCX = [
 ]
 
 _RTF_PATIENT = cased(
-    Field("nombre_paciente", r"Nombre(?: del paciente)?:? ?\|?(.*?)\|Edad"),
+    Field("nombre_paciente", r"Nombre(?: del paciente)?:? ?\|?(.*?)\|Edad", needs="Edad"),
     Field("edad_paciente", r"Edad[:|]? ?(\d{1,3}) ?anos"),
     Field("id_paciente", r"(?:Id|Identificacion)[:|]? ?\|?(\d{5,10})\b"),
 )
@@ -172,7 +173,7 @@ _MEASURE = r"(\d{2,3}(?:[.,]\d+)?)"
 # Labels, units and stop words of the BPAP layouts.
 BPAP_DOC = [
     *cased(
-        Field("nombre_paciente", "Nombre{sep}({two words})(?= Edad)"),
+        Field("nombre_paciente", "Nombre{sep}({two words})(?= Edad)", needs="Edad"),
         Field("edad_paciente", r"Edad{sep}(\d{1,3})"),
         Field("id_paciente", r"Id{sep}(\d{5,12})"),
         Field("peso_paciente", f"Peso{{sep}}{_MEASURE} ?kg"),
@@ -180,8 +181,8 @@ BPAP_DOC = [
         Field("imc_paciente", r"IMC{sep}(\d{2}(?:[.,]\d+)?)"),
         Field("cuello_paciente", f"Cuello{{sep}}{_MEASURE} ?cm"),
         Field("perimetro_abdominal", f"Perimetro Abdominal{{sep}}{_MEASURE} ?cm"),
-        Field("md_solicita", "Solicita{sep}(.*?) Empresa"),
-        Field("eps_paciente", "Empresa{sep}(.*?) Fecha"),
+        Field("md_solicita", "Solicita{sep}(.*?) Empresa", needs="Empresa"),
+        Field("eps_paciente", "Empresa{sep}(.*?) Fecha", needs="Fecha"),
         Field("fecha_proced", "Fecha{sep}({dmy})"),
     ),
     *_CASED_MASK_TIGHT,
@@ -212,8 +213,8 @@ BPAP_RTF = [
         Field("imc_paciente", "IMC[:|]? ?({num})"),
         Field("cuello_paciente", r"Cuello[:|]? ?\|?({num}) ?cm"),
         Field("perimetro_abdominal", "Perimetro Abdominal[:|]? ?({num}) ?cm"),
-        Field("md_solicita", r"Solicita[:|]? ?\|?(.*?) ?\|Empresa"),
-        Field("eps_paciente", r"Empresa[:|]? ?\|?(.*?) ?\|Fecha"),
+        Field("md_solicita", r"Solicita[:|]? ?\|?(.*?) ?\|Empresa", needs="Empresa"),
+        Field("eps_paciente", r"Empresa[:|]? ?\|?(.*?) ?\|Fecha", needs="Fecha"),
     ),
     _RTF_DATE,
     *_CASED_MASK_TIGHT,
@@ -238,7 +239,7 @@ BPAP_RTF = [
 
 # Labels, units and stop words of the automatic CPAP layout.
 AUTOCPAP_DOCX = [
-    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?sexo"),
+    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?sexo", needs="sexo"),
     Field("sexo_paciente", "sexo ?: ?([^:]+?) ?fecha"),
     Field(
         "fecha_estudio",

@@ -211,6 +211,15 @@ def test_long_text_with_many_numbers_is_linear(spark):
     assert time.time() - start < 30
 
 
+@pytest.mark.parametrize("extractor", EXTRACTORS, ids=lambda e: f"{e.exam}.{e.ext}")
+def test_opening_words_without_their_closing_words(spark, extractor):
+    """Each opening word alone, twenty thousand times, with nothing that closes it."""
+    texts = [f"{word} " * 20_000 for word in ("nombre", "Nombre:", "solicita", "Solicita", "id", "talla 5", "es marca")]
+    start = time.time()
+    extracted(spark, extractor.exam, extractor.ext, texts)
+    assert time.time() - start < 20
+
+
 def test_all_extractors_in_one_pass(spark):
     text = (
         "informe de polisomnografia basal con dispositivo mandibular Nombre: ANA Edad: 45 anos "
