@@ -18,16 +18,21 @@ def unify(frames: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
 
 
 def unify_files(
-    spark: SparkSession, paths: list[str], output: str, keys: list[str] | None = None
+    spark: SparkSession,
+    paths: list[str],
+    output: str,
+    keys: list[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Unify result files, write the unified table and read it back.
 
+    ``multi_line`` is for files with line ends in quoted values; it is kept for the way back.
     With ``keys`` identifiers are the same in every run; without, they are random and reading back
     fixes them.
     """
-    unified = curation.row_uuid(tables.read_results(spark, paths, exclude=output), keys)
+    unified = curation.row_uuid(tables.read_results(spark, paths, output, multi_line), keys)
     sinks.write_unified(unified, output)
-    return tables.read_table(spark, output)
+    return tables.read_table(spark, output, multi_line)
 
 
 def typed(unified: DataFrame, reference_year: int, date_mode: str = "compat") -> DataFrame:

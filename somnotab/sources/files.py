@@ -17,6 +17,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, the same for every way to write it."""
+    file_system, hadoop_path = _hadoop_path(spark, path)
+    return file_system.makeQualified(hadoop_path).toString()
+
+
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a folder that is written in full in the place of another."""
+    file_system, old = _hadoop_path(spark, path)
+    file_system.delete(old, True)
+    if not file_system.rename(_hadoop_path(spark, fresh)[1], old):
+        raise OSError(f"could not move {fresh} to {path}")
+
+
 def validate_folder(spark: SparkSession, path: str) -> str:
     """The path as given; an error when it does not exist or is not a folder."""
     file_system, hadoop_path = _hadoop_path(spark, path)

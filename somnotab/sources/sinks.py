@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from somnotab.operators import workbook
 from somnotab.operators.curation import format_manifest, percent_to_fraction
 from somnotab.operators.extraction import records_of, with_missing_text
 from somnotab.session import stage
+from somnotab.sources.files import swap_in
 from somnotab.specs.curated import PERCENT_COLUMNS, ColumnClasses
 from somnotab.specs.exams import EXTRACTORS, Extractor
 
@@ -69,7 +72,10 @@ def write_results(extracted: DataFrame, folder: str) -> list[str]:
 
 
 def write_unified(unified: DataFrame, path: str) -> None:
-    _csv(unified, "overwrite").csv(path)
+    """Written beside its place and moved there when complete: a failure leaves the last one."""
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    _csv(unified, "error").csv(fresh)
+    swap_in(unified.sparkSession, fresh, path)
 
 
 def write_workbooks(classified: DataFrame, folder: str) -> tuple[str, str]:

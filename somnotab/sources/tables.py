@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from somnotab.operators.schema import union_by_name
+from somnotab.sources.files import qualified
 
 # Texts that stand for a missing value in a result file.
 NULL_TEXTS = (
@@ -44,24 +48,39 @@ def read_table(spark: SparkSession, paths: str | list[str], multi_line: bool = F
     return null_texts_to_null(_csv(spark, multi_line).csv(paths))
 
 
-def read_results(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, header)``: the first line of every file, read by one job."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        "value",
+    )
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def read_results(
+    spark: SparkSession, paths: list[str], exclude: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """All result files as one table by column name.
 
-    Files are grouped by header, and each group is one scan, so the plan grows with the number
-    of different headers. ``exclude`` is the output of an earlier run in the same folder. Text
-    stays text: identifiers keep their leading zeros.
+    Every file is read by its own header, also within one folder; files of one header are one scan,
+    so the plan grows with the number of different headers. ``exclude`` is the output of an earlier
+    run in the same folder, however it is spelled. Text stays text: identifiers keep their
+    leading zeros. ``multi_line`` is for files whose quoted values hold line ends.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        if path != exclude:
-            header = tuple(_csv(spark, False).csv(path).columns)
-            groups.setdefault(header, []).append(path)
-    if not groups:
+    left_out = None if exclude is None else qualified(spark, exclude)
+    paths = [path for path in paths if qualified(spark, path) != left_out]
+    if not paths:
         raise ValueError("no result files")
+    layouts = headers(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     frames = []
-    for header, members in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        frames.append(null_texts_to_null(_csv(spark, False).schema(schema).csv(members)))
+    for layout in layouts.orderBy(F.col("files")[0]).collect():
+        [names] = csv.reader([layout["header"].lstrip("\ufeff")])
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        files = [unquote(file) for file in layout["files"]]
+        frames.append(null_texts_to_null(_csv(spark, multi_line).schema(schema).csv(files)))
+    if not frames:
+        raise ValueError("no result files")
     return union_by_name(frames)
 
 

@@ -186,6 +186,22 @@ def test_result_files_are_unified(spark, tmp_path):
         assert len(rows) == 2
 
 
+def test_mixed_headers_line_ends_and_spellings(spark, tmp_path):
+    folder, output = f"{tmp_path}/a b.csv", f"{tmp_path}/unificado.csv"
+    write = lambda rows, names: sinks._csv(spark.createDataFrame(rows, names), "append").csv(folder)
+    write([("1", "70", "170")], "id string, peso string, talla string")
+    write([("2", "180", "80"), ("3", "one\ntwo", "90")], "id string, talla string, peso string")
+    for spelling in (output, f"file:{output}", f"file://{output}/"):
+        frame = plan.unify_files(spark, [folder, spelling], output, keys=["id"], multi_line=True)
+        rows = {r["id"]: (r["peso"], r["talla"]) for r in frame.collect()}
+        assert rows == {"1": ("70", "170"), "2": ("80", "180"), "3": ("90", "one\ntwo")}
+
+
+def test_null_and_blank_keys_differ(spark):
+    frame = spark.createDataFrame([(None,), ("",), ("a",)], "x string")
+    assert len({r["uuid"] for r in curation.row_uuid(frame, ["x"]).collect()}) == 3
+
+
 def test_null_texts(spark):
     texts = ["NA", "None", "null", "NULL", "n/a", "#N/A", "<NA>", "N/A", "-", "na", ""]
     frame = spark.createDataFrame([(t,) for t in texts], "x string")
