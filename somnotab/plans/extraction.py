@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from somnotab.operators.audit import audit, audit_counts
 from somnotab.operators.extraction import extract_all
 from somnotab.operators.labelling import NO_EXTRACTOR, OK, label_and_slice
-from somnotab.session import stage
+from somnotab.session import discard, stage
 from somnotab.sources import sinks
 from somnotab.specs.exams import EXTRACTORS
 
@@ -47,4 +47,6 @@ def run(reports: DataFrame, folder: str, exams: tuple[str, ...] | None = None) -
     audit_path = f"{folder.rstrip('/')}/audit"
     results = sinks.write_results(stored, folder)
     lines.write.mode("append").parquet(audit_path)
-    return Outputs(results, audit_path, audit_counts(lines).collect())
+    counts = audit_counts(lines).collect()
+    discard(stored)
+    return Outputs(results, audit_path, counts)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from somnotab.operators import ingest
-from somnotab.session import stage
+from somnotab.session import discard, stage
 from somnotab.sources.files import path_exists
 from somnotab.sources.sinks import append_partitioned
 
@@ -44,6 +44,7 @@ def load_batch(
             rows = ingest.shaped_rows(frozen, date_field, now)
             append_partitioned(rows, path, date_field)
             answer["rows_inserted"] = answer["n_rows"]
+        discard(frozen)
         return answer
     except Exception as problem:
         return {"status": ingest.EXCEPTION, "reason": str(problem)}

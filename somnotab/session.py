@@ -54,4 +54,13 @@ def stage(frame: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Da
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows = frame.hint("rebalance", *partition_by) if partition_by else frame
     rows.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored.staged_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a staged table once nothing reads it any more; the frame itself, not one made from it."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from somnotab.operators import workbook
 from somnotab.operators.curation import format_manifest, percent_to_fraction
 from somnotab.operators.extraction import records_of, with_missing_text
-from somnotab.session import stage
+from somnotab.session import discard, stage
 from somnotab.sources.files import swap_in
 from somnotab.specs.curated import PERCENT_COLUMNS, ColumnClasses
 from somnotab.specs.exams import EXTRACTORS, Extractor
@@ -85,6 +85,7 @@ def write_workbooks(classified: DataFrame, folder: str) -> tuple[str, str]:
     refused = f"{folder.rstrip('/')}/archivos_no_cumplen_criterios.csv"
     _csv(workbook.accepted(stored), "overwrite").csv(records)
     _csv(workbook.rejected(stored), "overwrite").csv(refused)
+    discard(stored)
     return records, refused
 
 
