@@ -43,8 +43,9 @@ def first_map(shards: int, virtual_slots: int = VIRTUAL_SLOTS) -> list[int]:
 def rebalanced(current: list[int], loads: list[int], shards: int) -> list[int]:
     """An edited map: slots move from the fullest to the emptiest shard while that narrows the gap.
 
-    Among the slots of the fullest shard the one nearest to half the gap moves, so few do. Works on
-    the map alone, whose length is a parameter.
+    Among the slots of the fullest shard the one nearest to half the gap moves, so few do. A shard
+    that can give none, as one huge document may be all it has, is passed over for the next fullest.
+    Works on the map alone, whose length is a parameter.
     """
     edited = list(current)
     total = [0] * shards
@@ -53,19 +54,24 @@ def rebalanced(current: list[int], loads: list[int], shards: int) -> list[int]:
         total[shard] += loads[slot]
         if loads[slot]:
             held[shard].add(slot)
+    settled: set[int] = set()
     for _ in range(4 * len(edited)):
-        full = max(range(shards), key=lambda s: (total[s], -s))
+        full = max(set(range(shards)) - settled, key=lambda s: (total[s], -s), default=None)
+        if full is None:
+            break
         empty = min(range(shards), key=lambda s: (total[s], s))
         gap = total[full] - total[empty]
         fitting = [s for s in held[full] if loads[s] < gap]
         if not fitting:
-            break
+            settled.add(full)
+            continue
         slot = min(fitting, key=lambda s: (abs(2 * loads[s] - gap), s))
         edited[slot] = empty
         held[full].remove(slot)
         held[empty].add(slot)
         total[full] -= loads[slot]
         total[empty] += loads[slot]
+        settled.discard(empty)
     return edited
 
 

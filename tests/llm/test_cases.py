@@ -61,6 +61,11 @@ def test_shards_rebalance():
     sums = [sum(x for x, s in zip(loads, after, strict=True) if s == k) for k in range(8)]
     assert max(sums) - min(sums) < max(loads) / 50
     assert sum(a != b for a, b in zip(first, after, strict=True)) < 100
+    # One huge document keeps its shard over all others, which are brought together all the same.
+    loads = [0] * 512
+    loads[0], loads[1], loads[9], loads[17] = 10**9, 50, 50, 50
+    after = shards.rebalanced(first, loads, 8)
+    assert len({after[s] for s in (0, 1, 9, 17)}) == 4
 
 
 def test_water_level(spark):
