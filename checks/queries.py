@@ -422,8 +422,8 @@ def to_string(spark, folder):
 )
 def transform_report(spark, folder):
     raw = _typing_input(spark, folder)
-    failed = casting.fractional_columns(raw, ["quantity", "price"])
-    return casting.transform_report(casting.cast_columns(raw, _TYPED, 2026), _TYPED, failed)
+    typed, failed = casting.cast_with_failures(raw, _TYPED, 2026)
+    return casting.transform_report(typed, _TYPED, failed)
 
 
 # --- derivations --------------------------------------------------------------------------
@@ -736,6 +736,10 @@ _PROFILED = {
     "fecha_texto": "cast(o_custkey % 5 as string)",
 }
 _CATEGORIES = ["estado", "prioridad", "fecha_texto"]
+_TYPES = {
+    "orden": "bigint", "cliente": "bigint", "importe": "double", "grande": "double",
+    "vacio": "double", "estado": "string", "prioridad": "string", "fecha_texto": "string",
+}
 _NUMBERS = ("orden", "cliente", "importe", "grande", "vacio")
 _PROFILED_SQL = "select " + ", ".join(f"{s} as {n}" for n, s in _PROFILED.items()) + " from orders"
 
@@ -813,18 +817,33 @@ def _sample_sql(n: str) -> str:
     return f"arg_min({n}, orden) filter (where {usable})"
 
 
+# Both sides write a double in their own way, so doubles are compared as cents.
+_DOUBLES = ("importe", "grande", "vacio")
+
+
+def _sample_text_sql(n: str) -> str:
+    sample = _sample_sql(n)
+    if n in _DOUBLES:
+        sample = f"cast(round({sample} * 100) as bigint)"
+    return f"cast({sample} as varchar)"
+
+
+def _sample_text():
+    cents = F.round(F.col("sample").try_cast("double") * 100).cast("bigint").cast("string")
+    shown = F.when(F.col("sample") == profile.NOT_APPLICABLE, F.col("sample")).otherwise(cents)
+    return F.when(F.col("variable").isin(*_DOUBLES), shown).otherwise(F.col("sample"))
+
+
 @check(
     "sample_value",
     f"with t as ({_PROFILED_SQL}) "
     + " union all ".join(
-        f"select '{n}' as variable, cast({_sample_sql(n)} as varchar) as sample from t"
-        for n in ("orden", "cliente", "estado", "prioridad", "fecha_texto", "vacio")
+        f"select '{n}' as variable, {_sample_text_sql(n)} as sample from t" for n in _PROFILED
     ),
 )
 def sample_value(spark, folder):
     lines = profile.summary(_profile_input(spark, folder), order_by=["orden"])
-    named = ("orden", "cliente", "estado", "prioridad", "fecha_texto", "vacio")
-    return lines.where(F.col("variable").isin(*named)).select("variable", "sample")
+    return lines.select("variable", _sample_text().alias("sample"))
 
 
 _FREQUENCIES_SQL = f"""with t as ({_PROFILED_SQL}), f as (
@@ -872,20 +891,21 @@ def _profile_sql() -> str:
             f"select '{n}' as variable, count({n}) as count,"
             f" cast(count(distinct {n}) as varchar) || ' (' || {_percent_sql(f'count(distinct {n})')} || ')' as unique,"
             f" cast(count(*) - count({n}) as varchar) || ' (' || {_percent_sql(f'(count(*) - count({n}))')} || ')' as missing,"
-            f" {stats[0]} as min, {stats[1]} as mean, {stats[2]} as max from t"
+            f" {stats[0]} as min, {stats[1]} as mean, {stats[2]} as max, '{_TYPES[n]}' as type,"
+            f" coalesce({_sample_text_sql(n)}, 'N/A') as sample from t"
         )
     listed = f"select * from ({_FREQUENCY_TEXT_SQL}) where variable not like '%fecha%'"
     return (
         f"{_FREQUENCIES_SQL}, p as ({' union all '.join(lines)}), x as ({listed})"
         " select p.variable, p.count, p.unique, coalesce(x.frequencies, 'N/A') as frequencies,"
-        " p.missing, p.min, p.mean, p.max from p left join x on x.variable = p.variable"
+        " p.missing, p.min, p.mean, p.max, p.type, p.sample from p left join x on x.variable = p.variable"
     )
 
 
 @check("profile", _profile_sql())
 def profile_table(spark, folder):
     table_profile = profile.profile(_profile_input(spark, folder), _CATEGORIES, ["orden"])
-    return table_profile.drop("type", "sample")
+    return table_profile.withColumn("sample", _sample_text())
 
 
 @check(

@@ -32,11 +32,21 @@ def cast_columns(
     reference_year: int | None = None,
     date_mode: str = "compat",
 ) -> DataFrame:
+    """The typed table alone; see ``cast_with_failures``."""
+    return cast_with_failures(df, classes, reference_year, date_mode)[0]
+
+
+def cast_with_failures(
+    df: DataFrame,
+    classes: ColumnClasses,
+    reference_year: int | None = None,
+    date_mode: str = "compat",
+) -> tuple[DataFrame, set[str]]:
     """Type the declared columns; undeclared and absent ones are left alone.
 
     A whole-number column with a fraction anywhere fails as a whole and stays text, with its
     decimal commas replaced. Finding that out takes one job; without declared whole-number
-    columns nothing runs here.
+    columns nothing runs here. The names of the failed columns are what ``transform_report`` needs.
     """
     year = casts.current_year() if reference_year is None else reference_year
     integers = _present(df, classes.integers)
@@ -56,7 +66,7 @@ def cast_columns(
     frame = df.withColumns(parts) if parts else df
     for name in dates:
         typed[name] = casts.date_from_parts(F.col(f"`_parts_{name}`"), year, date_mode)
-    return frame.select(*[typed.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return frame.select(*[typed.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]), failed
 
 
 def transform_report(

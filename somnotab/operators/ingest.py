@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from somnotab.session import stage
+
 # Outcomes of a batch.
 SUCCESS = "success"
 SKIP = "skip"
@@ -18,6 +21,10 @@ EXCEPTION = "exception"
 # Fixed value: how many offending identifiers are listed.
 LISTED = 10
 
+# Why an identifier is refused.
+_REPEATED = "repeated"
+_LOADED = "loaded"
+
 # Fixed value: what table and column names look like.
 _IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
@@ -51,15 +58,17 @@ def keyed_rows(batch: DataFrame, date_field: str) -> DataFrame:
     )
 
 
-def _listed(identifiers: DataFrame, count: str, names: str) -> DataFrame:
-    """One row: how many identifiers there are, and the first few in order.
+def _listed(offenders: DataFrame, kind: str, count: str, names: str) -> list[DataFrame]:
+    """How many stored offenders of a kind there are, and the first few in order; one row each.
 
     The few are taken by a top-k over the partitions, never by gathering all of them.
     """
+    identifiers = offenders.where(F.col("kind") == kind)
     few = identifiers.orderBy("uuid").limit(LISTED)
-    total = identifiers.agg(F.count("*").alias(count))
-    sample = few.agg(F.sort_array(F.collect_list("uuid")).alias(names))
-    return total.unionByName(sample, allowMissingColumns=True)
+    return [
+        identifiers.agg(F.count("*").alias(count)),
+        few.agg(F.sort_array(F.collect_list("uuid")).alias(names)),
+    ]
 
 
 def in_touched_partitions(target: DataFrame, keyed: DataFrame, date_field: str) -> DataFrame:
@@ -94,6 +103,8 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
     existing)``. Checks in order: an unreadable date on a keyed row, no keyed row at all,
     duplicates in the batch, identifiers already loaded, and a date that is missing or
     unreadable on any row. A row with a date and no identifier is no reason to refuse.
+    Repeated and loaded identifiers are stored at once, so that the batch and the target are read
+    for them only one time; ``session.discard`` of the answer deletes them.
     """
     keyed = keyed_rows(batch, date_field)
     undated = iso_day(F.col(date_field)).isNull()
@@ -105,18 +116,17 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
         F.count_if(undated).alias("n_undated"),
     )
     repeated = keyed.groupBy("uuid").agg(F.count("*").alias("n")).where("n > 1")
-    parts = [totals, _listed(repeated.select("uuid"), "n_duplicates", "duplicates")]
+    offenders = repeated.select("uuid", F.lit(_REPEATED).alias("kind"))
     if target is not None:
-        parts.append(
-            _listed(already_loaded(keyed, target, date_field), "n_existing", "existing")
-        )
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    if target is None:
-        stacked = stacked.withColumn("n_existing", F.lit(0).cast("bigint")).withColumn(
-            "existing", F.array().cast("array<string>")
-        )
+        loaded = already_loaded(keyed, target, date_field)
+        offenders = offenders.unionAll(loaded.select("uuid", F.lit(_LOADED)))
+    offenders = stage(offenders, "offenders")
+    parts = [
+        totals,
+        *_listed(offenders, _REPEATED, "n_duplicates", "duplicates"),
+        *_listed(offenders, _LOADED, "n_existing", "existing"),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     counts = ("n_rows", "n_keyed", "n_bad_dates", "n_undated", "n_duplicates", "n_existing")
     one = stacked.agg(
         *[F.max(c).alias(c) for c in counts],
@@ -134,7 +144,7 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
     for test, outcome, why in rules:
         status = F.when(test, outcome) if status is None else status.when(test, outcome)
         reason = F.when(test, why) if reason is None else reason.when(test, why)
-    return one.select(
+    answer = one.select(
         status.otherwise(SUCCESS).alias("status"),
         reason.alias("reason"),
         "n_rows",
@@ -145,6 +155,8 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
         "n_existing",
         "existing",
     )
+    answer.staged_path = offenders.staged_path
+    return answer
 
 
 def shaped_rows(batch: DataFrame, date_field: str, now: datetime) -> DataFrame:

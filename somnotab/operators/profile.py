@@ -1,9 +1,9 @@
 """Column profile of a table.
 
-The number of passes does not grow with the number of columns. One global aggregate gives
-counts, min / mean / max and samples. A frequency table ``(variable, value, n)``, grouped with
-map-side partial aggregation, gives distinct counts for all columns and category frequencies
-for the listed ones, so there is no distinct aggregate per column. No task ever sees all values
+Two scans, however many columns. One global aggregate gives counts, min / mean / max and
+samples. A frequency table ``(variable, value, n)``, grouped with map-side partial aggregation
+and stored once, gives distinct counts for all columns and category frequencies for the listed
+ones, so there is no distinct aggregate per column. No task ever sees all values
 of a variable: the ten most frequent ones are picked by a ranked filter, which Spark pre-limits
 in every partition, and the others are a difference of two sums.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from somnotab.session import stage
+
 # Fixed values of the profile.
 SENTINEL = -9999
 TOP = 10
@@ -161,48 +163,50 @@ def distinct_counts(frequencies: DataFrame) -> DataFrame:
     return frequencies.groupBy("variable").agg(F.count("*").alias("n_distinct"))
 
 
+def _best(frequencies: DataFrame, top: int) -> DataFrame:
+    """``(variable, best, kept)``: the ``top`` most frequent values in order, and their sum."""
+    order = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
+    ranked = frequencies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = F.sort_array(F.collect_list(F.struct("rank", "value", "n")))
+    return ranked.groupBy("variable").agg(best.alias("best"), F.sum("n").alias("kept"))
+
+
+def _totals(frequencies: DataFrame) -> DataFrame:
+    """``(variable, n_distinct, total)``."""
+    return frequencies.groupBy("variable").agg(
+        F.count("*").alias("n_distinct"), F.sum("n").alias("total")
+    )
+
+
+def _lines(top: int) -> Column:
+    """The best values and, when they count for something, the others as one last line."""
+    rest = F.col("total") - F.col("kept")
+    others = F.struct(F.lit(top + 1).alias("rank"), F.lit(OTHERS).alias("value"), rest.alias("n"))
+    return F.when(rest > 0, F.concat("best", F.array(others))).otherwise(F.col("best"))
+
+
+def _text(top: int) -> Column:
+    """The lines as ``"value: n | value: n"``, quotes included."""
+    texts = F.transform(
+        _lines(top), lambda line: F.concat_ws(": ", line["value"], line["n"].cast("string"))
+    )
+    return F.concat(F.lit('"'), F.array_join(texts, " | "), F.lit('"'))
+
+
 def top_frequencies(frequencies: DataFrame, top: int = TOP) -> DataFrame:
     """``(variable, rank, value, n)``: the most frequent values, the others as one last line.
 
-    The line of the others is only there when they count for something.
+    The line of the others is only there when they count for something. The table is read
+    twice, so one that is dear to compute should be stored.
     """
-    order = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
-    best = (
-        frequencies.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("variable", "rank", "value", "n")
-    )
-    totals = frequencies.groupBy("variable").agg(F.sum("n").alias("total"))
-    kept = best.groupBy("variable").agg(F.sum("n").alias("kept"))
-    others = (
-        totals.join(kept, "variable")
-        .where(F.col("total") > F.col("kept"))
-        .select(
-            "variable",
-            F.lit(top + 1).alias("rank"),
-            F.lit(OTHERS).alias("value"),
-            (F.col("total") - F.col("kept")).alias("n"),
-        )
-    )
-    return best.unionByName(others)
+    joined = _best(frequencies, top).join(_totals(frequencies), "variable")
+    return joined.select("variable", F.inline(_lines(top)))
 
 
 def frequency_texts(frequencies: DataFrame, top: int = TOP) -> DataFrame:
     """``(variable, frequencies)`` as ``"value: n | value: n"``, quotes included."""
-    lines = F.sort_array(
-        F.collect_list(
-            F.struct(
-                "rank",
-                F.concat_ws(": ", F.col("value"), F.col("n").cast("string")).alias("text"),
-            )
-        )
-    )
-    joined = F.array_join(F.transform(lines, lambda line: line["text"]), " | ")
-    return (
-        top_frequencies(frequencies, top)
-        .groupBy("variable")
-        .agg(F.concat(F.lit('"'), joined, F.lit('"')).alias("frequencies"))
-    )
+    joined = _best(frequencies, top).join(_totals(frequencies), "variable")
+    return joined.select("variable", _text(top).alias("frequencies"))
 
 
 def presence(df: DataFrame) -> DataFrame:
@@ -251,10 +255,12 @@ def profile(
     """The profile table, one line per column in column order.
 
     ``categories`` are the columns whose frequencies are listed, save those named after a date.
+    The frequency table is stored at once, by one scan; ``session.discard`` of the profile deletes
+    it when the profile itself has been stored.
     """
-    frequencies = value_frequencies(df)
-    listed = categorical(categories)
-    texts = frequency_texts(frequencies.where(F.col("variable").isin(*listed)))
+    frequencies = stage(value_frequencies(df), "frequencies")
+    listed = frequencies.where(F.col("variable").isin(*categorical(categories)))
+    counted = _totals(frequencies).join(_best(listed, TOP), "variable", "left")
     absent = F.col("n_rows") - F.col("n_present")
     distinct = F.coalesce("n_distinct", F.lit(0))
     numbers = numeric_columns(df)
@@ -267,17 +273,16 @@ def profile(
         text = F.coalesce(display_number(F.col(name)), F.lit(NO_NUMBER))
         return F.when(F.col("variable").isin(*numbers), text).otherwise(NOT_APPLICABLE)
 
-    return (
+    table = (
         summary(df, order_by)
-        .join(distinct_counts(frequencies), "variable", "left")
-        .join(texts, "variable", "left")
+        .join(counted, "variable", "left")
         .orderBy("position")
         .select(
             "variable",
             "type",
             F.col("n_present").alias("count"),
             share(distinct).alias("unique"),
-            F.coalesce("frequencies", F.lit(NOT_APPLICABLE)).alias("frequencies"),
+            F.coalesce(_text(TOP), F.lit(NOT_APPLICABLE)).alias("frequencies"),
             share(absent).alias("missing"),
             shown("min").alias("min"),
             shown("mean").alias("mean"),
@@ -285,3 +290,5 @@ def profile(
             F.coalesce("sample", F.lit(NOT_APPLICABLE)).alias("sample"),
         )
     )
+    table.staged_path = frequencies.staged_path
+    return table

@@ -30,21 +30,23 @@ def missing_columns(columns: DataFrame) -> DataFrame:
     """``(source, missing)``: columns some source has and this one lacks.
 
     Instead of pairing every source with every column, each source's own set is subtracted
-    from the union set, an array bounded by the number of distinct column names.
+    from the union set, a scalar subquery whose array is as long as there are column names.
     """
     own = columns.groupBy("source").agg(F.collect_set("column").alias("own"))
-    every = columns.agg(F.collect_set("column").alias("every")).first()["every"]
-    union = F.array(*[F.lit(c) for c in sorted(every or [])]).cast("array<string>")
-    return own.select("source", F.sort_array(F.array_except(union, "own")).alias("missing"))
+    every = columns.agg(F.collect_set("column")).scalar()
+    return own.select("source", F.sort_array(F.array_except(every, "own")).alias("missing"))
 
 
 def differences_from_base(columns: DataFrame, base: str) -> DataFrame:
-    """``(source, missing, extra)`` of each source against the base source's columns."""
-    own = columns.groupBy("source").agg(F.collect_set("column").alias("own"))
-    base_row = own.where(F.col("source") == base).first()
-    if base_row is None:
+    """``(source, missing, extra)`` of each source against the base source's columns.
+
+    A base that is no source is refused at once.
+    """
+    of_base = columns.where(F.col("source") == base)
+    if of_base.isEmpty():
         raise ValueError(f"no source named {base!r}")
-    expected = F.array(*[F.lit(c) for c in sorted(base_row["own"])])
+    expected = of_base.agg(F.collect_set("column")).scalar()
+    own = columns.groupBy("source").agg(F.collect_set("column").alias("own"))
     return own.select(
         "source",
         F.sort_array(F.array_except(expected, "own")).alias("missing"),

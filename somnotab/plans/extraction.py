@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,19 +35,28 @@ class Outputs:
     results: list[str]
     audit: str
     counts: list
+    run_id: str
 
 
-def run(reports: DataFrame, folder: str, exams: tuple[str, ...] | None = None) -> Outputs:
-    """Extract, then append result files and audit lines.
+def run(
+    reports: DataFrame,
+    folder: str,
+    exams: tuple[str, ...] | None = None,
+    run_id: str | None = None,
+) -> Outputs:
+    """Extract, then add result files and audit lines to those of earlier runs.
 
+    A run that failed halfway is repeated under its ``run_id`` and replaces what it left; without
+    one, every call is a run of its own. An exam type that only the failed attempt had stays.
     The texts are read by one job, which stores the extracted rows in the shared folder by exam
     and file type; each result file reads its own partition of them, the audit all of them.
     """
     stored = stage(extracted_reports(reports, exams), "extracted", ("exam_type", "ext"))
     lines = audit(stored)
     audit_path = f"{folder.rstrip('/')}/audit"
-    results = sinks.write_results(stored, folder)
-    lines.write.mode("append").parquet(audit_path)
+    run_id = uuid.uuid4().hex if run_id is None else run_id
+    results = sinks.write_results(stored, folder, run_id)
+    sinks.write_run(lines, audit_path, run_id)
     counts = audit_counts(lines).collect()
     discard(stored)
-    return Outputs(results, audit_path, counts)
+    return Outputs(results, audit_path, counts, run_id)

@@ -39,7 +39,9 @@ def load_batch(
     try:
         frozen = stage(batch, "batch")
         target = spark.read.parquet(path) if path_exists(spark, path) else None
-        answer = ingest.gate(frozen, date_field, target).first().asDict()
+        gated = ingest.gate(frozen, date_field, target)
+        answer = gated.first().asDict()
+        discard(gated)
         if answer["status"] == ingest.SUCCESS:
             rows = ingest.shaped_rows(frozen, date_field, now)
             append_partitioned(rows, path, date_field)

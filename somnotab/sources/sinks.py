@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from somnotab.operators import workbook
 from somnotab.operators.curation import format_manifest, percent_to_fraction
@@ -14,6 +15,9 @@ from somnotab.sources.files import swap_in
 from somnotab.specs.curated import PERCENT_COLUMNS, ColumnClasses
 from somnotab.specs.exams import EXTRACTORS, Extractor
 
+#: Partition column of result files and audit lines.
+RUN = "run"
+
 # Fixed value: the baseline report's result files go by another name than its label.
 _RESULT_NAMES = {"BASAL": "psg"}
 
@@ -35,23 +39,16 @@ def _csv(df: DataFrame, mode: str):
     )
 
 
-def write_extracted(extracted: DataFrame, path: str) -> None:
-    """Append the output of ``extract_all``, partitioned by exam type and file type.
-
-    The records are small next to the texts they come from. Rebalancing them by partition
-    keeps the number of files low, and splits an exam type that holds most of the rows.
-    """
-    (
-        extracted.hint("rebalance", "exam_type", "ext")
-        .write.mode("append")
-        .partitionBy("exam_type", "ext")
-        .parquet(path)
-    )
+def write_run(rows: DataFrame, path: str, run_id: str) -> None:
+    """Add the rows of a run to a Parquet table, in place of what the same run wrote before."""
+    writer = rows.withColumn(RUN, F.lit(run_id)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
 
 
-def write_results(extracted: DataFrame, folder: str) -> list[str]:
-    """Append one delimited table per extractor that has records; returns their paths.
+def write_results(extracted: DataFrame, folder: str, run_id: str) -> list[str]:
+    """Add one delimited table per extractor that has records; returns their paths.
 
+    The rows of a run lie in a folder of their own, and replace those that the same run left.
     ``extracted`` should be stored, not computed, as it is read once per extractor.
     """
     present = {
@@ -66,7 +63,9 @@ def write_results(extracted: DataFrame, folder: str) -> list[str]:
         records = records_of(extracted, extractor.exam, extractor.ext)
         named = records.select(*[f"`{c}`" for c in columns])
         path = f"{folder.rstrip('/')}/{result_name(extractor)}.csv"
-        _csv(with_missing_text(named, extractor.columns), "append").csv(path)
+        rows = with_missing_text(named, extractor.columns).withColumn(RUN, F.lit(run_id))
+        writer = _csv(rows, "overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(RUN).csv(path)
         written.append(path)
     return written
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,20 @@ def read_table(spark: SparkSession, paths: str | list[str], multi_line: bool = F
 
 
 def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file, header)``: the first line of every file, read by one job."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        "value",
+    """``(file, header)``: the first line of every file, read by one job.
+
+    Every path is a table of its own, with or without a folder for each run.
+    """
+    lines = reduce(
+        DataFrame.unionAll,
+        [
+            spark.read.text(path).select(
+                F.col("_metadata.file_path").alias("file"),
+                F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+                "value",
+            )
+            for path in paths
+        ],
     )
     return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
 
@@ -78,7 +88,9 @@ def read_results(
         [names] = csv.reader([layout["header"].lstrip("\ufeff")])
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
         files = [unquote(file) for file in layout["files"]]
-        frames.append(null_texts_to_null(_csv(spark, multi_line).schema(schema).csv(files)))
+        # The files stand for themselves: the folder of a run is no column of the result.
+        reader = _csv(spark, multi_line).option("recursiveFileLookup", True).schema(schema)
+        frames.append(null_texts_to_null(reader.csv(files)))
     if not frames:
         raise ValueError("no result files")
     return union_by_name(frames)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from somnotab.operators import ingest, inventory, profile, schema, search, workbook
 from somnotab.plans import extraction as flow
 from somnotab.plans.load import load_batch
+from somnotab.session import discard
 from somnotab.sources import files, sinks, tables
 from somnotab.specs import workbook as wb
 from somnotab.streaming.reports import append_new_reports
@@ -68,6 +69,16 @@ def test_top_frequencies_are_limited_before_the_shuffle(profiled):
     assert "WindowGroupLimit" in plan_of(profile.top_frequencies(frequencies))
 
 
+def test_profile_scans_its_table_once_more_than_the_frequencies(profiled, tmp_path):
+    profiled.write.parquet(f"{tmp_path}/t")
+    described = profile.profile(profiled.sparkSession.read.parquet(f"{tmp_path}/t"), ["c"], ["k"])
+    plan = plan_of(described)
+    # The statistics read the table; totals and best values read the stored frequencies.
+    assert plan.count("FileScan") == 3 and plan.count(f"{tmp_path}/t") == 1
+    assert plan.count("Exchange") <= 5
+    discard(described)
+
+
 def test_number_display(spark):
     numbers = [0.125, 0.375, 2.675, -4.375, 1e6, 1000000.5, 7.125e7, 9.999e6, -2.5e7, 1.5e300, 0.0, 1234.5]
     frame = spark.createDataFrame([(x,) for x in numbers], "x double")
@@ -251,7 +262,7 @@ def test_extraction_flow_appends(spark, tmp_path):
     for _ in range(2):
         out = flow.run(frame, str(tmp_path))
     assert sorted(p.rsplit("/", 1)[1] for p in out.results) == ["resultados_capnografia_doc.csv", "resultados_psg_doc.csv"]
-    raw = spark.read.option("header", True).csv(f"{tmp_path}/resultados_psg_doc.csv")
+    raw = spark.read.option("header", True).csv(f"{tmp_path}/resultados_psg_doc.csv").drop("run")
     assert len(raw.columns) == 41 and raw.count() == 2
     assert {(r["edad_anos"], r["peso"], r["fuente"], r["t90"]) for r in raw.collect()} == {("45", "N/A", "/a.doc", "5,5")}
     back = tables.read_results(spark, out.results)
@@ -259,11 +270,13 @@ def test_extraction_flow_appends(spark, tmp_path):
     assert spark.read.parquet(out.audit).where("reason = 'unsupported_ext'").count() == 2
 
 
-def test_partitioned_records(spark, tmp_path):
-    frame = spark.createDataFrame([(1, "/a.doc", "doc", BASAL)], REPORTS)
-    sinks.write_extracted(flow.extracted_reports(frame), f"{tmp_path}/records")
-    back = spark.read.parquet(f"{tmp_path}/records").where("exam_type = 'BASAL' and ext = 'doc'")
-    assert back.count() == 1 and "PartitionFilters: [isnotnull(exam_type" in plan_of(back)
+def test_a_repeated_run_replaces_itself(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "/a.doc", "doc", BASAL), (2, "/c", "pdf", "x")], REPORTS)
+    for run_id in ("r1", "r2", "r1", "r2"):
+        out = flow.run(frame, str(tmp_path), run_id=run_id)
+    back = tables.read_results(spark, out.results)
+    assert back.count() == 2 and "run" not in back.columns
+    assert spark.read.parquet(out.audit).where("reason = 'unsupported_ext'").count() == 2
 
 
 def test_stream_appends_each_report_once(spark, tmp_path):

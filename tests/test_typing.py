@@ -132,6 +132,19 @@ def test_curated_table(spark):
     assert "Exchange" not in curated._jdf.queryExecution().executedPlan().toString()
 
 
+def test_curated_table_with_its_reports(spark):
+    frame = unified(spark, medida_talla="varas")
+    result = plan.curate_with_reports(frame, NOW)
+    assert result.table.collect() == plan.curate(frame, NOW).collect()
+    status = {r["variable"]: (r["type"], r["status"]) for r in result.transformed.collect()}
+    assert status["fecha_estudio"] == ("datetime", "transformed") and status["peso"][0] == "float"
+    assert ("talla", "varas", 1) in {(r["measure"], r["unit"], r["n"]) for r in result.unknown_units.collect()}
+    assert [(r["month"], r["n"]) for r in result.months.collect()] == [(date(2024, 3, 1), 1)]
+    lines = {r["variable"]: r for r in result.profile.collect()}
+    assert list(lines) == result.table.columns and lines["talla_cm"]["type"] == "double"
+    result.discard()
+
+
 def test_missing_final_column_is_an_error(spark):
     with pytest.raises(AnalysisException):
         plan.curate(unified(spark).drop("imc"), NOW)
