@@ -268,11 +268,12 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = keys.where("i is not null and lang is not null").where((F.col("lang") != UNKNOWN) & ~held_out("i"))
     chosen = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i")))
     chosen = chosen.where(F.col("r") <= SAMPLE_ROWS).select("i", F.col("lang").alias("l"), "h").distinct()
-    own = (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))
-    words = F.slice(F.split(F.col(text_col), "\\s+"), 1, SAMPLE_WORDS)
-    rows = documents.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), own)
+    words = F.slice(F.split(F.col(text_col), "\\s+"), 1, SAMPLE_WORDS).alias("words")
+    texts = documents.where(F.col(text_col).isNotNull())
+    texts = texts.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), words)
+    rows = texts.join(F.broadcast(chosen), (F.col("own") == F.col("i")) & (F.col("lang") == F.col("l")))
     # An id that repeats is one row of the sample.
-    sample = rows.select("l", "h", F.concat_ws(" ", words).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    sample = rows.select("l", "h", F.concat_ws(" ", "words").alias("t")).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
     sample.sort(key=lambda r: (r["l"], r["h"], r["t"]))
     return fit([(r["l"], words_of(r["t"])) for r in sample])
 

@@ -190,8 +190,8 @@ def sample_texts(documents: DataFrame, labels: DataFrame, id_col: str, text_col:
         .groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("toxic"))
         .where(~held_out("i")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS)
     )
-    rows = documents.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("i"))
-    return rows.select("i", "toxic", F.col(text_col).alias("text"))
+    texts = documents.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).where("text is not null")
+    return texts.join(F.broadcast(chosen), F.col("own") == F.col("i")).select("i", "toxic", "text")
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:

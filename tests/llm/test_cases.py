@@ -264,6 +264,38 @@ def test_every_operator_keeps_every_row(spark, rows):
     assert sorted(r["slot"] for r in shards.assign(docs, 1).collect()) == list(range(len(rows)))
 
 
+#: Names that operators give to columns of their own, as far as documents do not have them anyway.
+TAKEN = (
+    "i l h t r own words toxic term piece pieces edges pos n n_words n_hit items k2 begin around w phrase phrase_id start"
+    " virtual_slot slot place run before taken target source_size s fp text_key root first component_id u v at starts packed"
+    " id spans row kept x cut alike total key_ held_out score hits segments lang_pred"
+).split()
+
+
+def test_columns_named_as_an_operator_names_its_own(spark):
+    docs = documents(spark, ODD).withColumns({name: F.lit("x") for name in TAKEN})
+    plain = documents(spark, ODD)
+    marked = spark.createDataFrame([(4, 1, "z"), (5, 0, "z")], "doc_id long, toxic int, i string")
+    asked = spark.createDataFrame([(1, "Two words", "z")], "item_id long, text string, w string")
+
+    def same(frame, other):
+        columns = other.columns
+        assert sorted(map(repr, frame.select(columns).collect())) == sorted(map(repr, other.collect()))
+
+    field = language.train(docs)
+    assert (field.weights == language.train(plain).weights).all()
+    same(language.predict(docs, field), language.predict(plain, field))
+    assert language.accepted(docs, field).columns == docs.columns
+    model = toxicity.train(docs, marked)
+    same(toxicity.predict(docs, model), toxicity.predict(plain, model))
+    same(contamination.search(docs, asked), contamination.search(plain, asked))
+    for operator in (pii.find, shards.assign, mixing.mix, substrings.deduplicated, simhash.groups):
+        same(operator(docs), operator(plain))
+    for stage in (shards.placed, mixing.sampled, simhash.representatives):
+        same(stage(docs), stage(plain).drop("shard") if stage is mixing.sampled else stage(plain))
+    same(contamination.clean(docs, asked), contamination.clean(plain, asked))
+
+
 def test_release(spark):
     kept = storage.staged(spark.range(3), "gone")
     assert kept.count() == 3
