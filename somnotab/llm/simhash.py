@@ -145,14 +145,16 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_key")
 
 
-def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouping=groups) -> DataFrame:
     """One row of every group stays, whole and unchanged: the one with its smallest id.
 
+    ``grouping`` gives doc_id, text_key and root of every row.
+
     Rows that repeat that id are told apart by their text; of rows alike in both one stays.
     """
     own, key, place = storage.fresh(documents, "own", "key", "place")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("first")
-    kept = groups(documents, id_col, text_col).groupBy("root").agg(first)
+    kept = grouping(documents, id_col, text_col).groupBy("root").agg(first)
     kept = kept.select(F.col("first.doc_id").alias(own), F.col("first.text_key").alias(key))
     kept = storage.staged(kept, "representatives").withColumnRenamed(key, f"{key}_")
     keyed = documents.withColumn(key, F.xxhash64(text_col))

@@ -1,0 +1,60 @@
+"""The near-copy stage against all pairs compared by their shingle sets."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from somnotab.llm import nearcopies, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_stage_joins_word_edits(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words).upper(), *[edited(rng, words, k) for k in (1, 3, 5, 9, 40)]]
+    # A large group, which is compared by its centers.
+    words = [f"v{rng.randrange(3000)}" for _ in range(300)]
+    texts += [edited(rng, words, 2) for _ in range(60)]
+    sets = list(map(grams, texts))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+            far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2
+    want = {min(k for k in range(len(texts)) if find(k) == find(i)) for i in range(len(texts))}
+    assert far > 100  # not joined at two bits
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == want and len(kept) == len(want)
+    assert all(r["text"] == texts[r["doc_id"]] for r in kept)
+
+
+def test_groups_cases(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (6, "two words"), (7, "two  words")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    by_root = {}
+    for r in nearcopies.groups(docs).collect():
+        by_root.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, ({x or 0 for x in g} for g in by_root.values()))) == [[0, 4, 5], [1, 2, 3], [6, 7]]
