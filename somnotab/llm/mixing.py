@@ -5,12 +5,13 @@ times what it has; what a clamped source cannot give is shared anew by weight un
 above its cap. Sampling is seeded: a target of r times its source takes every document floor(r)
 times, and once more those that come first in the order of a keyed hash of their id, until the
 target is used up; the document on the border is taken in part, so taken words meet the target to
-within one word.
+within one word. ``sampled`` repeats whole rows only: it takes the document on the border or leaves it,
+whichever comes nearer to the target (of two equally near, it takes it).
 
 Defined cases: a null text has no words; a null source is a source, ordered last; a source
 without words has the target 0, and documents without words are taken 0 times; repeated rows are
-documents of their own, and those alike in id and size are interchangeable. Results depend on
-the rows and the seed only.
+documents of their own; those that share an id are told apart by a hash of their text, and those alike
+in that, too, are interchangeable. Results depend on the rows and the seed only.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def measured(documents: DataFrame, id_col: str, text_col: str, source_col: str,
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(word_count(F.col(text_col)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
+        F.xxhash64(text_col).alias("text_key"),
     )
 
 
@@ -104,7 +106,8 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, size, source_size, target and ``taken`` words of every row; ``source`` and ``key`` follow.
+    """doc_id, size, source_size, target and ``taken`` words of every row; ``source`` and ``key`` follow,
+    then ``text_key`` and ``copies``, the times that the row is taken if only whole rows are.
 
     The order within a source is by key, cut into 4096 runs of keys: whole runs are summed first,
     so that a source of any size is spread over many tasks.
@@ -125,7 +128,7 @@ def mix(
     )
     within = (
         Window.partitionBy("source", "run")
-        .orderBy("key", "doc_id", "size")
+        .orderBy("key", "doc_id", "size", "text_key")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
@@ -134,41 +137,50 @@ def mix(
     left = F.greatest(F.lit(0), F.col("rest") - F.col("run_begin") - F.col("before"))
     extra = F.least(F.col("size"), left)
     taken = F.coalesce(F.col("whole") * F.col("size") + extra, F.lit(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "key")
+    # Once more if half of the row or more lies before the border.
+    again = ((F.col("size") > 0) & (2 * left >= F.col("size"))).cast("long")
+    copies = F.when(F.col("size") > 0, F.coalesce(F.col("whole") + again, F.lit(0))).otherwise(0).cast("long")
+    return placed.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "key", "text_key", copies.alias("copies")
+    )
 
 
 def sampled(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``documents``, repeated as the mix takes them.
+    """The mix itself: the rows of ``documents``, whole and unchanged, repeated as the mix takes them.
 
-    A row taken in part is cut after the words taken (single spaces between them). Rows are met
-    again by id and number of words.
+    Rows are met again by id, source and a hash of their text. Of rows alike in all three, of which the mix
+    takes no equal number, those first by a hash of the other columns are taken once more.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     source_col = options.get("source_col", "source")
-    own_id, own_source, size, total, alike, words, cut = storage.fresh(
-        documents, "id", "source", "size", "total", "alike", "words", "cut"
-    )
-    taken = (
-        mix(documents, **options)
-        .where(F.col("taken") > 0)
-        .groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(size))
-        .agg(F.sum("taken").alias(total), F.count("*").alias(alike))
-    )
-    joined = documents.withColumn(words, word_count(F.col(text_col))).join(
-        taken,
-        F.col(id_col).eqNullSafe(F.col(own_id))
-        & F.col(source_col).eqNullSafe(F.col(own_source))
-        & (F.col(words) == F.col(size)),
+    own_id, own_source, own_key, key, each, more, copy, place = storage.fresh(
+        documents, "id", "source", "own_key", "key", "each", "more", "copy", "place"
     )
-    # Rows alike in id, source and size share what is taken of them.
-    each = F.floor(F.col(total) / F.col(alike)).cast("long")
-    full, part = F.floor(each / F.col(size)), each % F.col(size)
-    pieces = F.filter(F.split(F.col(text_col), SPACES), lambda w: w != "")
-    begun = F.array_join(F.slice(pieces, 1, F.greatest(part, F.lit(1)).cast("int")), " ")
-    copies = F.concat(
-        F.array_repeat(F.lit(False), full.cast("int")),
-        F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
+    alike = mix(documents, **options).groupBy("doc_id", "source", "text_key")
+    alike = alike.agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
+    taken = storage.staged(
+        alike.select(
+            F.col("doc_id").alias(own_id),
+            F.col("source").alias(own_source),
+            F.col("text_key").alias(own_key),
+            F.floor(F.col("total") / F.col("n")).cast("int").alias(each),
+            (F.col("total") % F.col("n")).alias(more),
+        ),
+        "mixing-copies",
     )
-    shown = joined.withColumn(cut, F.explode(copies))
-    shown = shown.withColumn(text_col, F.when(F.col(cut), begun).otherwise(F.col(text_col)))
-    return shown.select(*documents.columns)
+    keyed = documents.withColumn(key, F.xxhash64(text_col))
+
+    def met(rows):
+        return keyed.join(
+            rows,
+            F.col(id_col).eqNullSafe(F.col(own_id))
+            & F.col(source_col).cast("string").eqNullSafe(F.col(own_source))
+            & (F.col(key) == F.col(own_key)),
+        )
+
+    shown = met(taken.where(F.col(each) > 0)).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(each))))
+    # Only rows alike on the border of their source have a rest: one such group for each source at most.
+    others = [c for c in documents.columns if c not in (id_col, text_col, source_col)]
+    order = Window.partitionBy(id_col, source_col, key).orderBy(F.xxhash64(F.lit(0), *others))
+    rest = met(taken.where(F.col(more) > 0)).withColumn(place, F.row_number().over(order)).where(F.col(place) <= F.col(more))
+    return shown.select(*documents.columns).unionAll(rest.select(*documents.columns))
