@@ -118,11 +118,14 @@ _REWRITE = re.compile(
     rf"|(?<=\w)\s{{1,3}}{_DOT}\s{{1,3}}(?=\w))",
     re.IGNORECASE,
 )
-# A disguise needs a sign's name, a foreign character, or two spelled digits in a row.
+# What no rewriting can do without: a foreign character, a sign's name, a bracketed dot, or one spelled digit.
 _HINT = re.compile(
-    rf"[{_INVISIBLE}{_FOREIGN}]|\b{_AT}\s{{0,3}}[\])}}>]|\b{_DOT}\b|[\[({{<]\.|{_unit}[ ,-]{{1,3}}{_unit}"
+    rf"[{_INVISIBLE}{_FOREIGN}]|{_AT}|{_DOT}|[\[({{<]\s{{0,3}}\.|(?<!\w)(?:plus[ -]{{1,3}})?{_unit}(?!\w)", re.IGNORECASE
 )
 
+# Letters that a search without case takes for another one, though they are no capital of it.
+_CASED = str.maketrans("ſıİ", "sii")
+
 
 def _ascii(c: str) -> str:
     """What a foreign character stands for; itself if it stands for nothing in ASCII."""
@@ -139,7 +142,7 @@ def _ascii(c: str) -> str:
 
 def _digits(spelled: str) -> str:
     out, times = [], 1
-    for word in re.split(r"[ ,-]+", spelled.lower()):
+    for word in re.split(r"[ ,-]+", spelled.translate(_CASED).lower()):
         if word == "plus":
             out.append("+")
         elif word in ("double", "triple"):
@@ -182,7 +185,7 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int, bool]]]:
 
 def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that only show in the normal form, in source offsets."""
-    if not _HINT.search(text.lower()):
+    if not _HINT.search(text):
         return []
     normal, pieces = normalised(text)
     starts = [p[0] for p in pieces]
