@@ -9,6 +9,8 @@ from somnotab.llm import (
     archive,
     contamination,
     language,
+    manifest,
+    middles,
     mixing,
     pii,
     shards,
@@ -222,3 +224,106 @@ where r <= {topk.K}"""
 @query("op10_inner_products", _OP10)
 def op10(spark, folder):
     return topk.search(table(spark, folder, "embeddings"))
+
+
+_OP11 = """
+with drawn as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+cuts as (
+  select doc_id, t, n,
+    cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as a, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+        or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 90 then 'plain'
+      when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (
+  select *, substr(t, 1, least(a, b)) as prefix, substr(t, least(a, b) + 1, abs(a - b)) as middle,
+    substr(t, greatest(a, b) + 1) as suffix from cuts)
+select doc_id, n, form,
+  case when form <> 'plain' then least(a, b) end as prefix_chars,
+  case when form <> 'plain' then abs(a - b) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts"""
+
+
+@query("op11_middles", _OP11)
+def op11(spark, folder):
+    return middles.report(middles.transform(table(spark, folder, "documents")))
+
+
+def _sized(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_HEAD = " || ".join(_sized(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ord(c)::bigint)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+      lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_OP12 = f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, source,
+    sha256({_HEAD} || {_sized("text")}) as leaf,
+    sha256({_HEAD} || {_sized("case when " + _CRC32 + " % 2 = 0 then replace(text, chr(10), '') else text end")}) as claim
+  from documents),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by source) as n from docs),
+lower_tree as (
+  select source, 0 as level, pos, n, leaf as digest from placed
+  union all
+  select source, level + 1, pos // {manifest.ARITY}, (n + 2) // {manifest.ARITY}, sha256(string_agg(digest, '' order by pos))
+  from lower_tree where n > 1 group by source, level, pos // {manifest.ARITY}, n),
+subroots as (
+  select source, level as height, digest, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n
+  from lower_tree where n = 1),
+upper_tree as (
+  select 0 as level, pos, n, digest from subroots
+  union all
+  select level + 1, pos // {manifest.ARITY}, (n + 2) // {manifest.ARITY}, sha256(string_agg(digest, '' order by pos))
+  from upper_tree where n > 1 group by level, pos // {manifest.ARITY}, n),
+climb as (
+  select r, source, 0 as level, pos from placed
+  union all
+  select r, c.source, c.level + 1, c.pos // {manifest.ARITY} from climb c
+    join subroots s on c.source is not distinct from s.source and c.level < s.height),
+steps as (
+  select c.r, c.level,
+    coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos < c.pos), '') as before,
+    coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos > c.pos), '') as behind
+  from climb c join lower_tree t on c.source is not distinct from t.source and c.level = t.level
+    and c.pos // {manifest.ARITY} = t.pos // {manifest.ARITY}
+  where t.n > 1 group by c.r, c.level),
+upper_climb as (
+  select source, 0 as level, pos from subroots
+  union all
+  select source, level + 1, pos // {manifest.ARITY} from upper_climb where level < (select max(level) from upper_tree)),
+upper_steps as (
+  select c.source, c.level,
+    coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos < c.pos), '') as before,
+    coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos > c.pos), '') as behind
+  from upper_climb c join upper_tree t on c.level = t.level and c.pos // {manifest.ARITY} = t.pos // {manifest.ARITY}
+  where t.n > 1 group by c.source, c.level),
+way as (
+  select r, level, before, behind from steps
+  union all
+  select p.r, s.height + u.level, u.before, u.behind from placed p
+    join subroots s on p.source is not distinct from s.source join upper_steps u on u.source is not distinct from s.source),
+folded as (
+  select r, 0 as level, claim as digest from placed
+  union all
+  select f.r, f.level + 1, sha256(w.before || f.digest || w.behind) from folded f join way w on f.r = w.r and f.level = w.level),
+proofs as (select r, string_agg(before || behind, '' order by level) as proof from way group by r),
+ends as (select r, arg_max(digest, level) as digest from folded group by r)
+select doc_id, leaf, s.digest as subroot, u.digest as root, sha256(coalesce(proof, '')) as proof_sha256,
+  e.digest as folded_root, e.digest = u.digest as verified
+from placed p join subroots s on p.source is not distinct from s.source
+  join (select digest from upper_tree where n = 1) u on true join ends e using (r) left join proofs using (r)"""
+
+
+@query("op12_manifest", _OP12)
+def op12(spark, folder):
+    return manifest.manifest(table(spark, folder, "documents"), manifest.even_checksum(F.col("doc_id")))
