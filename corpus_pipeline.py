@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from somnotab.llm import contamination, language, mixing, nearcopies, shards, simhash, storage
+from somnotab.llm import contamination, language, mixing, shards, simhash, storage
 
 #: The field's words cannot be labelled in SQL.
 ORACLE_SQL = None
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies stays: five-word shingles, Jaccard of at least 0.8."""
-    return simhash.representatives(docs, grouping=nearcopies.groups)
+    """One document of every group of near copies stays: fingerprints that differ in two bits at most."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
