@@ -12,6 +12,7 @@ from somnotab.llm import (
     manifest,
     middles,
     mixing,
+    overlap,
     pii,
     shards,
     simhash,
@@ -327,3 +328,29 @@ from placed p join subroots s on p.source is not distinct from s.source
 @query("op12_manifest", _OP12)
 def op12(spark, folder):
     return manifest.manifest(table(spark, folder, "documents"), manifest.even_checksum(F.col("doc_id")))
+
+
+_OP13 = f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select r, doc_id, list_sort(list_distinct(list_transform(
+    range(case when len(w) = 0 then 0 else greatest(len(w) - {overlap.SHINGLE - 1}, 1) end),
+    lambda s: array_to_string(w[s + 1 : s + {overlap.SHINGLE}], ' ')))) as grams from docs),
+alike as (select min(r) as r, min(doc_id) as least, grams from sets where len(grams) > 0 group by grams),
+single as (select r, len(grams) as n, unnest(grams) as gram from alike),
+links as (
+  select a.r as u, b.r as v from single a join single b on a.gram = b.gram and a.r < b.r
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= {overlap.PERCENT} * (a.n + b.n - count(*))),
+edges as (select u, v from links union all select v, u from links),
+reach as (select r as u, r as v from alike union select reach.u, edges.v from reach join edges on reach.v = edges.u),
+named as (
+  select reach.u as r, min(least) as component_id from reach join alike on reach.v = alike.r group by reach.u)
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles,
+  case when len(s.grams) = 0 then s.doc_id else component_id end as component_id
+from sets s left join alike a on s.grams = a.grams left join named on a.r = named.r"""
+
+
+@query("op13_shingle_overlap", _OP13)
+def op13(spark, folder):
+    return overlap.groups(table(spark, folder, "documents"))
