@@ -7,6 +7,8 @@ would need a whitespace class, and never have to cross a line end.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,16 +93,28 @@ def text_after(text: Column, marker: str, flags: str) -> Column:
 
 
 def text_before_last(text: Column, marker: str, flags: str) -> Column:
-    """Text before the last ``marker``, a plain phrase; empty when it is absent."""
-    if "i" in flags:
+    """Text before the last ``marker``; empty when it is absent."""
+    if "i" in flags or re.search(r"[^\w ]", marker):
         return F.regexp_extract(text, f"(?s{flags})\\A(.*){marker}", 1)
     rest = F.length(F.substring_index(text, marker, -1))
     return F.substring(text, F.lit(1), F.length(text) - rest - len(marker))
 
 
-def text_if_found(text: Column, marker: str, flags: str) -> Column:
-    """The text itself; empty when the marker is absent."""
-    return F.when(~text.rlike(f"(?{flags}){marker}"), "").otherwise(text)
+def text_through_last(text: Column, marker: str, flags: str) -> Column:
+    """Text up to the end of the last ``marker``; empty when it is absent."""
+    return F.regexp_extract(text, f"(?s{flags})\\A(.*{marker})", 1)
+
+
+def text_pieces(text: Column, piece: str, flags: str) -> Column:
+    """What the group of ``piece`` holds at each of its matches, from left to right, in one pass.
+
+    Every piece stands behind a line feed and the end of the text is a tab; the normal form has
+    neither. Pieces do not overlap, so a search that starts at a line feed and stays in its piece
+    reads no character twice.
+    """
+    marked = F.concat(text, F.lit("\t"))
+    found = F.regexp_extract_all(marked, F.lit(f"(?{flags}){piece}"), F.lit(1))
+    return F.concat(F.lit("\n"), F.array_join(found, "\n"))
 
 
 def blank_to_null(value: Column) -> Column:

@@ -36,7 +36,12 @@ def layout_variant(key: Column, marks: tuple[tuple[str, str], ...]) -> Column:
 _KEY = "_key"
 
 
-_CUTS = {"after": tx.text_after, "before": tx.text_before_last, "needs": tx.text_if_found}
+_CUTS = {
+    "after": tx.text_after,
+    "before": tx.text_before_last,
+    "through": tx.text_through_last,
+    "pieces": tx.text_pieces,
+}
 
 
 class _Projections:

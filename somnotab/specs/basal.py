@@ -20,11 +20,15 @@ def _unit(separator: str, tail: str, gap: str = " ?") -> str:
     return rf"{separator}(?:\( ?([a-z]+) ?\){gap}{{num}}|{{num}}{gap}\(?([a-z]+)\)?){tail}"
 
 
-_IDENTIFIER = Field("id", r"\bid(?:entificacion)?\b{cell}([a-z0-9]+)(?=.*?\bpeso\b)", needs="peso")
+_IDENTIFIER = Field("id", r"\bid(?:entificacion)?\b{cell}([a-z0-9]+)", before=r"\bpeso\b")
 
 # Labels, units and stop words of the DOC layout.
 DOC = [
-    Field("nombre", "nombre{colon}([a-z0-9., ]+)(?= ?edad)", needs="edad"),
+    Field(
+        "nombre",
+        r"\n{colon}([a-z0-9., ]+)(?= ?edad)",
+        pieces="nombre({colon}(?:(?!nombre ?:)[a-z0-9., ])*+)",
+    ),
     Field(
         "edad_anos",
         r"edad{colon}(\d+) ?anos?"
@@ -41,14 +45,14 @@ DOC = [
         + _age_part("meses", r"\d+") + _age_part("dias", r"(\d+)") + ".{0,100}? ?id",
     ),
     _IDENTIFIER,
-    Field("peso", r"peso ?:?.*?({num})(?: |\z)", before=" talla"),
-    Field("medida_peso", _unit("peso{colon}", " (?=.*?talla)"), groups=2, needs="talla"),
+    Field("peso", r"(?<!\d)({num})(?: |\z)", after=("peso",), before=" talla"),
+    Field("medida_peso", _unit("peso{colon}", " "), groups=2, before="talla"),
     Field(
         "talla",
-        r"talla{colon}(?:\( ?[a-z]+ ?\) ?)?({num})(?: ?\(?[a-z]+\)?)? (?=.*?imc)",
-        needs="imc",
+        r"talla{colon}(?:\( ?[a-z]+ ?\) ?)?({num})(?: ?\(?[a-z]+\)?)? ",
+        before="imc",
     ),
-    Field("medida_talla", _unit("talla{colon}", " (?=.*?imc)"), groups=2, needs="imc"),
+    Field("medida_talla", _unit("talla{colon}", " "), groups=2, before="imc"),
     Field("imc", "imc{colon}({num}) ?cuello"),
     Field("cuello", "cuello{colon}({num}) ?[a-z]* ?perimetro"),
     Field("medida_cuello", r"cuello{colon}{num} ?([^\d ]+) ?perimetro"),
@@ -62,7 +66,7 @@ DOC = [
         r"Perimetro Abdominal{colon}{num} ?([^\d ]+) ?Solicita",
         cased=True,
     ),
-    Field("solicita", "solicita{colon}(.*?) ?e(?:mpresa|ps)", needs="e(?:mpresa|ps)"),
+    Field("solicita", "solicita{colon}(.*?) ?e(?:mpresa|ps)", through="e(?:mpresa|ps)"),
     Field("empresa", rf"e(?:mpresa|ps){{colon}}(.{{1,50}}?)(?= ?(?:fecha|{_DATE_AHEAD}|\z))"),
     Field("fecha_estudio", r"fecha{colon}(\d{1,4}[-/]\d{2}[-/]\d{2,4}) ?procedimiento"),
     Field("epworth", r"epworth{colon}(\d+) ?/24"),
@@ -99,16 +103,19 @@ _INDEX_CELLS = r"indice (?:\(nº/h tst\)|\[nº/h\])"
 RTF = [
     Field(
         "nombre",
-        r"nombre ?(?:del ?paciente)?{cell}([a-z0-9., ]+)(?= ?\|? ?(?:edad|\z))",
+        r"\n ?(?:del ?paciente)?{cell}([a-z0-9., ]+)(?= ?\|? ?(?:edad|\t))",
+        pieces=r"nombre( ?(?:del ?paciente)?{cell}"
+        r"(?:(?!nombre ?(?:del ?paciente)? ?(?::|\|(?! ?(?:edad|\t))))[a-z0-9., ])*+"
+        r"(?:\|? ?(?:edad|\t))?+)",
     ),
     Field("edad_anos", r"edad{sep}(\d+) ?anos?.{0,100}?id"),
     Field("edad_meses", r"edad.{0,100}?(\d+) ?meses?.{0,100}?id"),
     Field("edad_dias", r"edad.{0,100}?(\d+) ?dias?.{0,100}?id"),
     _IDENTIFIER,
-    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?talla)", needs="talla"),
-    Field("medida_peso", _unit("peso{cell}", "(?=.*?talla)", gap=r" ?\|? ?"), groups=2, needs="talla"),
-    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})(?=.*?imc)", needs="imc"),
-    Field("medida_talla", _unit("talla{cell}", "(?=.*?imc)", gap=r" ?\|? ?"), groups=2, needs="imc"),
+    Field("peso", r"peso{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})", before="talla"),
+    Field("medida_peso", _unit("peso{cell}", "", gap=r" ?\|? ?"), groups=2, before="talla"),
+    Field("talla", r"talla{cell}(?:\( ?[a-z]+ ?\) ?\|?)? ?({num})", before="imc"),
+    Field("medida_talla", _unit("talla{cell}", "", gap=r" ?\|? ?"), groups=2, before="imc"),
     Field("imc", r"imc{cell}({loose}) ?\|? ?cuello"),
     Field("cuello", r"cuello{cell}(\d+) ?[a-z]+ ?\|? ?perimetro"),
     Field("medida_cuello", r"cuello{cell}\d+ ?([a-z]+) ?\|? ?perimetro"),
@@ -117,7 +124,7 @@ RTF = [
         "medida_perimetro_abdominal",
         r"perimetro ?abdominal{cell}\d+ ?([a-z]+) ?\|? ?solicita",
     ),
-    Field("solicita", r"solicita{cell}(.+?) ?\|? ?empresa", needs="empresa"),
+    Field("solicita", r"solicita{cell}(.+?) ?\|? ?empresa", through="empresa"),
     Field(
         "empresa",
         rf"e(?:mpresa|ps){{cell}}(.{{1,50}}?)(?= ?\|? ?(?:fecha|{_DATE_AHEAD}|\z))",

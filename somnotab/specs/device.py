@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from somnotab.specs.fields import Field, cased
 
+# The label of the name, which the capnography report shares.
+NAME = Field(
+    "nombre_paciente",
+    r"\n(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad\b)",
+    pieces=r"Nombre((?: del paciente)?:? ?\|? ?"
+    r"(?:(?!Nombre(?: del paciente)?(?::| ?\|(?! ?Edad\b)))[\w -])*+(?:\|? ?Edad\b)?+)",
+)
+
 # Labels, units and stop words of the DOC layout.
 DOC = cased(
-    Field("nombre_paciente", r"Nombre(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad\b)", needs="Edad"),
+    NAME,
     Field("edad_paciente", "Edad{sep}({num})"),
     Field("id_paciente", r"Id{sep}(\d{4,10})"),
     Field("peso_paciente", r"Peso{sep}(?:\([kK]g\))? ?({num})"),
@@ -14,12 +22,14 @@ DOC = cased(
     Field("imc_paciente", "IMC{sep}({num})"),
     Field("cuello_paciente", "Cuello{sep}({num})"),
     Field("perimetro_abdominal", "perimetro abdominal[: ]*({num}) ?cm"),
-    Field("md_solicita", "Solicita{sep}(.*?) Empresa", needs="Empresa"),
-    Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha", needs="Fecha"),
+    Field("md_solicita", "Solicita{sep}(.*?) Empresa", through=" Empresa"),
+    Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha", through="Fecha"),
     Field("fecha_proced", "Fecha{sep}({dmy}|{ymd})(?= ?PROCEDIMIENTO)"),
     Field("escala_epworth", r"Escala de Epworth{sep}(\d{1,2}/\d{2})"),
     Field("eficiencia_sueno", r"eficiencia de sueno de ?\(? ?({num})"),
-    Field("latencia_total", r"latencia de sueno fue\D*({dec})"),
+    Field(
+        "latencia_total", r"\n[^\d\n]*({dec})", pieces=r"latencia de sueno fue(\D*+(?:{dec})?+)"
+    ),
     Field("latencia_rem", "latencia de sueno REM(?: fue)?(?: de)?[:|]? ?({dec}) minutos"),
     Field("sueno_profundo", r"porcentaje de sueno profundo \(estadio 3\) de ({num})%"),
     Field("indice_microalertamientos", "indice de microalertamientos fue ({num})/hora"),
@@ -43,7 +53,7 @@ DOC = cased(
 
 # Labels, units and stop words of the RTF layout.
 RTF = cased(
-    Field("nombre_paciente", r"Nombre del paciente: ?\|?(.*?)\|Edad", needs="Edad"),
+    Field("nombre_paciente", r"Nombre del paciente: ?\|?(.*?)\|Edad", through=r"\|Edad"),
     Field("edad_paciente", r"Edad: ?(\d{1,3}) ?anos"),
     Field("id_paciente", r"Identificacion: ?\|?(\d{6,11})\|"),
     Field("peso_paciente", r"Peso: ?(\d{2,3}) ?Kg"),
@@ -51,8 +61,8 @@ RTF = cased(
     Field("imc_paciente", r"IMC: ?(\d{2}(?:[.,]\d{1,2})?)"),
     Field("cuello_paciente", r"Cuello: ?(\d{2,3}) ?cm"),
     Field("perimetro_abdominal", r"Perimetro Abdominal: ?(\d{2,3}) ?cm"),
-    Field("md_solicita", r"Solicita: ?\|?(.*?)\|Empresa", needs="Empresa"),
-    Field("eps_paciente", r"Empresa: ?\|?(.*?)\|Fecha del estudio", needs="Fecha del estudio"),
+    Field("md_solicita", r"Solicita: ?\|?(.*?)\|Empresa", through=r"\|Empresa"),
+    Field("eps_paciente", r"Empresa: ?\|?(.*?)\|Fecha del estudio", through=r"\|Fecha del estudio"),
     Field("fecha_proced", r"Fecha del estudio: ?(\d{1,2}/\d{1,2}/\d{4})"),
     Field("escala_epworth", r"\(Escala de Epworth (\d{1,2}/\d{2})\)"),
     Field("eficiencia_sueno", "eficiencia de sueno de ?({num3})%"),

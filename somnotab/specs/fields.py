@@ -4,12 +4,18 @@ A pattern is written with the placeholders below and may assume single spaces. I
 long ``marker ... .* ... value`` expressions a field names the *region* it lives in:
 
 * ``after=(m1, m2)``: the text after the first ``m1``, then after the first ``m2`` in that;
-* ``before=m``: the text before the last ``m``, a plain phrase;
-* ``needs=m``: the whole text, but nothing if ``m`` does not occur in it. For patterns that end with
-  a closing word: without one, every opening word would be tried to the end of the text.
-
-For a leftmost search both say the same as the long expression, but a region is cut once per
-record and shared by all fields that name it, and a missing marker leaves nothing to search.
+* ``before=m``: the text before the last ``m``. For values that some closing word follows anywhere;
+* ``through=m``: the text up to the end of the last ``m``. For values that reach to the next closing word,
+  whatever lies between: the first opening word in the region then has one;
+* ``pieces=p``: what the group of ``p`` holds at each of its matches, each behind a line feed (``\n``), with a
+  tab (``\t``) for the end of the text. For values of certain characters up to a closing word: ``p`` is the
+  opening word and, in the group, all such characters behind it and the closing word if it is another one. An
+  opening word inside a piece needs no piece of its own, since what closes its value closes the
+  outer one as well; one that reaches past the end of the piece must not be swallowed, so ``p`` stops there.
+
+For a leftmost search these say the same as the long expression, but a region is cut once per
+record and shared by all fields that name it, and a missing marker leaves nothing to search. However often
+the opening words repeat, and wherever the closing word stands, no text is read once for each of them.
 """
 
 from __future__ import annotations
@@ -72,7 +78,8 @@ class Field:
     pattern: str
     after: tuple[str, ...] = ()
     before: str | None = None
-    needs: str | None = None
+    through: str | None = None
+    pieces: str | None = None
     cased: bool = False
     groups: int = 1
 
@@ -99,8 +106,10 @@ class Field:
         cuts = tuple(("after", m, self.flags) for m in self.after)
         if self.before is not None:
             cuts += (("before", self.before, self.flags),)
-        if self.needs is not None:
-            cuts += (("needs", self.needs, self.flags),)
+        if self.through is not None:
+            cuts += (("through", self.through, self.flags),)
+        if self.pieces is not None:
+            cuts += (("pieces", expand(self.pieces), self.flags),)
         return (self.lowered, *cuts)
 
     def named(self, name: str) -> "Field":

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from somnotab.specs.device import NAME
 from somnotab.specs.fields import Field, cased
 
 _WORD = "[a-záéíóúüñ]+"
+_ASLEEP = "durante (?:el )?sueno"
 _DISTRIBUTION = ("Distribucion de EtCO2",)
 
 
@@ -15,13 +17,7 @@ def _mean_cell(name: str, skipped: int) -> Field:
 
 # Labels, units and stop words of the capnography layouts.
 CAPNOGRAPHY_DOC = [
-    *cased(
-        Field(
-            "nombre_paciente",
-            r"Nombre(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad\b)",
-            needs="Edad",
-        )
-    ),
+    *cased(NAME),
     Field("edad_paciente", "edad{sep}({num})"),
     Field(
         "medida_edad_paciente",
@@ -29,12 +25,13 @@ CAPNOGRAPHY_DOC = [
     ),
     *cased(
         Field("id_paciente", r"Id{sep}([A-Za-z]?\d{4,10})"),
-        Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha", needs="Fecha"),
+        Field("eps_paciente", "Empresa{sep}(.*?) ?Fecha", through="Fecha"),
         Field("fecha_proced", "Fecha{sep}({dmy}|{ymd})(?= ?DATOS)"),
     ),
     Field(
         "media_etco2_sueno",
-        r"durante (?:el )?sueno\D*\d+\D*durante (?:el )?sueno\D*({dec})",
+        rf"\n\d+[^\d\n]*?{_ASLEEP}[^\d\n]*({{dec}})",
+        pieces=rf"{_ASLEEP}\D*+(?:(?=(\d++\D*+{{dec}})))?+",
     ),
     *cased(
         Field("media_etco2_rem", "Durante REM: ?{num} ?Durante REM: ?({dec})"),
@@ -45,7 +42,7 @@ CAPNOGRAPHY_DOC = [
 
 CAPNOGRAPHY_RTF = [
     *cased(
-        Field("nombre_paciente", r"Nombre(?: del paciente)?:\|([^|]+)\|Edad", needs="Edad"),
+        Field("nombre_paciente", r"Nombre(?: del paciente)?:\|([^|]+)\|Edad"),
         Field("edad_paciente", r"\|Edad\| ?(\d{1,2}) ?anos?\b"),
     ),
     Field("medida_edad_paciente", r"edad\|? ?\d+ ?(\w+)\|? ?id"),
@@ -97,7 +94,7 @@ POLYGRAPHY_DOCX = [
         r"fecha\D{1,10}(\d{1,2}[/-]\d{1,2}[/-]\d{4}"
         r"|\d{1,2} ?(?:de|del)? ?[a-z]+ ?(?:de|del)?\d{4}) ?informacion",
     ),
-    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?id", needs="id"),
+    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?id"),
     Field(
         "id_paciente",
         r"(?:id|cc|ti|ce) ?:? ?([a-z0-9]+)(?=\D*?(?:edad|\z))",

@@ -13,8 +13,8 @@ def _mask(device: str, alphabet: str, inside_quotes: str) -> list[Field]:
     return [
         Field(
             "mascara_marca",
-            rf"\b{device}\b es marca ([{alphabet} &.-]+?)(?= y se utilizo mascara)",
-            needs="y se utilizo mascara",
+            rf"\n([{alphabet} &.-]+?)(?= y se utilizo mascara)",
+            pieces=rf"\b{device}\b es marca ([{alphabet} &.-]*+)",
         ),
         Field("mascara_tipo", r"mascara (\w+) tamano"),
         Field(
@@ -26,6 +26,7 @@ def _mask(device: str, alphabet: str, inside_quotes: str) -> list[Field]:
             "mascara_referencia",
             r"\([Rr]ef\. ([^)]+)\)",
             after=(r"\bmascara\b", r"\btamano\b"),
+            through=r"\)",
         ),
     ]
 
@@ -41,7 +42,12 @@ _SLEEP_ARCHITECTURE = ("interpretacion arquitectura del sueno:",)
 
 # Labels, units and stop words of the CPAP layouts.
 CPAP_DOC = [
-    Field("nombre_paciente", r"nombre(?: del paciente)?{sep}({words})(?={sep}edad\b)", needs="edad"),
+    Field(
+        "nombre_paciente",
+        r"\n(?: del paciente)?{sep}({words})(?={sep}edad\b)",
+        pieces=r"nombre((?: del paciente)?{sep}"
+        r"(?:(?!nombre(?: del paciente)? ?[:|](?! ?edad\b))[\w -])*+(?:[:|]? ?edad\b)?+)",
+    ),
     Field("edad_paciente", "edad{sep}({num})"),
     Field("medida_edad_paciente", r"edad{sep}\d+ ?(anos|meses)\b", cased=True),
     Field("id_paciente", "id{sep}([a-z0-9]{4,20})"),
@@ -56,7 +62,7 @@ CPAP_DOC = [
     ),
     Field(
         "eficiencia_sueno",
-        r"(?:\(|[, ]+para una eficiencia(?: de sueno)? de |eficiencia[:( ]+)({dec})",
+        r"(?:\(|[, ]para una eficiencia(?: de sueno)? de |eficiencia[:( ]+)({dec})",
         after=("interpretacion ",),
     ),
     Field("porc_sueno_rem", "(?:porcentaje|%) de sueno rem ?(?:de |[:=] ?)({dec})"),
@@ -76,7 +82,7 @@ CPAP_DOC = [
 
 CPAP_DOCX = [
     *cased(
-        Field("nombre_paciente", "Nombre: ?(.*?) ?Edad", needs="Edad"),
+        Field("nombre_paciente", "Nombre: ?(.*?) ?Edad", through="Edad"),
         Field("edad_paciente", r"Edad{sep}(\d{1,3})"),
     ),
     Field("medida_edad_paciente", r"edad{sep}\d{1,3} ?(\w+)"),
@@ -110,7 +116,7 @@ CPAP_DOCX = [
 ]
 
 _RTF_PATIENT = cased(
-    Field("nombre_paciente", r"Nombre(?: del paciente)?:? ?\|?(.*?)\|Edad", needs="Edad"),
+    Field("nombre_paciente", r"Nombre(?: del paciente)?:? ?\|?(.*?)\|Edad", through=r"\|Edad"),
     Field("edad_paciente", r"Edad[:|]? ?(\d{1,3}) ?anos"),
     Field("id_paciente", r"(?:Id|Identificacion)[:|]? ?\|?(\d{5,10})\b"),
 )
@@ -173,7 +179,11 @@ _MEASURE = r"(\d{2,3}(?:[.,]\d+)?)"
 # Labels, units and stop words of the BPAP layouts.
 BPAP_DOC = [
     *cased(
-        Field("nombre_paciente", "Nombre{sep}({two words})(?= Edad)", needs="Edad"),
+        Field(
+            "nombre_paciente",
+            r"\n{sep}({two words})(?= Edad)",
+            pieces=r"Nombre({sep}(?:(?!Nombre ?[:|])[\w -])*+)",
+        ),
         Field("edad_paciente", r"Edad{sep}(\d{1,3})"),
         Field("id_paciente", r"Id{sep}(\d{5,12})"),
         Field("peso_paciente", f"Peso{{sep}}{_MEASURE} ?kg"),
@@ -181,8 +191,8 @@ BPAP_DOC = [
         Field("imc_paciente", r"IMC{sep}(\d{2}(?:[.,]\d+)?)"),
         Field("cuello_paciente", f"Cuello{{sep}}{_MEASURE} ?cm"),
         Field("perimetro_abdominal", f"Perimetro Abdominal{{sep}}{_MEASURE} ?cm"),
-        Field("md_solicita", "Solicita{sep}(.*?) Empresa", needs="Empresa"),
-        Field("eps_paciente", "Empresa{sep}(.*?) Fecha", needs="Fecha"),
+        Field("md_solicita", "Solicita{sep}(.*?) Empresa", through=" Empresa"),
+        Field("eps_paciente", "Empresa{sep}(.*?) Fecha", through=" Fecha"),
         Field("fecha_proced", "Fecha{sep}({dmy})"),
     ),
     *_CASED_MASK_TIGHT,
@@ -213,8 +223,8 @@ BPAP_RTF = [
         Field("imc_paciente", "IMC[:|]? ?({num})"),
         Field("cuello_paciente", r"Cuello[:|]? ?\|?({num}) ?cm"),
         Field("perimetro_abdominal", "Perimetro Abdominal[:|]? ?({num}) ?cm"),
-        Field("md_solicita", r"Solicita[:|]? ?\|?(.*?) ?\|Empresa", needs="Empresa"),
-        Field("eps_paciente", r"Empresa[:|]? ?\|?(.*?) ?\|Fecha", needs="Fecha"),
+        Field("md_solicita", r"Solicita[:|]? ?\|?(.*?) ?\|Empresa", through=r"\|Empresa"),
+        Field("eps_paciente", r"Empresa[:|]? ?\|?(.*?) ?\|Fecha", through=r"\|Fecha"),
     ),
     _RTF_DATE,
     *_CASED_MASK_TIGHT,
@@ -239,7 +249,7 @@ BPAP_RTF = [
 
 # Labels, units and stop words of the automatic CPAP layout.
 AUTOCPAP_DOCX = [
-    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?sexo", needs="sexo"),
+    Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?sexo"),
     Field("sexo_paciente", "sexo ?: ?([^:]+?) ?fecha"),
     Field(
         "fecha_estudio",
