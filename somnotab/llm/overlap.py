@@ -209,6 +209,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
     """
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
+    # Stored, so that the join with a key of very many nodes has two shuffled sides and can be split.
+    shared = storage.staged(shared, "overlap-shared")
     several = storage.staged(keyed.join(shared, "key"), "overlap-buckets")
     members = several.groupBy("key", "n", "center").agg(
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
@@ -270,6 +272,7 @@ def candidates(meeting: DataFrame, rooted: DataFrame, nodes: DataFrame, percent:
     blocks = F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")
     chunks = F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("long").alias("chunks")
     split = split.where("parts > 1").select("key", F.col("main.label").alias("main"), blocks, chunks)
+    split = storage.staged(split, "overlap-split")
     rows = known.join(split, "key")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = rows.select(
@@ -313,6 +316,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, id_col: s
 
     arrays = storage.staged(texts.mapInArrow(compute, "node long, shingles binary"), "overlap-arrays")
     often = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
+    often = storage.staged(often, "overlap-often")
     chunk = F.pmod(F.xxhash64("u"), F.col("chunks")).alias("chunk")
     own = arrays.select(F.col("node").alias("u"), F.col("shingles").alias("array"))
     ones = pairs.join(often, "v").select("v", "u", chunk).join(own, "u")
