@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -26,6 +27,8 @@ from somnotab.operators import (
 )
 from somnotab.plans import curation as curation_plan
 from somnotab.plans.extraction import extracted_reports
+from somnotab.session import checkpoint_root
+from somnotab.sources import tables
 from somnotab.specs import workbook as wb
 from somnotab.specs.curated import MEASURES, ColumnClasses, measure
 from somnotab.specs.exams import EXAMS, EXTRACTORS, READABLE, extractor_for
@@ -653,6 +656,28 @@ def _column_pairs(spark, folder):
     ).distinct()
 
 
+def _written_files(spark, folder) -> str:
+    """A folder of result files, up to four for each source: its columns as header, a line per line item."""
+    headers = _column_pairs(spark, folder).groupBy("source").agg(F.array_join(F.collect_set("column"), ",").alias("header"))
+    lines = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("file"), (F.col("l_orderkey") % 97).cast("string")).alias("own"),
+        F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).alias("part"),
+        F.concat_ws(",", "l_partkey", "l_quantity").alias("line"),
+    )
+    bodies = lines.groupBy("own", "part").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+    files = headers.join(bodies, F.col("source") == F.col("own"), "left")
+    path = f"{checkpoint_root(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    text = F.concat_ws("\n", "header", "body").alias("value")
+    parts = files.select(text, "source", F.coalesce("part", F.lit(0)).alias("part"))
+    parts.write.partitionBy("source", "part").text(path)
+    return path
+
+
+def _of_folder(file):
+    """The source that a file's folder names."""
+    return F.regexp_extract(file, "source=([^/]+)/", 1)
+
+
 def _joined(name: str):
     return F.array_join(name, ",").alias(name)
 
@@ -668,7 +693,8 @@ def _joined(name: str):
     group by s.source""",
 )
 def schema_diff(spark, folder):
-    found = schema.missing_columns(_column_pairs(spark, folder))
+    columns = tables.folder_columns(spark, [_written_files(spark, folder)], _of_folder)
+    found = schema.missing_columns(columns)
     return found.select("source", _joined("missing"))
 
 
@@ -683,7 +709,8 @@ def schema_diff(spark, folder):
     from (select distinct source from p) s""",
 )
 def schema_diff_base(spark, folder):
-    found = schema.differences_from_base(_column_pairs(spark, folder), "file0")
+    columns = tables.folder_columns(spark, [_written_files(spark, folder)], _of_folder)
+    found = schema.differences_from_base(columns, "file0")
     return found.select("source", _joined("missing"), _joined("extra"))
 
 
@@ -696,11 +723,9 @@ def schema_diff_base(spark, folder):
     on r.source = p.source group by p.source""",
 )
 def source_shape(spark, folder):
-    lines = table(spark, folder, "lineitem")
-    rows = lines.select(
-        F.concat(F.lit("file"), (F.col("l_orderkey") % 97).cast("string")).alias("source")
-    )
-    return schema.source_shapes(rows, _column_pairs(spark, folder))
+    path = _written_files(spark, folder)
+    columns = tables.folder_columns(spark, [path], _of_folder)
+    return schema.source_shapes(tables.folder_rows(spark, [path], _of_folder), columns)
 
 
 # --- profile ------------------------------------------------------------------------------

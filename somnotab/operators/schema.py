@@ -16,10 +16,11 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 def source_shapes(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``(source, n_rows, n_columns)``.
 
-    ``rows`` has one line per data row with its ``source``; ``columns`` is the
-    ``(source, column)`` table. A source without rows is listed with zero.
+    ``rows`` has one line per data row with its ``source``, or is counted already as
+    ``(source, n_rows)``; ``columns`` is the ``(source, column)`` table. A source without rows is
+    listed with zero.
     """
-    counts = rows.groupBy("source").agg(F.count("*").alias("n_rows"))
+    counts = rows if "n_rows" in rows.columns else rows.groupBy("source").agg(F.count("*").alias("n_rows"))
     widths = columns.groupBy("source").agg(F.countDistinct("column").alias("n_columns"))
     return widths.join(counts, "source", "left").select(
         "source", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_columns"

@@ -1,0 +1,7 @@
+"""Readers and writers. Their functions that run in tasks are sent by value: executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -46,6 +46,12 @@ def _binary(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
+def list_paths(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of the files that a path, a folder or a file, stands for."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listing.select("path", "length")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length)`` of the files below the folder; contents are not read.
 

@@ -1,6 +1,10 @@
 """Schemas, profile, batch gate, workbooks, search, inventory, flows."""
 
+import csv
+import io
+import random
 from datetime import date, datetime, timedelta, timezone
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from somnotab.operators import ingest, inventory, profile, schema, search, workb
 from somnotab.plans import extraction as flow
 from somnotab.plans.load import load_batch
 from somnotab.session import discard
-from somnotab.sources import files, sinks, tables
+from somnotab.sources import files, records, sinks, tables
 from somnotab.specs import workbook as wb
 from somnotab.streaming.reports import append_new_reports
 
@@ -289,3 +293,112 @@ def test_stream_appends_each_report_once(spark, tmp_path):
         assert spark.read.parquet(output).count() == i + 1
     statuses = {r["doc_id"]: r["status"] for r in spark.read.parquet(output).collect()}
     assert statuses == {0: "ok", 1: "unknown_type"}
+
+
+def _random_csv(rng, rows, end):
+    """Values with quotes, commas and line ends of every kind."""
+    made = [["".join(rng.choice('xy ,"\n\r') for _ in range(rng.randrange(9))) for _ in range(3)] for _ in range(rows)]
+    made = [["id", "a,b", "texto"], *[r for r in made if any(r)]]
+    buffer = io.StringIO(newline="")
+    csv.writer(buffer, quoting=csv.QUOTE_ALL, lineterminator=end).writerows(made)
+    return made, buffer.getvalue()
+
+
+@pytest.mark.parametrize("size", ["70", "333", "1m"])
+def test_records_across_cut_points(spark, tmp_path, size):
+    """Whatever the splits, every record is whole, in order and once."""
+    rng = random.Random(size)
+    want = {}
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("c d", "\n")):
+        want[f"{name}.csv"], text = _random_csv(rng, 25, end)
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+    (tmp_path / "none.csv").write_text("")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {}
+        for r in records.records(spark, str(tmp_path)).orderBy("file", "split", "at").collect():
+            [values] = csv.reader(io.StringIO(r["record"], newline=""))
+            got.setdefault(unquote(r["file"]).rsplit("/", 1)[1], []).append(values)
+        assert got == want
+        frame = tables.read_results(spark, [str(tmp_path)], multi_line=True)
+        assert frame.columns == ["id", "a,b", "texto"]
+        missing = tables.NULL_TEXTS
+        rows = [tuple(v if v not in missing else None for v in r) for rows in want.values() for r in rows[1:]]
+        assert sorted(map(tuple, frame.collect()), key=repr) == sorted(rows, key=repr)
+        counts = {r["source"]: r["n_rows"] for r in tables.folder_rows(spark, [str(tmp_path)], multi_line=True).collect()}
+        assert counts == {name: len(rows) - 1 for name, rows in want.items()}
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
+def test_split_starts_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    made, text = _random_csv(random.Random(3), 60, "\n")
+    (tmp_path / "x.csv").write_text(text, newline="")
+    monkeypatch.setattr(records, "BROADCAST_BYTES", 0)
+    rows = records.records(spark, str(tmp_path)).orderBy("split", "at").collect()
+    assert [next(csv.reader(io.StringIO(r["record"], newline=""))) for r in rows] == made
+
+
+def test_folder_to_schema_table(spark, tmp_path):
+    (tmp_path / "uno.csv").write_text("﻿id,peso\n1,2\n\n3,4\n", encoding="utf-8")
+    (tmp_path / "dos.csv").write_text('id,"talla, cm","dos\nlineas"\r\n1,2,3\r\n')
+    (tmp_path / "tres.csv").write_text("id")
+    (tmp_path / "tres y medio.csv").write_text("id,x" + "y" * 9000 + "\n")
+    (tmp_path / "vacio.csv").write_text("")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "uno.csv").write_text("id,edad\n5,6\n")
+    folder = str(tmp_path)
+    columns = tables.folder_columns(spark, [folder])
+    pairs = {}
+    for r in columns.collect():
+        pairs.setdefault(r["source"], set()).add(r["column"])
+    assert pairs == {
+        "uno.csv": {"id", "peso", "edad"}, "dos.csv": {"id", "talla, cm", "dos\nlineas"}, "tres.csv": {"id"},
+        "tres y medio.csv": {"id", "x" + "y" * 9000},
+    }
+    rows = {r["source"]: r["n_rows"] for r in tables.folder_rows(spark, [folder], multi_line=True).collect()}
+    assert rows == {"uno.csv": 3, "dos.csv": 1, "tres.csv": 0, "tres y medio.csv": 0}
+    shapes = schema.source_shapes(tables.folder_rows(spark, [folder], multi_line=True), columns).collect()
+    assert {tuple(r) for r in shapes} == {("uno.csv", 3, 3), ("dos.csv", 1, 3), ("tres.csv", 0, 1), ("tres y medio.csv", 0, 2)}
+    missing = {r["source"]: r["missing"] for r in schema.missing_columns(columns).collect()}
+    assert missing["uno.csv"] == ["dos\nlineas", "talla, cm", "x" + "y" * 9000]
+    [base] = schema.differences_from_base(columns, "uno.csv").where("source = 'tres.csv'").collect()
+    assert (base["missing"], base["extra"]) == (["edad", "peso"], [])
+
+
+def test_headers_where_only_spark_opens_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.csv").write_text("﻿id,peso\n1,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("id\n1\n")
+    monkeypatch.setattr(tables, "_OPENED", {})
+    found = {r["file"].rsplit("/", 1)[1]: r["header"] for r in tables.headers(spark, [str(tmp_path)]).collect()}
+    assert found == {"a b.csv": "id,peso", "c.csv": "id"}
+
+
+def test_only_the_first_bytes_of_a_file_are_read(tmp_path, monkeypatch):
+    (tmp_path / "big.csv").write_text("id,peso\n" + "1,2\n" * 100_000)
+    read = []
+
+    class Stream:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.stream.read(n)
+
+    class System:
+        def open_input_stream(self, name, buffer_size):
+            return Stream(open(name, "rb"))
+
+    monkeypatch.setattr(tables.fs, "LocalFileSystem", System)
+    assert tables._first_record(f"file:{tmp_path}/big.csv") == "id,peso"
+    assert sum(read) == 4096
