@@ -28,7 +28,7 @@ from somnotab.operators import (
 from somnotab.plans import curation as curation_plan
 from somnotab.plans.extraction import extracted_reports
 from somnotab.session import checkpoint_root
-from somnotab.sources import tables
+from somnotab.sources import tables, warehouse
 from somnotab.specs import workbook as wb
 from somnotab.specs.curated import MEASURES, ColumnClasses, measure
 from somnotab.specs.exams import EXAMS, EXTRACTORS, READABLE, extractor_for
@@ -1028,12 +1028,29 @@ def ingest_status_existing(spark, folder):
     """The target also holds identifiers of the batch under days the batch does not name."""
     events = table(spark, folder, "events")
     batch = _batch(spark, folder)
-    target = events.where("event_id % 50 = 3").select(
+    return _status(ingest.gate(batch, "day", _loaded_rows(events)))
+
+
+def _loaded_rows(events):
+    return events.where("event_id % 50 = 3").select(
         F.col("event_id").cast("string").alias("uuid"),
         F.expr("case when day(ts) <= 10 then cast(ts as date)"
                " else date_add(cast(ts as date), 400) end").alias("day"),
     )
-    return _status(ingest.gate(batch, "day", target))
+
+
+@check("ingest_status_indexed", ORACLES["ingest_status_existing"])
+def ingest_status_indexed(spark, folder):
+    """The same, answered by the side table of a warehouse; a batch without a marker does not count."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events")
+    warehouse.append(_loaded_rows(events), path, "one", "day")
+    warehouse.commit(spark, path, "one", {})
+    failed = events.select(F.col("event_id").cast("string").alias("uuid"), F.col("ts").cast("date").alias("day"))
+    warehouse.append(failed, path, "failed", "day")
+    batch = _batch(spark, folder)
+    loaded = warehouse.already_loaded(spark, path, ingest.keyed_rows(batch, "day"), "day")
+    return _status(ingest.gate(batch, "day", loaded=loaded))
 
 
 @check(

@@ -96,9 +96,14 @@ def already_loaded(keyed: DataFrame, target: DataFrame, date_field: str) -> Data
     return loaded.join(keyed.select("uuid").distinct(), "uuid", "left_semi").distinct()
 
 
-def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) -> DataFrame:
+def gate(
+    batch: DataFrame, date_field: str, target: DataFrame | None = None, loaded: DataFrame | None = None
+) -> DataFrame:
     """One row that says what happens to the batch.
 
+    ``target`` is the table as it stands; a table with a side table of identifiers answers itself, by
+    ``loaded``, which of the batch's it holds.
+
     ``(status, reason, n_rows, n_keyed, n_bad_dates, n_duplicates, duplicates, n_existing,
     existing)``. Checks in order: an unreadable date on a keyed row, no keyed row at all,
     duplicates in the batch, identifiers already loaded, and a date that is missing or
@@ -119,6 +124,7 @@ def gate(batch: DataFrame, date_field: str, target: DataFrame | None = None) ->
     offenders = repeated.select("uuid", F.lit(_REPEATED).alias("kind"))
     if target is not None:
         loaded = already_loaded(keyed, target, date_field)
+    if loaded is not None:
         offenders = offenders.unionAll(loaded.select("uuid", F.lit(_LOADED)))
     offenders = stage(offenders, "offenders")
     parts = [

@@ -23,12 +23,60 @@ def qualified(spark: SparkSession, path: str) -> str:
     return file_system.makeQualified(hadoop_path).toString()
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    file_system, folder = _hadoop_path(spark, path)
+    if not file_system.exists(folder):
+        return []
+    return [status.getPath().getName() for status in file_system.listStatus(folder)]
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    return "\n".join(row["value"] for row in spark.read.text(path).collect())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    file_system, folder = _hadoop_path(spark, path)
+    file_system.delete(folder, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a file or folder a name that is not taken; the folder of the new name is made."""
+    file_system, target = _hadoop_path(spark, new)
+    if file_system.exists(target):
+        raise OSError(f"{new} exists already")
+    file_system.mkdirs(target.getParent())
+    if not file_system.rename(_hadoop_path(spark, old)[1], target):
+        raise OSError(f"could not move {old} to {new}")
+
+
+def _previous(path: str) -> str:
+    return f"{path.rstrip('/')}-previous"
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put back the folder that an interrupted swap has moved aside; nothing to do otherwise."""
+    if not path_exists(spark, path) and path_exists(spark, _previous(path)):
+        rename(spark, _previous(path), path)
+
+
 def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put a folder that is written in full in the place of another."""
-    file_system, old = _hadoop_path(spark, path)
-    file_system.delete(old, True)
-    if not file_system.rename(_hadoop_path(spark, fresh)[1], old):
-        raise OSError(f"could not move {fresh} to {path}")
+    """Put a folder that is written in full in the place of another.
+
+    The old one is moved aside, not deleted, until the new one has its name. A failure between the two
+    is undone at once, or, if the driver is lost, by ``restore`` or the next swap.
+    """
+    restore(spark, path)
+    delete_folder(spark, _previous(path))
+    if path_exists(spark, path):
+        rename(spark, path, _previous(path))
+    try:
+        rename(spark, fresh, path)
+    except Exception:
+        restore(spark, path)
+        raise
+    delete_folder(spark, _previous(path))
 
 
 def validate_folder(spark: SparkSession, path: str) -> str:

@@ -99,13 +99,3 @@ def publish(
     scaled.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/data")
     manifest = format_manifest(curated, classes, percents)
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/formats")
-
-
-def append_partitioned(rows: DataFrame, path: str, date_field: str) -> None:
-    """Append to the date-partitioned table in one job; days of any size share the tasks."""
-    (
-        rows.hint("rebalance", date_field)
-        .write.mode("append")
-        .partitionBy(date_field)
-        .parquet(path)
-    )

@@ -13,7 +13,7 @@ from somnotab.operators import ingest, inventory, profile, schema, search, workb
 from somnotab.plans import extraction as flow
 from somnotab.plans.load import load_batch
 from somnotab.session import discard
-from somnotab.sources import files, records, sinks, tables
+from somnotab.sources import files, records, sinks, tables, warehouse
 from somnotab.specs import workbook as wb
 from somnotab.streaming.reports import append_new_reports
 
@@ -128,7 +128,7 @@ def test_load(spark, tmp_path):
     assert load([("d", "2024-05-01", "")], table="no-name")["status"] == "error"
     assert load([("d", "2024-05-01", "")], field="")["status"] == "error"
     assert load([("d", "2024-05-01", "")], field="falta")["status"] == "exception"
-    stored = spark.read.parquet(f"{tmp_path}/t")
+    stored = warehouse.read(spark, f"{tmp_path}/t")
     assert stored.count() == 4
     row = stored.where("uuid = 'a' and day = '2024-05-01'").first()
     assert row["x"] is None and row["day"] == date(2024, 5, 1) and row["migrado"].timestamp() == NOW.timestamp()
@@ -402,3 +402,111 @@ def test_only_the_first_bytes_of_a_file_are_read(tmp_path, monkeypatch):
     monkeypatch.setattr(tables.fs, "LocalFileSystem", System)
     assert tables._first_record(f"file:{tmp_path}/big.csv") == "id,peso"
     assert sum(read) == 4096
+
+
+def _stored(spark, tmp_path):
+    rows = warehouse.read(spark, f"{tmp_path}/t")
+    return [] if rows is None else sorted(r["uuid"] for r in rows.collect())
+
+
+@pytest.mark.parametrize("step", ["stage", "shaped_rows", "append", "keys", "commit before", "commit after", "discard"])
+def test_load_fails_at_a_step(spark, tmp_path, monkeypatch, step):
+    """Whatever step fails, the answer says what is in the table, and the same batch can be loaded again."""
+    from somnotab.plans import load as plan
+
+    def load(rows, batch_id):
+        return load_batch(spark, batch(spark, rows), str(tmp_path), "t", "day", NOW, batch_id)
+
+    assert load([("a", "2024-05-01", "1")], "first")["status"] == "success"
+    real = {"append": warehouse.append, "commit": warehouse.commit, "rename": warehouse.rename}
+
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if step in ("stage", "discard"):
+            m.setattr(plan, step, broken)
+        elif step == "shaped_rows":
+            m.setattr(ingest, step, broken)
+        elif step == "append":
+            m.setattr(warehouse, "append", broken)
+        elif step == "keys":  # rows are written, nothing else
+            m.setattr(warehouse, "append", lambda *a: (real["append"](*a), files.delete_folder(spark, f"{tmp_path}/t/keys/batch=b-second"), broken()))
+        elif step == "commit before":
+            m.setattr(warehouse, "rename", broken)
+        else:  # the marker stands, the answer is lost
+            m.setattr(warehouse, "commit", lambda *a: (real["commit"](*a), broken()))
+        answer = load([("b", "2024-05-01", "1"), ("c", "2024-05-02", "2")], "second")
+    there = step in ("commit after", "discard")
+    assert answer["status"] == ("success" if there else "exception")
+    assert _stored(spark, tmp_path) == (["a", "b", "c"] if there else ["a"])
+    again = load([("b", "2024-05-01", "1"), ("c", "2024-05-02", "2")], "second")
+    assert again["status"] == "success" and again["rows_inserted"] == 2
+    assert again.get("repeated", False) is there
+    assert _stored(spark, tmp_path) == ["a", "b", "c"]
+    assert load([("c", "2024-05-02", "x")], "third")["existing"] == ["c"]
+    assert warehouse.remove_unmarked(spark, f"{tmp_path}/t") == []
+
+
+def test_unmarked_batches(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert warehouse.read(spark, path) is None and warehouse.remove_unmarked(spark, path) == []
+    rows = spark.createDataFrame([("a", date(2024, 5, 1)), (None, date(2024, 5, 1))], "uuid string, day date")
+    warehouse.append(rows, path, "007", "day")
+    assert warehouse.read(spark, path) is None
+    keyed = ingest.keyed_rows(batch(spark, [("a", "2024-05-01", "")]), "day")
+    assert warehouse.already_loaded(spark, path, keyed, "day").collect() == []
+    warehouse.commit(spark, path, "007", {"status": "success"})
+    warehouse.append(rows, path, "8", "day")
+    assert warehouse.read(spark, path).count() == 2
+    assert warehouse.answer_of(spark, path, "007") == {"status": "success"} and warehouse.answer_of(spark, path, "7") is None
+    assert warehouse.remove_unmarked(spark, path) == ["8"]
+    with pytest.raises(ValueError):
+        warehouse.check_batch_id("a/b")
+
+
+def test_lookup_opens_only_files_with_a_hash_of_the_batch(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for day in range(1, 6):
+        rows = spark.createDataFrame([(f"d{day}n{i}", date(2024, 5, day)) for i in range(50)], "uuid string, day date")
+        warehouse.append(rows, path, str(day), "day")
+        warehouse.commit(spark, path, str(day), {})
+
+    def lookup(rows):
+        keyed = ingest.keyed_rows(batch(spark, rows), "day")
+        found = warehouse.already_loaded(spark, path, keyed, "day")
+        return sorted(r["uuid"] for r in found.collect()), found.inputFiles(), warehouse.touched_files(spark, path, keyed)
+
+    # Known on another day of the batch counts, known on a day that the batch does not name does not.
+    loaded, read, touched = lookup([("d2n7", "2024-05-04", ""), ("d3n1", "2024-05-04", ""), ("new", "2024-05-02", "")])
+    assert loaded == ["d2n7"] and len(touched) == 1 and "batch=b-2" in touched[0]
+    assert [f for f in read if "/data/" in f] == [f for f in read if "batch=b-2" in f]
+    loaded, read, touched = lookup([("new", "2024-05-02", "")])
+    assert loaded == touched == [] and not any("/data/" in f for f in read)
+
+
+def test_swap_that_fails_leaves_the_last_table(spark, tmp_path, monkeypatch):
+    path, fresh = f"{tmp_path}/out", f"{tmp_path}/fresh"
+    spark.range(3).write.parquet(path)
+    spark.range(5).write.parquet(fresh)
+    real = files.rename
+    for lost in (1, 2):
+        calls = []
+
+        def failing(spark_, old, new, lost=lost, calls=calls):
+            calls.append(new)
+            if len(calls) == lost:
+                raise OSError("lost")
+            real(spark_, old, new)
+
+        with monkeypatch.context() as m:
+            m.setattr(files, "rename", failing)
+            with pytest.raises(OSError):
+                files.swap_in(spark, fresh, path)
+        assert spark.read.parquet(path).count() == 3
+    # The driver is lost between the two renames.
+    real(spark, path, f"{path}-previous")
+    files.restore(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    files.swap_in(spark, fresh, path)
+    assert spark.read.parquet(path).count() == 5 and not files.path_exists(spark, f"{path}-previous")
