@@ -6,8 +6,10 @@ two, and every payload read back is checked against the digest it is stored unde
 
 Of records with equal payloads of at least ``SHARED_BYTES`` the one with the largest page id is the
 response, the others are revisits that name it; smaller payloads are all responses.
-Which row stores the bytes is decided on digests alone, so payloads are moved once, and copies of one
-payload, however many, never meet: they are dropped by their own page id.
+Pages are scanned twice: once for digests, lengths and headers, which decide records on narrow rows, and
+once for the bytes, which are compressed and stored under their digest. Copies have the same bytes, so any one may
+be kept: each task keeps one of its own before anything is moved, and copies of one payload, however many, never
+meet as such.
 
 Defined cases: a null page is an empty payload; a null url is an empty target; of rows that repeat
 page id and payload all are records and the bytes are stored once; a null page id is smaller than
@@ -20,42 +22,49 @@ import hashlib
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somnotab.llm import storage
 
 SHARED_BYTES = 1000
 EPOCH = "1970-01-01T00:00:00Z"
-INCOMING = "payload_bytes long, sha1 string, digest binary, packed binary"
+#: Of the compression: payloads are moved and stored several times for each time that they are compressed.
+LEVEL = 9
+def _payload(html_col: str):
+    return F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
 
 
 def digested(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, and of the payload: length, SHA-1, SHA-256, compressed bytes."""
-    rows = pages.select(
+    """page_id, url, and of the payload: length, SHA-1, SHA-256."""
+    payload = _payload(html_col)
+    return pages.select(
         F.col(id_col).alias("page_id"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
-        F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha1(payload).alias("sha1"),
+        F.unhex(F.sha2(payload, 256)).alias("digest"),
     )
-    kind = rows.schema["page_id"].dataType.simpleString()
+
+
+def payloads(pages: DataFrame, html_col: str) -> DataFrame:
+    """digest, packed: the bytes of every payload once, compressed in the task that reads them."""
+    rows = pages.select(_payload(html_col).alias("payload"))
 
     def compute(batches):
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            payloads = [p.as_buffer() for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([p.size for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha1(p).hexdigest() for p in payloads], pa.string()),
-                    pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()),
-                    pa.array([compressor.compress(p) for p in payloads], pa.binary()),
-                ],
-                ["page_id", "url", "payload_bytes", "sha1", "digest", "packed"],
-            )
+            found = {}
+            for payload in batch.column(0):
+                data = payload.as_buffer()
+                digest = hashlib.sha256(data).digest()
+                if digest not in found:
+                    found[digest] = compressor.compress(data)
+            columns = [pa.array(list(x), pa.binary()) for x in (found.keys(), found.values())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "packed"])
 
-    return rows.mapInArrow(compute, f"page_id {kind}, url string, {INCOMING}")
+    packed = rows.mapInArrow(compute, "digest binary, packed binary")
+    return packed.groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
 def _header(kind, refers_url):
@@ -80,19 +89,15 @@ def write(
     html_col: str = "html",
     shared_bytes: int = SHARED_BYTES,
 ) -> None:
-    """Write ``path``/payloads (digest, payload_bytes, packed) and ``path``/records (headers)."""
-    identity = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("pid")
-    incoming = storage.staged(digested(pages, id_col, url_col, html_col).select("*", identity), "incoming")
-    groups = incoming.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    owner = F.coalesce(F.col("keeper").cast("string"), F.lit("")).alias("pid")
-    groups = storage.staged(groups.select("digest", "keeper", "n", owner), "digests")
-
-    several = groups.where("n > 1").select("digest", "keeper", F.lit(True).alias("several"))
-    narrow = incoming.select("page_id", "url", "sha1", "digest", "payload_bytes")
-    shared = F.col("several").isNotNull() & (F.col("payload_bytes") >= shared_bytes)
-    revisit = shared & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    """Write ``path``/payloads (digest, packed) and ``path``/records (headers)."""
+    incoming = storage.staged(digested(pages, id_col, url_col, html_col), "incoming")
+    several = incoming.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    # Stored, so that the join with a payload of very many records has two shuffled sides and can be split.
+    several = several.where((F.col("n") > 1) & (F.col("size") >= shared_bytes))
+    several = storage.staged(several.select("digest", "keeper", F.lit(True).alias("several")), "digests")
+    revisit = F.col("several").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    records = narrow.join(several, "digest", "left").select(
+    records = incoming.join(several, "digest", "left").select(
         "page_id",
         "digest",
         kind.alias("record_type"),
@@ -100,13 +105,7 @@ def write(
         _header(kind, F.col("keeper")).alias("header"),
     )
     records.write.parquet(f"{path}/records")
-
-    # The key holds the page id, so the copies of one payload are dropped in as many tasks as there are.
-    stored = incoming.select("pid", "digest", "payload_bytes", "packed")
-    kept = stored.join(groups.select("pid", "digest"), ["pid", "digest"], "left_semi")
-    twin = F.row_number().over(Window.partitionBy("pid", "digest").orderBy("payload_bytes"))
-    kept = kept.withColumn("twin", twin).where("twin = 1")
-    kept.select("digest", "payload_bytes", "packed").write.parquet(f"{path}/payloads")
+    payloads(pages, html_col).write.parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -135,14 +134,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _record():
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n"))
+
+
 def record_bytes(records: DataFrame) -> DataFrame:
     """page_id and the record as it stands in a WARC file: header block, payload, two line ends."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return records.select("page_id", _record().alias("record"))
 
 
 def report(records: DataFrame) -> DataFrame:
-    """What the archive says of every page, taken from header and payload as read back."""
+    """What the archive says of every page, taken from header, payload and whole record as read back."""
     header = F.col("header")
     return records.select(
         "page_id",
@@ -150,5 +153,6 @@ def report(records: DataFrame) -> DataFrame:
         F.sha1("payload").alias("payload_digest"),
         F.regexp_extract(header, "\\r\\nWARC-Type: ([a-z]+)", 1).alias("record_type"),
         "refers_to",
+        F.sha2(_record(), 256).alias("record_sha256"),
         F.regexp_extract(header, "\\r\\nWARC-Payload-Digest: sha1:([0-9a-f]{40})", 1).alias("header_digest"),
     )

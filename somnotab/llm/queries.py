@@ -163,13 +163,23 @@ def op5(spark, folder):
 
 _OP6 = f"""
 with p as (
-  select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as payload_digest,
-    cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
-k as (select *, max(page_id) over (partition by h) as keeper from p)
+  select page_id, coalesce(html, '') as h, regexp_replace(coalesce(url, ''), '[\\r\\n]', ' ', 'g') as u,
+    sha1(coalesce(html, '')) as payload_digest, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
+k as (select *, max(page_id) over (partition by h) as keeper from p),
+t as (
+  select *, payload_bytes >= {archive.SHARED_BYTES} and page_id is distinct from keeper as again,
+    chr(13) || chr(10) as e from k)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= {archive.SHARED_BYTES} and page_id is distinct from keeper then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= {archive.SHARED_BYTES} and page_id is distinct from keeper then keeper end as refers_to
-from k"""
+  case when again then 'revisit' else 'response' end as record_type,
+  case when again then keeper end as refers_to,
+  sha256('WARC/1.1' || e || 'WARC-Type: ' || case when again then 'revisit' else 'response' end || e
+    || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || e
+    || 'WARC-Date: {archive.EPOCH}' || e || 'WARC-Target-URI: ' || u || e
+    || 'WARC-Payload-Digest: sha1:' || payload_digest || e
+    || case when again then 'WARC-Refers-To: <urn:page:' || cast(keeper as varchar) || '>' || e else '' end
+    || 'Content-Length: ' || case when again then '0' else cast(payload_bytes as varchar) end || e || e
+    || case when again then '' else h end || e || e) as record_sha256
+from t"""
 
 
 @query("op6_content_archive", _OP6)

@@ -122,6 +122,19 @@ def test_archive_round_trip(spark):
     assert records[4].endswith(b"\r\n\r\nshort\r\n\r\n") and long.encode() in records[3]
 
 
+def test_archive_of_odd_tables(spark):
+    """An empty table, and columns named as the archive names its own."""
+    names = ("digest", "packed", "header", "payload", "keeper", "n", "sha1", "record_type", "payload_bytes")
+    rows = [(1, "u", "x" * 1500), (2, "u", "x" * 1500), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for frame in (pages, pages.withColumns({name: F.lit("other") for name in names}), pages.limit(0)):
+        path = storage.new_path(spark, "warc-test")
+        archive.write(frame, path)
+        found.append(sorted(map(repr, archive.report(archive.read(spark, path)).collect())))
+    assert found[0] == found[1] and len(found[0]) == 3 and found[2] == []
+
+
 def test_language_cases(spark):
     words = {"en": "the of and thing with", "es": "el de los que con", "fr": "le des est dans pour"}
     rows = [(i, " ".join([words[k]] * 12), k, "s") for i, k in enumerate([*words] * 20)]
