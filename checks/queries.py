@@ -26,6 +26,7 @@ from somnotab.operators import (
     workbook,
 )
 from somnotab.plans import curation as curation_plan
+from somnotab.plans import profiles
 from somnotab.plans.extraction import extracted_reports
 from somnotab.session import checkpoint_root
 from somnotab.sources import tables, warehouse
@@ -945,6 +946,59 @@ def value_counts(spark, folder):
     return profile.value_counts(lines, "code")
 
 
+@check(
+    "profile_merged",
+    ORACLES["profile"],
+)
+def profile_merged(spark, folder):
+    """The same profile from the states of the order months, one of which was measured twice."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders")
+    measured = orders.select(*[F.expr(s).alias(n) for n, s in _PROFILED.items()], "o_orderdate")
+    names = list(_PROFILED)
+    late = F.month("o_orderdate") == 7
+    order_by = ["orden"]
+    first = measured.where(~late | (F.col("orden") % 2 == 0))
+    profiles.refresh(first, path, "o_orderdate", order_by)
+    profiles.refresh(measured.where(late), path, "o_orderdate", order_by)
+    merged = profiles.current(spark, path, _CATEGORIES)
+    return merged.where(F.col("variable").isin(*names)).withColumn("sample", _sample_text())
+
+
+_FREQUENT = {**{n: _PROFILED[n] for n in _CATEGORIES}, "orden": "cast(o_orderkey as string)"}
+
+
+@check(
+    "top10_frequent",
+    "with t as (select "
+    + ", ".join(f"{s} as {n}" for n, s in _FREQUENT.items())
+    + " from orders), f as ("
+    + " union all ".join(
+        f"select '{n}' as variable, {n} as value, count(*) as n from t where {n} is not null group by 2" for n in _FREQUENT
+    )
+    + """), r as (select *, row_number() over (partition by variable order by n desc, value) as rank from f),
+    g as (select variable, least(rank, 11) as rank,
+        case when rank > 10 then 'OTROS' else value end as value, sum(n) as n from r group by all)
+    select variable, cast(rank as integer) as rank, value, cast(n as bigint) as n from g""",
+)
+def top10_frequent(spark, folder):
+    """Candidates of sketches, counted exactly; among the columns is one of unique values."""
+    orders = table(spark, folder, "orders")
+    return profile.most_frequent(orders.select(*[F.expr(s).alias(n) for n, s in _FREQUENT.items()]))
+
+
+@check(
+    "top_values",
+    "select l_returnflag || l_linestatus || cast(l_quantity as integer) as value, count(*) as n"
+    " from lineitem group by 1 order by n desc, value limit 25",
+)
+def top_values(spark, folder):
+    lines = table(spark, folder, "lineitem").select(
+        F.expr("l_returnflag || l_linestatus || cast(l_quantity as integer)").alias("code")
+    )
+    return profile.top_values(lines, "code", 25)
+
+
 # --- batch gate ---------------------------------------------------------------------------
 
 _DAY = "cast(cast(ts as date) as string)"

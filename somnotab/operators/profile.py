@@ -10,11 +10,13 @@ in every partition, and the others are a difference of two sums.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from somnotab.session import stage
+from somnotab.session import discard, stage
 
 # Fixed values of the profile.
 SENTINEL = -9999
@@ -24,6 +26,11 @@ NOT_APPLICABLE = "N/A"
 NO_NUMBER = "nan"
 NEVER_CATEGORICAL = "fecha"
 LARGE = 1e6
+_NUMBER_TYPES = "^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+
+#: Values that a frequent-item sketch keeps for each column, and bytes of them that are broadcast.
+TRACKED = 10_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _column(name: str) -> Column:
@@ -96,6 +103,18 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _clean(field: T.StructField) -> Column:
+    """What the statistics of a number count: neither missing nor the sentinel."""
+    value = _value(field)
+    return F.when(value != SENTINEL, value)
+
+
+def _usable(field: T.StructField) -> Column:
+    """Whether a value may be shown as a sample."""
+    value = _value(field)
+    return value.isNotNull() & (value != 0) if _is_number(field) else value.isNotNull()
+
+
 def summary(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """One line per column from one global aggregate.
 
@@ -107,22 +126,20 @@ def summary(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     measures, lines = [F.count("*").alias("_rows")], []
     for i, field in enumerate(df.schema.fields):
         value = _value(field)
-        usable = value.isNotNull()
         if _is_number(field):
-            clean = F.when(value != SENTINEL, value)
+            clean = _clean(field)
             measures += [
                 F.min(clean).cast("double").alias(f"_min{i}"),
                 F.avg(clean).alias(f"_mean{i}"),
                 F.max(clean).cast("double").alias(f"_max{i}"),
             ]
-            usable = usable & (value != 0)
         stats = [
             (F.col(f"_{s}{i}") if _is_number(field) else F.lit(None).cast("double")).alias(s)
             for s in ("min", "mean", "max")
         ]
         measures.append(F.count(value).alias(f"_present{i}"))
         key = F.struct(*[_column(k) for k in order_by]) if order_by else value
-        candidate = F.when(usable, F.struct(key.alias("key"), value.alias("value")))
+        candidate = F.when(_usable(field), F.struct(key.alias("key"), value.alias("value")))
         measures.append(F.min(candidate)["value"].cast("string").alias(f"_sample{i}"))
         lines.append(
             F.struct(
@@ -209,6 +226,82 @@ def frequency_texts(frequencies: DataFrame, top: int = TOP) -> DataFrame:
     return joined.select("variable", _text(top).alias("frequencies"))
 
 
+def sketch_bound(total: int, tracked: int = TRACKED) -> int:
+    """The count that a value which the sketch does not return cannot exceed.
+
+    Spark's sketch has a map of 2 ** ceil(log2(tracked / 0.75)) items, whose error is at most 3.5 / map size of all rows;
+    it returns what is certainly above that error, so a value left out has at most twice as many rows.
+    """
+    return math.floor(7 * total / 2 ** math.ceil(math.log2(tracked / 0.75)))
+
+
+def _texts(df: DataFrame, names: list[str]) -> DataFrame:
+    fields = {f.name: f for f in df.schema.fields}
+    return df.select(*[_value(fields[n]).cast("string").alias(f"v{i}") for i, n in enumerate(names)])
+
+
+def most_frequent(
+    df: DataFrame, columns: list[str] | None = None, top: int = TOP, tracked: int = TRACKED
+) -> DataFrame:
+    """What ``top_frequencies`` says, without grouping by every distinct value where that can be avoided.
+
+    A first pass keeps a sketch of fixed size for each column; a second one counts only the values that the
+    sketches name, exactly. A column is done if its last listed value has more rows than any other value
+    can have: by the sketch's bound, or because fewer rows are left over. Columns in which nothing stands
+    out, such as identifiers, cannot be decided that way by any summary; those alone are grouped in full.
+    ``session.discard`` of the answer deletes the counts that it reads.
+    """
+    names = df.columns if columns is None else columns
+    values = _texts(df, names)
+    sketches = [
+        F.expr(f"approx_top_k(v{i}, {tracked}, {tracked}) filter (where v{i} is not null)").alias(f"s{i}")
+        for i in range(len(names))
+    ]
+    totals = [F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]
+    line = [
+        F.struct(
+            F.lit(name).alias("variable"),
+            F.col(f"n{i}").alias("total"),
+            F.transform(f"s{i}", lambda x: x["item"]).alias("candidates"),
+        )
+        for i, name in enumerate(names)
+    ]
+    named = stage(values.agg(*sketches, *totals).select(F.inline(F.array(*line))), "candidates")
+    candidates = named.select("variable", F.explode("candidates").alias("value"))
+    size = candidates.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
+    pairs = values.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"v{i}").alias("value")) for i, n in enumerate(names)]))
+    )
+    side = F.broadcast(candidates) if size <= BROADCAST_BYTES else candidates
+    counts = pairs.join(side, ["variable", "value"]).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    counts = stage(counts, "frequent")
+    best = counts.groupBy("variable").agg(
+        F.sum("n").alias("counted"), F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, top).alias("n")
+    )
+    undecided = []
+    for row in named.drop("candidates").join(best, "variable", "left").collect():
+        counted, largest = row["counted"] or 0, row["n"] or []
+        others = min(row["total"] - counted, sketch_bound(row["total"], tracked))
+        if others > 0 and (len(largest) < top or largest[-1] <= others):
+            undecided.append(row["variable"])
+    frequencies = counts.where(~F.col("variable").isin(*undecided)) if undecided else counts
+    if undecided:
+        frequencies = frequencies.unionAll(value_frequencies(df, undecided))
+    joined = _best(frequencies, top).join(named.select("variable", "total"), "variable")
+    lines = stage(joined.select("variable", F.inline(_lines(top))), "top")
+    discard(named)
+    discard(counts)
+    return lines
+
+
+def top_values(df: DataFrame, column: str, top: int, tracked: int = TRACKED) -> DataFrame:
+    """``(value, n)`` of the ``top`` most frequent values as text, ties by value."""
+    lines = most_frequent(df, [column], top, tracked)
+    found = lines.where(F.col("rank") <= top).select("value", "n")
+    found.staged_path = lines.staged_path
+    return found
+
+
 def presence(df: DataFrame) -> DataFrame:
     """``(variable, n_rows, n_present)`` from one global count."""
     counts = [F.count(_value(f)).alias(f"_present{i}") for i, f in enumerate(df.schema.fields)]
@@ -259,36 +352,45 @@ def profile(
     it when the profile itself has been stored.
     """
     frequencies = stage(value_frequencies(df), "frequencies")
+    table = shown(summary(df, order_by), frequencies, categories)
+    table.staged_path = frequencies.staged_path
+    return table
+
+
+def shown(lines: DataFrame, frequencies: DataFrame, categories: list[str], distinct: DataFrame | None = None) -> DataFrame:
+    """The profile table of a summary and a frequency table.
+
+    ``distinct`` gives ``(variable, n_distinct)`` where the frequency table does not hold all columns.
+    """
     listed = frequencies.where(F.col("variable").isin(*categorical(categories)))
-    counted = _totals(frequencies).join(_best(listed, TOP), "variable", "left")
+    counted = _totals(frequencies)
+    if distinct is not None:
+        counted = distinct.join(counted.drop("n_distinct"), "variable", "left")
+    counted = counted.join(_best(listed, TOP), "variable", "left")
     absent = F.col("n_rows") - F.col("n_present")
-    distinct = F.coalesce("n_distinct", F.lit(0))
-    numbers = numeric_columns(df)
+    unique = F.coalesce("n_distinct", F.lit(0))
 
     def share(count: Column) -> Column:
         percent = display_percent(count, F.col("n_rows"))
         return F.concat(count.cast("string"), F.lit(" ("), percent, F.lit(")"))
 
-    def shown(name: str) -> Column:
+    def number(name: str) -> Column:
         text = F.coalesce(display_number(F.col(name)), F.lit(NO_NUMBER))
-        return F.when(F.col("variable").isin(*numbers), text).otherwise(NOT_APPLICABLE)
+        return F.when(F.col("type").rlike(_NUMBER_TYPES), text).otherwise(NOT_APPLICABLE)
 
-    table = (
-        summary(df, order_by)
-        .join(counted, "variable", "left")
+    return (
+        lines.join(counted, "variable", "left")
         .orderBy("position")
         .select(
             "variable",
             "type",
             F.col("n_present").alias("count"),
-            share(distinct).alias("unique"),
+            share(unique).alias("unique"),
             F.coalesce(_text(TOP), F.lit(NOT_APPLICABLE)).alias("frequencies"),
             share(absent).alias("missing"),
-            shown("min").alias("min"),
-            shown("mean").alias("mean"),
-            shown("max").alias("max"),
+            number("min").alias("min"),
+            number("mean").alias("mean"),
+            number("max").alias("max"),
             F.coalesce("sample", F.lit(NOT_APPLICABLE)).alias("sample"),
         )
     )
-    table.staged_path = frequencies.staged_path
-    return table

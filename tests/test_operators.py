@@ -9,8 +9,9 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
-from somnotab.operators import ingest, inventory, profile, schema, search, workbook
+from somnotab.operators import ingest, inventory, profile, profile_states, schema, search, workbook
 from somnotab.plans import extraction as flow
+from somnotab.plans import profiles
 from somnotab.plans.load import load_batch
 from somnotab.session import discard
 from somnotab.sources import files, records, sinks, tables, warehouse
@@ -510,3 +511,67 @@ def test_swap_that_fails_leaves_the_last_table(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 3
     files.swap_in(spark, fresh, path)
     assert spark.read.parquet(path).count() == 5 and not files.path_exists(spark, f"{path}-previous")
+
+
+def _lines_of(frame):
+    return sorted(map(tuple, frame.select("variable", "rank", "value", "n").collect()))
+
+
+@pytest.mark.parametrize("tracked", [16, 200, 10_000])
+def test_frequent_values_without_counting_all(spark, tracked):
+    """Skewed, flat, unique, tied and empty columns, whatever the sketch can keep."""
+    rng = random.Random(tracked)
+    rows = []
+    for i in range(6000):
+        skewed = "hot" if i % 3 == 0 else f"w{min(int(rng.paretovariate(0.8)), 3000)}"
+        rows.append((skewed, f"u{i}", f"t{i % 12}", None, float("nan") if i % 2 else -0.0, i % 5 or None))
+    frame = spark.createDataFrame(rows, "a string, b string, c string, d string, e double, `f,g` int").repartition(7)
+    want = profile.top_frequencies(profile.value_frequencies(frame), 3)
+    assert _lines_of(profile.most_frequent(frame, top=3, tracked=tracked)) == _lines_of(want)
+    best = profile.top_values(frame, "a", 2, tracked).collect()
+    assert best[0]["value"] == "hot" and best[0]["n"] == 2000 and len(best) == 2
+    assert profile.most_frequent(frame.limit(0)).collect() == []
+
+
+def test_only_undecided_columns_are_grouped_in_full(spark, monkeypatch):
+    rows = [("hot" if i % 2 else f"r{i}", f"u{i}") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    full = []
+    real = profile.value_frequencies
+    monkeypatch.setattr(profile, "value_frequencies", lambda df, columns=None: full.append(columns) or real(df, columns))
+    lines = _lines_of(profile.most_frequent(frame, top=1, tracked=64))
+    assert lines == [("a", 1, "hot", 2000), ("a", 2, "OTROS", 2000), ("b", 1, "u0", 1), ("b", 2, "OTROS", 3999)]
+    assert full == [["b"]]
+
+
+def test_profile_states_merge(spark, tmp_path):
+    """Months measured one by one, one of them again: the same profile as from the table as a whole."""
+    rng = random.Random(6)
+
+    def rows(month, n, shift):
+        day = None if month is None else date(2024, month, 3)
+        return [
+            (i * 100 + (month or 0), day, rng.choice([None, -9999.0, 0.0, i * 0.25 + shift]), rng.choice(["x", "y", "z", None]), None)
+            for i in range(n)
+        ]
+
+    kind = "k long, fecha date, v double, c string, nada string"
+    parts = {m: rows(m, 60, 1.5) for m in (1, 2, 3, None)}
+    profiles.refresh(spark.createDataFrame([r for p in parts.values() for r in p], kind), str(tmp_path), "fecha", ["k"])
+    parts[2], parts[5] = rows(2, 80, 7.25), rows(5, 10, 0.0)
+    for month in (2, 5):
+        profiles.refresh(spark.createDataFrame(parts[month], kind), str(tmp_path), "fecha", ["k"])
+    whole = spark.createDataFrame([r for p in parts.values() for r in p], kind)
+    want = [r.asDict() for r in profile.profile(whole, ["c", "nada"], ["k"]).collect()]
+    got = [r.asDict() for r in profiles.current(spark, str(tmp_path), ["c", "nada"]).collect()]
+    assert got == want
+    assert spark.read.parquet(f"{tmp_path}/states").select("part").distinct().count() == 5
+
+
+def test_sketched_distinct_values(spark, tmp_path):
+    frame = spark.range(30_000).selectExpr("id as k", "date_add(date'2024-01-01', int(id % 90)) as d", "concat('v', id % 20000) as v")
+    profiles.refresh(frame, str(tmp_path), "d", ["k"], ["d"])
+    lines = {r["variable"]: r["unique"] for r in profiles.current(spark, str(tmp_path), [], exact=False).collect()}
+    error = 4 * 1.04 / 2 ** (profile_states.LG_BUCKETS / 2)
+    for name, n in (("k", 30_000), ("v", 20_000), ("d", 90)):
+        assert abs(int(lines[name].split()[0]) - n) <= error * n
