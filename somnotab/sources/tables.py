@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
-from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from somnotab.operators.schema import union_by_name
 from somnotab.sources import records
 from somnotab.sources.files import list_paths, qualified
+from somnotab.sources.opened import can_open, system_of
 
 # Texts that stand for a missing value in a result file.
 NULL_TEXTS = (
@@ -48,17 +47,9 @@ def read_table(spark: SparkSession, paths: str | list[str], multi_line: bool = F
     return null_texts_to_null(_csv(spark).csv(paths))
 
 
-# File systems that tasks open themselves, and the names that Arrow has for them.
-_OPENED = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
-
-
 def _first_record(path: str) -> str:
     """The first record of a file, which may hold quoted line ends; no more of it than that is read."""
-    scheme, rest = path.split(":", 1)
-    if scheme == "file":
-        system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
-        system, name = fs.FileSystem.from_uri(f"{_OPENED[scheme]}:{quote(rest)}")
+    system, name = system_of(path)
     begin = b""
     with system.open_input_stream(name, buffer_size=4096) as stream:
         while chunk := stream.read(4096):
@@ -87,7 +78,7 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     found = []
     for path in paths:
-        if urlsplit(qualified(spark, path)).scheme in _OPENED:
+        if can_open(qualified(spark, path)):
             names = list_paths(spark, path).select(F.col("path").alias("file"))
             found.append(names.mapInArrow(_opened, "file string, header string"))
         else:

@@ -14,9 +14,9 @@ from somnotab.plans import extraction as flow
 from somnotab.plans import profiles
 from somnotab.plans.load import load_batch
 from somnotab.session import discard
-from somnotab.sources import files, records, sinks, tables, warehouse
+from somnotab.sources import files, records, sinks, tables, tree, warehouse
 from somnotab.specs import workbook as wb
-from somnotab.streaming.reports import append_new_reports
+from somnotab.streaming.reports import append_new_reports, write_new_reports
 
 NOW = datetime(2026, 1, 15, 10, 30, tzinfo=timezone(timedelta(hours=-5)))
 
@@ -373,7 +373,7 @@ def test_folder_to_schema_table(spark, tmp_path):
 def test_headers_where_only_spark_opens_files(spark, tmp_path, monkeypatch):
     (tmp_path / "a b.csv").write_text("﻿id,peso\n1,2\n", encoding="utf-8")
     (tmp_path / "c.csv").write_text("id\n1\n")
-    monkeypatch.setattr(tables, "_OPENED", {})
+    monkeypatch.setattr(tables, "can_open", lambda path: False)
     found = {r["file"].rsplit("/", 1)[1]: r["header"] for r in tables.headers(spark, [str(tmp_path)]).collect()}
     assert found == {"a b.csv": "id,peso", "c.csv": "id"}
 
@@ -400,7 +400,7 @@ def test_only_the_first_bytes_of_a_file_are_read(tmp_path, monkeypatch):
         def open_input_stream(self, name, buffer_size):
             return Stream(open(name, "rb"))
 
-    monkeypatch.setattr(tables.fs, "LocalFileSystem", System)
+    monkeypatch.setattr(tables, "system_of", lambda path: (System(), path.removeprefix("file:")))
     assert tables._first_record(f"file:{tmp_path}/big.csv") == "id,peso"
     assert sum(read) == 4096
 
@@ -575,3 +575,87 @@ def test_sketched_distinct_values(spark, tmp_path):
     error = 4 * 1.04 / 2 ** (profile_states.LG_BUCKETS / 2)
     for name, n in (("k", 30_000), ("v", 20_000), ("d", 90)):
         assert abs(int(lines[name].split()[0]) - n) <= error * n
+
+
+def test_whole_tree_against_a_walk(spark, tmp_path):
+    """Hidden names, empty files, empty and linked folders: all that a walk over the tree sees."""
+    names = ["a.doc", "vacio.rtf", ".oculto.docx", "_privado.doc", "sub/b.DOCX", "sub/.git/c.doc", "sub/dos/tres/d e%20ñ.rtf", "sin", ".hidden/e.doc"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "vacio" in name else "x")
+    (tmp_path / "nada" / "tampoco").mkdir(parents=True)
+    (tmp_path / "enlace").symlink_to(tmp_path / "sub")
+    (tmp_path / "roto").symlink_to(tmp_path / "falta")
+    (tmp_path / "a2.doc").symlink_to(tmp_path / "a.doc")
+    walked = [p for p in tmp_path.glob("**/*") if "enlace" not in p.parent.parts]
+    entries = tree.tree(spark, str(tmp_path))
+    got = {(r["path"].removeprefix(f"file:{tmp_path}/"), r["folder"]) for r in entries.collect()}
+    assert got == {(str(p.relative_to(tmp_path)), p.is_dir()) for p in walked if p.is_file() or p.is_dir()}
+    listed = inventory.inventory(tree.tree_files(entries))
+    counted = inventory.counters(listed).first()
+    files_seen = [p for p in walked if p.is_file()]
+    valid = [p for p in files_seen if p.suffix[1:].lower() in ("docx", "doc", "rtf")]
+    assert tuple(counted) == (len(files_seen), len(valid), len(files_seen) - len(valid))
+    assert tree.tree_folders(entries).first()["num_dirs"] == sum(p.is_dir() for p in walked)
+    with pytest.raises(ValueError):
+        tree.tree(spark, f"{tmp_path}/falta")
+
+
+def test_words_across_chunk_borders(spark, tmp_path):
+    """Chunks of a file give what the whole file gives: words, NULs and characters on their borders."""
+    size = search.PROBE_BYTES
+    rng = random.Random(9)
+    contents = {
+        "on": b"x" * (size - 3) + b"palabra" + b"y" * 9,
+        "end": b"x" * (2 * size - 7) + b"palabra",
+        "begin": b"x" * size + b"palabra",
+        "split": "ñ".encode() * size + b"palabra",
+        "odd": b"a" + "ñ".encode() * size + b"palabra",
+        "four": b"ab" + "😀".encode() * size + b"palabra",
+        "cut": "ñ".encode() * (size // 2) + b"\xc3",
+        "stray": b"palabra" + b"x" * (size - 7) + b"\xb1 y",
+        "lost": b"palabra" + b"x" * (size - 8) + b"\xc3" + b"y",
+        "long": b"palabra" + b"x" * (size - 8) + b"\xf0\x9f" + b"y" * size,
+        "nul": b"palabra" + b"x" * size + b"\0",
+        "bin": b"\0" + b"x" * (size - 4) + b"palabra",
+        "bin2": b"x" * (size - 1) + b"\0" + b"palabr",
+        "empty": b"",
+        "exact": b"x" * (3 * size),
+    }
+    for i in range(40):
+        text = "".join(rng.choice(["a", "ñ", "漢", "😀", "palabra", "palab"]) for _ in range(rng.randrange(900, 1500))).encode()
+        if i % 2:
+            at = rng.randrange(len(text))
+            text = text[:at] + bytes([rng.choice([0x80, 0xC3, 0xFF, 0x41])]) + text[at + 1 :]
+        contents[f"r{i}"] = text
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    frame = spark.createDataFrame([(f"file:{tmp_path}/{n}", bytearray(c), len(c)) for n, c in contents.items()], "path string, content binary, length long")
+    want = {r["path"]: r["bucket"] for r in search.search(frame, "palabra").collect()}
+    found = search.search_files(frame.select("path", "length"), "palabra", size)
+    assert {r["path"]: r["bucket"] for r in found.collect()} == want
+    assert len(set(want.values())) == 4
+    gone = spark.createDataFrame([(f"file:{tmp_path}/falta", 5)], "path string, length long")
+    assert search.search_files(gone, "palabra").first()["bucket"] == search.NOT_PROCESSED
+
+
+def test_stream_batch_that_fails_is_written_once(spark, tmp_path, monkeypatch):
+    source, output, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+
+    def start():
+        stream = spark.readStream.schema(REPORTS).parquet(source)
+        write_new_reports(stream, output, checkpoint).awaitTermination()
+
+    spark.createDataFrame([(1, "/a", "doc", BASAL), (2, "/b", "pdf", "x")], REPORTS).write.parquet(source)
+    start()
+    spark.createDataFrame([(3, "/c", "doc", BASAL), (4, "/d", "pdf", "x")], REPORTS).write.mode("append").parquet(source)
+    with monkeypatch.context() as m:  # the result files are written, the audit is not
+        m.setattr(sinks, "write_run", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            start()
+    start()
+    start()
+    back = tables.read_results(spark, [f"{output}/resultados_psg_doc.csv"])
+    assert sorted(r["fuente"] for r in back.collect()) == ["/a", "/c"]
+    refused = spark.read.parquet(f"{output}/audit").where("reason = 'unsupported_ext'")
+    assert sorted(r["doc_id"] for r in refused.collect()) == [2, 4]
