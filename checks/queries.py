@@ -548,7 +548,17 @@ def _curated_sql(t: rp.Template) -> str:
         f"{_number_sql(f['perimetro_abdominal'])} as perimetro_abdominal_cm",
         "'Extraido en: 2026-01-15 : 10:30:00' as version_control",
     ]
-    return f"select {k} as doc_id, {', '.join(columns)} from customer"
+    return f"select {_uuid_sql(f'cast({k} as varchar)')} as uuid, {', '.join(columns)} from customer"
+
+
+def _uuid_sql(key: str) -> str:
+    """The identifier of one text key."""
+    digest = f"sha256(cast(len({key}) as varchar) || ':' || {key})"
+    variant = f"substr('89ab', (strpos('0123456789abcdef', substr({digest}, 17, 1)) - 1) % 4 + 1, 1)"
+    return (
+        f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-4' || substr({digest}, 14, 3) || '-' || {variant}"
+        f" || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)"
+    )
 
 
 _TEXT_COLUMNS = ("nombre", "id", "solicita", "empresa", "fecha_estudio", "fuente")
@@ -562,10 +572,7 @@ def _curated(spark, folder, template: rp.Template) -> DataFrame:
     shaped = curation.with_converted_measures(
         curation.with_clean_units(curation.with_decimal_age(typed))
     )
-    columns = tuple(c for c in curation.FINAL_COLUMNS if c != "uuid")
-    return curation.with_version(
-        curation.curated_columns(shaped, ("doc_id", *columns)), NOW
-    )
+    return curation.with_version(curation.curated_columns(shaped), NOW)
 
 
 @check("curate_basal_doc", _curated_sql(rp.BASAL_DOC))
@@ -578,15 +585,18 @@ def curate_basal_rtf(spark, folder):
     return _curated(spark, folder, rp.BASAL_RTF)
 
 
+_PLACED = {name: f"l_orderkey * {i + 1} + l_linenumber" for i, name in enumerate(curation.FINAL_COLUMNS)}
+
+
 @check(
     "project_curated",
-    "select l_orderkey, l_partkey, l_quantity, l_shipdate from lineitem",
+    "select " + ", ".join(f"{sql} as {name}" for name, sql in _PLACED.items()) + " from lineitem",
 )
 def project_curated(spark, folder):
+    """All final columns, out of a table that has them in another order and others between them."""
     lines = table(spark, folder, "lineitem")
-    return curation.curated_columns(
-        lines, ("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
-    )
+    columns = [F.expr(sql).alias(name) for name, sql in reversed(_PLACED.items())]
+    return curation.curated_columns(lines.select("l_shipdate", *columns, "l_tax"))
 
 
 @check(
@@ -1254,13 +1264,12 @@ def folder_count(spark, folder):
     return inventory.folder_count(_paths(spark, folder), root="/datos/")
 
 
-_URL_EXT = r"lower(regexp_extract(url, '[^/]\.([^./]+)$', 1))"
-
-
 @check(
     "page_extensions",
-    f"select {_URL_EXT} as ext, {_URL_EXT} in ({', '.join(repr(r) for r in READABLE)}) as valid,"
-    " count(*) as n from pages group by all",
+    f"""with names as (select list_last(string_split(url, '/')) as name from pages),
+    dots as (select name, strpos(reverse(name), '.') as behind from names),
+    types as (select case when behind > 1 and behind < len(name) then lower(right(name, behind - 1)) else '' end as ext from dots)
+    select ext, ext in ({', '.join(repr(r) for r in READABLE)}) as valid, count(*) as n from types group by all""",
 )
 def page_extensions(spark, folder):
     pages = table(spark, folder, "pages").select(F.col("url").alias("path"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,12 +85,15 @@ class Template:
         return self.render(spread(spark.read.parquet(f"{folder}/{self.table}.parquet")))
 
     def render(self, rows: DataFrame) -> DataFrame:
-        return rows.select(
+        return rows.select(*self.columns())
+
+    def columns(self) -> list[Column]:
+        return [
             F.col(self.key).alias("doc_id"),
             F.format_string(f"/reports/{self.exam}/%d.{self.ext}", self.key).alias("path"),
             F.lit(self.ext).alias("ext"),
             self.rendered().alias("text"),
-        )
+        ]
 
     def expected_sql(self, names: list[str] | None = None) -> str:
         chosen = self.fields if names is None else {n: self.fields[n] for n in names}
@@ -592,14 +594,17 @@ TEMPLATES = (
 
 
 def all_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One report of every kind per customer; ``doc_id`` counts the kinds within the key.
+    """One report of every kind per customer, from one scan; ``doc_id`` counts the kinds within the key.
 
-    The fence keeps what follows from being planned once per kind.
+    The fence keeps the rendering from being copied into the filters of what follows.
     """
-    rows = spread(spark.read.parquet(f"{folder}/customer.parquet"))
-    kinds = [
-        t.render(rows).withColumn("doc_id", F.col("doc_id") * 100 + i)
-        for i, t in enumerate(TEMPLATES)
-    ]
-    reports = reduce(DataFrame.unionAll, kinds)
-    return computed_once(reports.withColumnRenamed("text", "_text"), "_text", "text")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(TEMPLATES) - 1))).alias("_kind")
+    rows = spread(spark.read.parquet(f"{folder}/customer.parquet").select("*", every))
+    kind = F.col("_kind")
+    named = rows.select("*", (F.col(K) * 100 + kind).alias("doc_id"))
+    chosen = {"path": None, "ext": None, "_text": None}
+    for i, template in enumerate(TEMPLATES):
+        for name, column in zip(chosen, template.columns()[1:], strict=True):
+            chosen[name] = F.when(kind == i, column) if chosen[name] is None else chosen[name].when(kind == i, column)
+    reports = named.select("doc_id", *[column.alias(name) for name, column in chosen.items()])
+    return computed_once(reports, "_text", "text")
