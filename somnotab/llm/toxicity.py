@@ -2,13 +2,18 @@
 
 The lexicon is learned from labelled rows: words and word beginnings (four to six letters) that stand in
 several toxic documents, in different contexts, and hardly ever in others. A document counts by the context
-of a term's first place, so copies of one document are one piece of evidence. The lexicon is kept
-as a trie. A word is run through the Levenshtein automaton of distance one in step with the trie, and
-only common paths are followed; a term's halves, one of which an edit leaves whole, say beforehand
-whether any path can succeed.
+of a term's first place, so copies of one document are one piece of evidence. A term weighs as much
+as the lower confidence limit of its log odds, so a few chance contexts weigh little.
+
+The words of the lexicon are a trie. A word is run through the Levenshtein automaton in step with the
+trie, and only common paths are followed: one edit for terms of four to six letters, two for longer ones. A
+term cut into one part more than edits leaves one part whole, which says beforehand whether any path can
+succeed. A hit weighs the weight of its term, less for each edit; an exact hit is one of no edits, so one model
+judges both. Forms that stand in several harmless documents themselves are words of their own, no misspellings.
 
 Every hit is weighed by a window of words around it: quotation marks and words of report speak for a quotation,
-words of address for abuse. A logistic model over sums of these (fitted on the same rows) gives the score.
+words of address for abuse. A logistic model over sums of these gives the score. Its training rows are seen
+through a lexicon that was learned from the other half of them, as unseen rows will be.
 
 Training takes at most ``SAMPLE_ROWS`` labelled rows that are not held out, chosen by a hash of their id;
 prediction covers whole texts.
@@ -29,16 +34,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somnotab.llm import storage
+
 SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 20_000
-#: Contexts that a term must stand in, and their least share of the toxic rows.
+#: Contexts that a term must stand in, its least log odds, and the standard errors that are taken off them.
 CONTEXTS = 3
-SUPPORT = 0.004
 EVIDENCE = 3.0
+ERRORS = 2.58
 WINDOW = 8
+#: Letters from which on a term is looked for with one and with two edits, and what an edit leaves of its weight.
+ONE_EDIT, TWO_EDITS = 4, 7
+DECAY = 0.8
+#: The least weight of a misspelled hit: terms of weak evidence count only as they are written.
+MISSPELLED = 1.2
+#: Harmless documents in which a form must stand to be a word of its own.
+ESTABLISHED = 2
 _STEMS = (4, 5, 6)
-_FUZZY_LENGTH = 5
 _MEMO = 1 << 18
+#: Rows of the sample that a task sees.
+_TASK_ROWS = 500
 _EDGES = "\"'`.,;:!?()[]{}<>|*_~#«»„“”‚‘’…-–—"
 # Marks that open or close a quotation, words of report, words of address.
 _QUOTES = frozenset("\"«»„“”")
@@ -63,6 +78,12 @@ def _context(words: list[str], at: int) -> int:
     return int.from_bytes(md5(around.encode()).digest()[:8], "big", signed=True)
 
 
+def edits_allowed(term: str, weight: float) -> int:
+    """Edits of a term, by its length and by what they leave of its weight."""
+    by_length = (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
+    return max(n for n in range(by_length + 1) if n == 0 or weight * DECAY**n >= MISSPELLED)
+
+
 class Trie:
     """Terms by letters, and their intersection with the Levenshtein automaton of a word."""
 
@@ -74,8 +95,8 @@ class Trie:
                 node = node.setdefault(letter, {})
             node[""] = term
 
-    def within(self, word: str, distance: int) -> str | None:
-        """The nearest term (ties: the first in order) at most ``distance`` edits from the word.
+    def within(self, word: str, distance: int) -> list[tuple[int, str]]:
+        """(edits, term) of all terms at most ``distance`` edits from the word.
 
         A state of the automaton is the row of distances between what the path has read and every
         prefix of the word; a path whose row exceeds the distance everywhere is left.
@@ -94,47 +115,65 @@ class Trie:
                     step.append(min(row[i + 1] + 1, step[i] + 1, row[i] + (own != letter)))
                 if min(step) <= distance:
                     stack.append((child, tuple(step)))
-        return min(found)[1] if found else None
+        return found
+
+
+def _parts(term: str, n: int):
+    """The term cut into n parts of nearly equal length, with their places."""
+    ends = [len(term) * k // n for k in range(n + 1)]
+    return [(term[a:b], a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @dataclass
 class Lexicon:
-    """Terms and stems (ending in ``*``) with the weight of their evidence."""
+    """Terms and stems (ending in ``*``) with their weights, and forms that are words of their own."""
 
     weights: dict[str, float]
+    established: frozenset = frozenset()
     trie: Trie = field(init=False)
+    edits: dict[str, int] = field(init=False)
 
     def __post_init__(self):
-        fuzzy = [t for t in sorted(self.weights) if len(t) >= _FUZZY_LENGTH and not t.endswith("*")]
-        self.trie = Trie(fuzzy)
-        # By length of a word one edit away: the halves that it can begin or end with.
-        self.halves: dict[int, list[tuple[set, set, int, int]]] = {}
-        for size in {len(t) + d for t in fuzzy for d in (-1, 0, 1)}:
-            groups: dict[int, tuple[set, set, int, int]] = {}
-            for t in fuzzy:
-                if abs(len(t) - size) <= 1:
-                    half = len(t) // 2
-                    heads, tails, _, _ = groups.setdefault(len(t), (set(), set(), half, len(t) - half))
-                    heads.add(t[:half])
-                    tails.add(t[half:])
-            self.halves[size] = list(groups.values())
+        words = {t: edits_allowed(t, w) for t, w in sorted(self.weights.items()) if not t.endswith("*")}
+        self.edits = {t: n for t, n in words.items() if n}
+        self.trie = Trie(self.edits)
+        # A part that some edits leave whole: where it stands in words that may be the term, by their length.
+        self.parts: dict[tuple[int, str], set[int]] = {}
+        self.part_lengths: dict[int, set[int]] = {}
+        for t, edits in self.edits.items():
+            for part, at in _parts(t, edits + 1):
+                for size in range(len(t) - edits, len(t) + edits + 1):
+                    self.parts.setdefault((size, part), set()).update(range(at - edits, at + edits + 1))
+                    self.part_lengths.setdefault(size, set()).add(len(part))
         self.stems = {t[:-1]: w for t, w in self.weights.items() if t.endswith("*")}
 
-    def find(self, raw: str) -> tuple[str, float, bool] | None:
-        """Term, weight, and whether it was misspelled."""
+    def _may_be_near(self, word: str) -> bool:
+        size = len(word)
+        for length in self.part_lengths.get(size, ()):
+            for at in range(size - length + 1):
+                if at in self.parts.get((size, word[at : at + length]), ()):
+                    return True
+        return False
+
+    def misspelled(self, word: str) -> tuple[str, int] | None:
+        """The term that a word is nearest to, of equally near ones the heaviest, with its edits."""
+        if not self._may_be_near(word):
+            return None
+        near = [(d, -self.weights[t], t) for d, t in self.trie.within(word, 2) if 0 < d <= self.edits[t]]
+        return (min(near)[2], min(near)[0]) if near else None
+
+    def find(self, raw: str) -> tuple[str, float, int] | None:
+        """Term, weight of the hit, and its edits."""
         word = clean_word(raw)
         if word in self.weights:
-            return word, self.weights[word], False
+            return word, self.weights[word], 0
         size = len(word)
         stems = [word[:n] for n in _STEMS if size > n and word[:n] in self.stems]
         if stems:
             best = max(stems, key=self.stems.__getitem__)
-            return f"{best}*", self.stems[best], False
-        for heads, tails, head, tail in self.halves.get(size, ()):
-            if word[:head] in heads or word[-tail:] in tails:
-                term = self.trie.within(word, 1)
-                return None if term is None else (term, self.weights[term], True)
-        return None
+            return f"{best}*", self.stems[best], 0
+        found = None if word in self.established else self.misspelled(word)
+        return found and (found[0], self.weights[found[0]] * DECAY ** found[1], found[1])
 
 
 class _Memo(dict):
@@ -158,23 +197,26 @@ def quoted_share(words: list[str], at: int) -> tuple[bool, bool]:
     return (opened and closes) or bool(near & _REPORT), bool(near & _ADDRESS)
 
 
+N_FEATURES = 4
+
+
 def features(text: str | None, memo: _Memo) -> tuple[list[float], list[dict]]:
     """What the model sees, and the hits themselves."""
     words = text.split() if text else []
     hits = [(i, h) for i, h in enumerate(map(memo.__getitem__, words)) if h is not None]
-    exact = quoted = fuzzy = address = 0
-    heaviest = 0.0
+    abuse = quoted = heaviest = 0.0
+    address = 0
     out = []
-    for i, (term, weight, misspelled) in hits:
+    for i, (term, weight, edits) in hits:
         in_quotes, addressed = quoted_share(words, i)
-        exact += not in_quotes and not misspelled
-        quoted += in_quotes
-        fuzzy += misspelled and not in_quotes
         address += addressed
-        if not in_quotes and not misspelled:
+        if in_quotes:
+            quoted += weight
+        else:
+            abuse += weight
             heaviest = max(heaviest, weight)
-        out.append({"position": i, "term": term, "misspelled": misspelled, "quoted": in_quotes})
-    return [float(exact > 0), math.log1p(exact), heaviest / 10, math.log1p(quoted), math.log1p(fuzzy), math.log1p(address)], out
+        out.append({"position": i, "term": term, "misspelled": edits > 0, "quoted": in_quotes, "edits": edits})
+    return [math.log1p(abuse), heaviest / 10, math.log1p(quoted), math.log1p(address)], out
 
 
 def held_out(id_col: str = "doc_id"):
@@ -239,16 +281,40 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n_toxic or not n_clean:
         return {}
     evidence = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    least = max(CONTEXTS, math.ceil(SUPPORT * n_toxic))
-    chosen = stats.where(F.col("toxic") >= least).withColumn("weight", evidence).where(F.col("weight") >= EVIDENCE)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    chosen = stats.where((F.col("toxic") >= CONTEXTS) & (evidence >= EVIDENCE))
+    chosen = chosen.withColumn("weight", evidence - ERRORS * error).where("weight > 0")
     best = chosen.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(LEXICON_TERMS).collect()
-    return {r["term"]: float(r["weight"]) for r in best}
+    # A beginning that stands for one word of the lexicon alone says nothing of other words.
+    own: dict[str, int] = {}
+    for r in best:
+        for key in () if r["term"].endswith("*") else stem_keys(r["term"]):
+            own[key] = max(own.get(key, 0), r["toxic"])
+    kept = [r for r in best if r["toxic"] - own.get(r["term"], 0) >= CONTEXTS]
+    return {r["term"]: float(r["weight"]) for r in kept}
+
+
+def established_forms(sample: DataFrame, lexicon: dict[str, float]) -> frozenset:
+    """Words near a term that several harmless documents of the sample hold; as bounded as the sample."""
+
+    def near(batches):
+        memo = _Memo(Lexicon(lexicon))
+        for batch in batches:
+            forms = []
+            for text in batch.column(0).to_pylist():
+                forms += {clean_word(w) for w in set(text.split()) if (memo[w] or (0, 0, 0))[2]}
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], ["form"])
+
+    forms = sample.where("toxic = 0").select("text").mapInArrow(near, "form string")
+    kept = forms.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= ESTABLISHED)
+    return frozenset(r["form"] for r in kept.collect())
 
 
 @dataclass
 class Model:
     lexicon: dict[str, float]
     coefficients: list[float]
+    established: frozenset = frozenset()
 
     def score(self, values: list[float]) -> float:
         z = self.coefficients[0] + sum(c * v for c, v in zip(self.coefficients[1:], values, strict=True))
@@ -270,37 +336,46 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def _learned(sample: DataFrame) -> tuple[dict[str, float], frozenset]:
+    lexicon = learn_lexicon(sample)
+    return lexicon, established_forms(sample, lexicon)
+
+
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    # Rows alike in their text are in one half: a copy is no unseen row.
     sample = sample_texts(documents, labels, id_col, text_col, label_col)
-    lexicon = learn_lexicon(sample)
+    sample = sample.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    sample = storage.staged(sample.repartition(SAMPLE_ROWS // _TASK_ROWS, "i"), "toxic-sample")
+    halves = [_learned(sample.where(F.col("half") != half)) for half in (0, 1)]
 
     def observe(batches):
-        memo = _Memo(Lexicon(lexicon))
+        memos = [_Memo(Lexicon(*half)) for half in halves]
         for batch in batches:
-            seen = [features(t, memo)[0] for t in batch.column(2).to_pylist()]
+            seen = [features(t, memos[h])[0] for t, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.float64()))], ["i", "toxic", "seen"]
             )
 
     kind = sample.schema["i"].dataType.simpleString()
-    observed = sample.mapInArrow(observe, f"i {kind}, toxic int, seen array<double>")
+    observed = sample.select("i", "toxic", "text", "half").mapInArrow(observe, f"i {kind}, toxic int, seen array<double>")
     # One small row for each id of the bounded sample; an id that repeats is one row.
     rows = observed.groupBy("i").agg(F.min(F.struct("toxic", "seen")).alias("row")).orderBy("i").collect()
     if not rows:
-        return Model(lexicon, [-30.0] + [0.0] * 6)
+        return Model({}, [-30.0] + [0.0] * N_FEATURES)
     x = np.array([r["row"]["seen"] for r in rows])
     y = np.array([float(r["row"]["toxic"] > 0) for r in rows])
-    return Model(lexicon, fit_logistic(x, y))
+    lexicon, established = _learned(sample)
+    return Model(lexicon, fit_logistic(x, y), established)
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and hits (position, term, misspelled, quoted) of every row, from its text alone."""
+    """doc_id, score and hits (position, term, misspelled, quoted, edits) of every row, from its text alone."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    hit = pa.struct([("position", pa.int32()), ("term", pa.string()), ("misspelled", pa.bool_()), ("quoted", pa.bool_())])
+    hit = pa.struct([("position", pa.int32()), ("term", pa.string()), ("misspelled", pa.bool_()), ("quoted", pa.bool_()), ("edits", pa.int32())])
 
     def judge(batches):
-        memo = _Memo(Lexicon(model.lexicon))
+        memo = _Memo(Lexicon(model.lexicon, model.established))
         for batch in batches:
             scores, hits = [], []
             for text in batch.column(1).to_pylist():
@@ -312,5 +387,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
             )
 
     return rows.mapInArrow(
-        judge, f"doc_id {kind}, score double, hits array<struct<position:int,term:string,misspelled:boolean,quoted:boolean>>"
+        judge,
+        f"doc_id {kind}, score double,"
+        " hits array<struct<position:int,term:string,misspelled:boolean,quoted:boolean,edits:int>>",
     )

@@ -205,14 +205,29 @@ def test_automaton_by_brute_force():
         return row[-1]
 
     rng = random.Random(2)
-    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(5, 8))) for _ in range(40)})
-    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0))
-    for _ in range(600):
-        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
-        best = min((distance(word, t), t) for t in terms)
-        want = best if best[0] <= 1 else None
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(40)})
+    weights = {t: rng.choice([0.5, 1.55, 3.0]) for t in terms}
+    lexicon = toxicity.Lexicon(weights, frozenset(["abcabcabc"]))
+
+    def allowed(term):
+        by_length = 0 if len(term) < 4 else 1 if len(term) < 7 else 2
+        # Half a point is never misspelled, one and a half once, three twice.
+        return min(by_length, {0.5: 0, 1.55: 1, 3.0: 2}[weights[term]])
+
+    edited = set()
+    for _ in range(1500):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 11)))
+        near = sorted((distance(word, t), -weights[t], t) for t in terms if distance(word, t) <= allowed(t))
         found = lexicon.find(word)
-        assert (found and found[0]) == (want and want[1])
+        if word in weights:
+            assert found == (word, weights[word], 0)
+        elif not near:
+            assert found is None
+        else:
+            edits, _, term = near[0]
+            assert found == (term, weights[term] * toxicity.DECAY**edits, edits)
+            edited.add(edits)
+    assert edited == {1, 2} and lexicon.find("abcabcabc") is None
 
 
 def test_toxicity_cases(spark):
@@ -231,10 +246,41 @@ def test_toxicity_cases(spark):
     got = {r["doc_id"]: r for r in toxicity.predict(documents(spark, cases), model).collect()}
     assert got[1]["score"] > 0.5 > got[2]["score"] and got[3]["score"] < 0.5 and not got[3]["hits"]
     assert got[4]["hits"][0]["misspelled"] and got[5]["hits"][0]["quoted"] and got[5]["score"] < 0.5
+    # Two edits of a long term, one of a short one, and none of a term's half.
+    assert got[4]["score"] > 0.5 and got[4]["hits"][0]["edits"] == 1
+    twisted = documents(spark, [(1, "a grxbiaan here", None, None), (2, "a grbn here", None, None)])
+    got = {r["doc_id"]: r for r in toxicity.predict(twisted, model).collect()}
+    assert got[1]["score"] > 0.5 > got[2]["score"] and got[1]["hits"][0]["edits"] == 2
     nothing = toxicity.train(documents(spark, rows).limit(0), labels)
     assert toxicity.predict(documents(spark, ODD), nothing).where("score > 0.01").count() == 0
 
 
+def test_score_by_hand(spark):
+    """Hits and score of a row from the lexicon and the coefficients alone."""
+    model = toxicity.Model({"grobian": 4.0, "lump": 2.0, "zank*": 3.0}, [-2.0, 1.5, 0.5, -1.0, 0.25])
+    texts = {
+        1: "you grobian and a lupm there",  # two edits of four letters are too many
+        2: "a lumpp said she",
+        3: 'he wrote "grobiam" there',
+        4: "zankerei, GROBIAN!",
+        5: "nothing of it",
+    }
+    want = {
+        1: ([("grobian", 0, False)], 4.0, 4.0, 0.0, 1),
+        2: ([("lump", 1, True)], 0.0, 0.0, 1.6, 0),
+        3: ([("grobian", 1, True)], 0.0, 0.0, 3.2, 0),
+        4: ([("zank*", 0, False), ("grobian", 0, False)], 7.0, 4.0, 0.0, 0),
+        5: ([], 0.0, 0.0, 0.0, 0),
+    }
+    import math
+
+    for r in toxicity.predict(documents(spark, [(i, t, None, None) for i, t in texts.items()]), model).collect():
+        hits, abuse, heaviest, quoted, address = want[r["doc_id"]]
+        assert [(h["term"], h["edits"], h["quoted"]) for h in r["hits"]] == hits
+        z = -2.0 + 1.5 * math.log1p(abuse) + 0.5 * heaviest / 10 - math.log1p(quoted) + 0.25 * math.log1p(address)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_topk_by_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(8)]) for i in range(130)]

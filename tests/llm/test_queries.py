@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.verify import _rows, connect
-from somnotab.llm import mixing
+from somnotab.llm import mixing, toxicity
 from somnotab.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -135,6 +136,31 @@ def test_toxic_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_toxic_held_out_when_misspelled(spark):
+    """One edit in every insult leaves the documents toxic; unedited harmless ones stay what they are."""
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(documents, labels)
+    memo = toxicity._Memo(toxicity.Lexicon(model.lexicon, model.established))
+    rng = random.Random(7)
+
+    def edited(word):
+        if (hit := memo[word]) is None or hit[2]:
+            return word
+        at, letter = rng.randrange(len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return rng.choice([word[:at] + letter + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + word[at + 1 :]])
+
+    def flagged(text):
+        return model.score(toxicity.features(text, memo)[0]) >= 0.5
+
+    held = documents.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out()).select("text", "toxic").collect()
+    toxic, clean = ([r["text"] or "" for r in held if r["toxic"] == k] for k in (1, 0))
+    found = [t for t in toxic if flagged(t)]
+    assert len(found) >= 0.9 * len(toxic) and sum(map(flagged, clean)) <= 0.015 * len(clean)
+    again = sum(flagged(" ".join(map(edited, t.split()))) for t in found)
+    assert again >= 0.88 * len(found)
+
+
 def test_pipeline(spark, texts):
     """Each stage's decision is made again by hand from the operators' tested results."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
