@@ -144,6 +144,11 @@ def test_language_cases(spark):
     assert len(got) == len(ODD) + 1
     assert by_id[8]["lang_pred"] == by_id[2]["lang_pred"] == "und" and by_id[8]["score"] == 0
     assert by_id[99]["lang_pred"] == "en" and [(s["lang"], s["words"]) for s in by_id[99]["segments"]] == [("en", 45), ("fr", 15)]
+    signs = [(1, "\u00b2 \u00bd 12", None, None), (2, "\u2167 \u3289 _ \u0660", None, None), (3, "the\u00b2 of", None, None), (4, "\u0301", None, None)]
+    assert [r["lang_pred"] for r in sorted(language.predict(documents(spark, signs), field).collect())] == ["und", "und", "en", "und"]
+    # A third of the words each: no language of the text has enough of it.
+    thirds = [(1, " ".join([words[k]] * 12), None, None) for k in words] + [(2, " ".join(words[k] for k in words), None, None), (3, "!!", None, None)]
+    assert [r["doc_id"] for r in language.accepted(documents(spark, thirds), field).collect()] == [1, 1, 1]
     empty = language.train(documents(spark, ODD).limit(0))
     assert {r["lang_pred"] for r in language.predict(documents(spark, ODD), empty).collect()} == {"und"}
 
@@ -255,6 +260,17 @@ def test_toxicity_cases(spark):
     assert toxicity.predict(documents(spark, ODD), nothing).where("score > 0.01").count() == 0
 
 
+def test_language_samples_words_from_all_over_a_text(spark):
+    """Windows lie in every part of a long text; a text of at most that many words is taken whole."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 199, 200, 201, 5000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    taken = {r["i"]: r["w"] for r in frame.select("i", language._sample_words(F.col("t"), F.col("i")).alias("w")).collect()}
+    assert [len(taken[i]) for i in range(5)] == [1, 199, 200, 200, 200]
+    places = [int(w[1:]) for w in taken[4]]
+    assert [sum(k * 1250 <= p < (k + 1) * 1250 for p in places) for k in range(4)] == [50] * 4
+    assert len(set(places)) == 200 and places != list(range(200))
+
+
 def test_score_by_hand(spark):
     """Hits and score of a row from the lexicon and the coefficients alone."""
     model = toxicity.Model({"grobian": 4.0, "lump": 2.0, "zank*": 3.0}, [-2.0, 1.5, 0.5, -1.0, 0.25])
