@@ -114,8 +114,8 @@ def frequencies(documents: DataFrame, phrases: DataFrame, text_col: str) -> Data
 def anchors_of(phrases: DataFrame, counted: DataFrame) -> DataFrame:
     """The rarest and next rarest distinct term of every phrase that can occur, and their places."""
     placed = phrases.select("phrase_id", F.posexplode("phrase").alias("place", "piece"))
-    placed = placed.groupBy("phrase_id", F.xxhash64("piece").alias("term")).agg(F.min("place").alias("place"))
-    rarest = Window.partitionBy("phrase_id").orderBy(F.coalesce("n", F.lit(0)), "term")
+    placed = placed.groupBy("phrase_id", "piece", F.xxhash64("piece").alias("term")).agg(F.min("place").alias("place"))
+    rarest = Window.partitionBy("phrase_id").orderBy(F.coalesce("n", F.lit(0)), "piece")
     ranked = (
         placed.join(counted, "term", "left")
         .withColumn("rank", F.row_number().over(rarest))
@@ -192,8 +192,13 @@ def search(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    proximity: bool = False,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, ``items`` (sorted as strings) and the document's key, one row per document."""
+    """doc_id, n_words, n_hit, ``items`` (sorted as strings) and the document's key, one row per document.
+
+    With ``proximity`` also ``near_items``: items of which no window occurs, but all words of one stand together
+    in some order, each less than a window's width from the rarest of them.
+    """
     phrases, members = phrases_of(benchmark, item_col, item_text_col, window)
     anchors = anchors_of(phrases, frequencies(documents, phrases, text_col))
     index = build_index(documents, anchors, window - 1, id_col, text_col)
@@ -207,13 +212,23 @@ def search(
         matches.select("k1", "k2", "phrase_id").distinct().join(members, "phrase_id")
         .groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
-    found = storage.staged(covered.join(items, ["k1", "k2"], "left"), "contaminated")
+    found = covered.join(items, ["k1", "k2"], "left")
+    if proximity:
+        together = near(index, phrases, anchors).select("k1", "k2", "phrase_id").distinct().join(members, "phrase_id")
+        together = together.groupBy("k1", "k2").agg(F.collect_set(F.col("item_id").cast("string")).alias("together"))
+        found = found.join(together, ["k1", "k2"], "full")
+    found = storage.staged(found, "contaminated")
     ends = index.where(F.col("term") == F.xxhash64(F.lit(END))).select("doc_id", "k1", "k2", "n_words")
-    return ends.join(found, ["k1", "k2"], "left").select(
+    none = F.array().cast("array<string>")
+    items = F.coalesce("items", none)
+    rows = ends.join(found, ["k1", "k2"], "left")
+    near_items = [F.array_sort(F.array_except(F.coalesce("together", none), items)).alias("near_items")] if proximity else []
+    return rows.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        items.alias("items"),
+        *near_items,
         "k1",
         "k2",
     )

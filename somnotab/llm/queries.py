@@ -142,15 +142,32 @@ hit as (
   where o < n group by r),
 held as (
   select r, count(*) as n_items, string_agg(i, ',' order by i) as ids
-  from (select distinct r, cast(item_id as varchar) as i from found where item_id is not null) group by r)
+  from (select distinct r, cast(item_id as varchar) as i from found where item_id is not null) group by r),
+tokens as (select r, unnest(range(len(w))) as pos, unnest(w) as word from docs),
+counts as (select word, count(*) as n from tokens group by word),
+windows as (
+  select distinct item_id, w[s + 1 : s + {contamination.WINDOW}] as p
+  from (select *, unnest(range(greatest(len(w) - {contamination.WINDOW - 1}, 1))) as s from items where len(w) > 0)),
+spelled as (select distinct p, unnest(list_distinct(p)) as word from windows),
+leads as (
+  select p, arg_min(word, (coalesce(n, 0), word)) as lead from spelled left join counts using (word)
+  group by p having min(coalesce(n, 0)) > 0),
+together as (
+  select distinct t.r, cast(v.item_id as varchar) as i
+  from leads l join tokens t on t.word = l.lead join docs d on d.r = t.r join windows v on v.p = l.p
+  where v.item_id is not null and list_has_all(
+    d.w[greatest(t.pos - {contamination.WINDOW - 1}, 0) + 1 : t.pos + {contamination.WINDOW}], l.p)),
+near as (
+  select r, count(*) as n_near from together
+  where (r, i) not in (select r, cast(item_id as varchar) from found where item_id is not null) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs left join hit using (r) left join held using (r)"""
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from docs left join hit using (r) left join held using (r) left join near using (r)"""
 
 
 @query("op5_benchmark_passages", _OP5)
 def op5(spark, folder):
-    found = contamination.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = contamination.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), proximity=True)
     return found.select(
         "doc_id",
         "n_words",
@@ -158,6 +175,7 @@ def op5(spark, folder):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
     )
 
 

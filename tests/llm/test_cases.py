@@ -103,6 +103,9 @@ def test_proximity(spark):
     index = contamination.build_index(docs, anchors, 4, "doc_id", "text")
     assert {r["doc_id"] for r in contamination.near(index, phrases, anchors).collect()} == {1, 3}
     assert contamination.exact(index, phrases, anchors).count() == 0
+    asked = spark.createDataFrame([(1, "a b c"), (2, "c b"), (3, "q c"), (None, "a c")], "item_id long, text string")
+    found = {r["doc_id"]: (r["items"], r["near_items"]) for r in contamination.search(docs, asked, 5, proximity=True).collect()}
+    assert found == {1: ([], ["1", "2"]), 2: ([], []), 3: (["2"], ["1"])}
 
 
 def test_archive_round_trip(spark):
