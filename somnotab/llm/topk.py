@@ -1,13 +1,15 @@
 """Exact search by inner product: exhaustive term-at-a-time accumulation.
 
 Components are integers, floor(64 x). A dimension is a term; the vectors of a block that are not zero
-there are its postings. For a block of queries and a block of vectors, every term adds
-query weight times posting weight into a dense array of scores; terms are added sixteen at a
-time. The best of each row are selected by partition, and the lists of the blocks are merged.
+there are its postings. For a block of queries and a block of vectors, every term's postings are scattered,
+weighted by the queries that ask for the term, into a dense array of scores. Where nearly every vector has
+nearly every term, terms are added sixteen at a time. The best of each row are selected by partition, and the lists
+of the blocks are merged.
 
-Blocks are packed rows of bounded size. Each block of vectors meets each block of queries once, by
-an equal key: the query set, one row in twenty, is stated by the task, so the work is
-queries times vectors and is spread over pairs of blocks. No list of all queries is broadcast.
+Blocks are packed rows of bounded size. ``GROUP`` blocks of vectors meet ``QUERY_GROUP`` blocks of queries in one
+task, so its input stays the same however many vectors there are: a vector travels once for each group of
+queries, a query once for each group of vectors. The query set, one row in twenty, is stated by the task, so
+the work is queries times vectors. No list of all queries is broadcast.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do
 rows with a null id; vectors of different lengths meet as if the shorter ended in
@@ -28,6 +30,11 @@ from somnotab.llm import storage
 SCALE = 64
 BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Blocks of vectors, and of queries, that meet in one task.
+GROUP = 2
+QUERY_GROUP = 4
+#: Share of components that are not zero below which terms are scattered one by one.
+SPARSE = 0.25
 EVERY = 20
 K = 20
 #: Terms added at once, and the sums up to which floating point is exact.
@@ -63,49 +70,45 @@ def _pack(ids, column, rows) -> list:
     ]
 
 
-def vector_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """One packed row for at most ``size`` vectors of a partition."""
-    names = ["c_width", "c_ids", "c_rows", "c_components"]
+_PACKED = ["width", "ids", "rows", "components"]
 
-    def pack(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                yield pa.RecordBatch.from_arrays(_pack(*part.columns), names)
 
-    return rows.select("vec_id", "x", "row").mapInArrow(pack, "c_width int, c_ids binary, c_rows binary, c_components binary")
+def _blocks(rows: DataFrame, size: int, groups: int, name: str) -> DataFrame:
+    """Packed rows of at most ``size`` vectors, dealt over ``groups`` groups by a hash of the row."""
+    numbered = rows.select("vec_id", "x", "row", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias(name))
 
+    def pack(table):
+        number, made = table.column(name)[0].as_py(), []
+        for i in range(0, table.num_rows, size):
+            part = table.slice(i, size)
+            columns = [part.column(c).combine_chunks() for c in ("vec_id", "x", "row")]
+            made.append(pa.Table.from_arrays([pa.array([number], pa.int32()), *_pack(*columns)], [name, *_PACKED]))
+        return pa.concat_tables(made)
 
-def query_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """One packed row per block; ``block`` numbers them by a hash of the row."""
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    return numbered.groupBy(name).applyInArrow(pack, f"{name} int, width int, ids binary, rows binary, components binary")
 
-    def pack(table):
-        number = pa.array([table.column("block")[0].as_py()], pa.int32())
-        columns = [table.column(c).combine_chunks() for c in ("vec_id", "x", "row")]
-        return pa.Table.from_arrays([number, *_pack(*columns)], ["block", "width", "ids", "rows", "components"])
 
-    return numbered.groupBy("block").applyInArrow(pack, "block int, width int, ids binary, rows binary, components binary")
+def scattered(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores of all pairs, term after term: the postings of a term, weighted by the queries that have it."""
+    scores = np.zeros((len(queries), len(vectors)), dtype=np.int64)
+    for t in range(min(queries.shape[1], vectors.shape[1])):
+        asking, postings = np.flatnonzero(queries[:, t]), np.flatnonzero(vectors[:, t])
+        weights = vectors[postings, t]
+        for q in asking:
+            scores[q, postings] += queries[q, t] * weights
+    return scores
 
 
 def accumulated(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact scores of all pairs, term after term."""
+    """Exact scores of all pairs. Sparse vectors, and sums beyond floating point's exact range, are scattered."""
     width = min(queries.shape[1], vectors.shape[1])
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, width)
-    if bound >= _EXACT:
-        scores = np.zeros((len(queries), len(vectors)), dtype=np.int64)
-        for t in range(width):
-            asking, postings = np.flatnonzero(queries[:, t]), np.flatnonzero(vectors[:, t])
-            scores[np.ix_(asking, postings)] += np.outer(queries[asking, t], vectors[postings, t])
-        return scores
+    if bound >= _EXACT or np.count_nonzero(vectors) < SPARSE * vectors.size:
+        return scattered(queries, vectors)
     scores = np.zeros((len(queries), len(vectors)))
     for t in range(0, width, _TERMS):
-        weights, postings = queries[:, t : t + _TERMS][:, : width - t], vectors[:, t : t + _TERMS][:, : width - t]
-        asking, held = np.flatnonzero(weights.any(axis=1)), np.flatnonzero(postings.any(axis=1))
-        if len(asking) == len(queries) and len(held) == len(vectors):
-            scores += weights.astype(np.float64) @ postings.astype(np.float64).T
-        else:
-            scores[np.ix_(asking, held)] += weights[asking].astype(np.float64) @ postings[held].astype(np.float64).T
+        end = min(width, t + _TERMS)
+        scores += queries[:, t:end].astype(np.float64) @ vectors[:, t:end].astype(np.float64).T
     return scores.astype(np.int64)
 
 
@@ -116,29 +119,40 @@ def _best(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return found[np.lexsort((ids[found], -row[found]))[:k]]
 
 
+def _unpacked(table: pa.Table):
+    """(ids, rows, components) of every packed block."""
+    for block in table.select(_PACKED).to_pylist():
+        ids, rows, flat = (np.frombuffer(block[c], np.int64) for c in ("ids", "rows", "components"))
+        yield ids, rows, flat.reshape(len(ids), block["width"])
+
+
+def _merged(k: int, one, other):
+    """The k best of two lists of (ids, scores) of one query row."""
+    ids, scores = (np.concatenate(x) for x in zip(one, other, strict=True))
+    best = _best(scores, ids, k)
+    return ids[best], scores[best]
+
+
 def _searcher(k: int):
-    def numbers(value):
-        return np.frombuffer(value.as_py(), np.int64)
-
-    def search(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {name: batch.column(name)[i] for name in batch.schema.names}
-                ids, rows, c_ids, c_rows = (numbers(r[n]) for n in ("ids", "rows", "c_ids", "c_rows"))
-                queries = numbers(r["components"]).reshape(len(ids), r["width"].as_py())
-                vectors = numbers(r["c_components"]).reshape(len(c_ids), r["c_width"].as_py())
-                out = [[], [], []]
-                for j in range(0, len(ids), 256):
-                    scores = accumulated(queries[j : j + 256], vectors)
+    def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        held = list(_unpacked(vectors))
+        out = [[], [], []]
+        for ids, rows, asked in _unpacked(queries):
+            for j in range(0, len(ids), 256):
+                lists = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids[j : j + 256])
+                for c_ids, c_rows, components in held:
+                    scores = accumulated(asked[j : j + 256], components)
                     for q, own in zip(*np.nonzero(rows[j : j + 256, None] == c_rows[None, :]), strict=True):
                         scores[q, own] = _NONE
                     for q, row in enumerate(scores):
                         best = _best(row, c_ids, k)
-                        out[0].append(np.full(len(best), ids[j + q], dtype=np.int64))
-                        out[1].append(c_ids[best])
-                        out[2].append(row[best])
-                arrays = [pa.array(np.concatenate(x), pa.int64()) for x in out]
-                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
+                        lists[q] = _merged(k, lists[q], (c_ids[best], row[best]))
+                for q, (found, values) in enumerate(lists):
+                    out[0].append(np.full(len(found), ids[j + q], dtype=np.int64))
+                    out[1].append(found)
+                    out[2].append(values)
+        arrays = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out]
+        return pa.Table.from_arrays(arrays, ["query_id", "vec_id", "score"])
 
     return search
 
@@ -146,13 +160,22 @@ def _searcher(k: int):
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query (rows whose id ``every`` divides)."""
     rows = storage.staged(usable(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
-    blocks = vector_blocks(rows.repartition(max(1, -(-n // BLOCK))))
     asked = rows.where(F.col("vec_id") % every == 0)
-    count = max(1, -(-n // (every * QUERY_BLOCK)))
-    queries = query_blocks(asked, count)
-    meeting = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    found = meeting.join(queries, "block").drop("block").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    groups, query_groups = (
+        max(1, -(-frame.count() // (size * many)))
+        for frame, size, many in ((rows, BLOCK, GROUP), (asked, QUERY_BLOCK, QUERY_GROUP))
+    )
+
+    def each(number, name):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias(name)
+
+    held = _blocks(rows, BLOCK, groups, "place").select("*", each(query_groups, "turn"))
+    queries = _blocks(asked, QUERY_BLOCK, query_groups, "turn").select("*", each(groups, "place"))
+    found = (
+        queries.groupBy("turn", "place")
+        .cogroup(held.groupBy("turn", "place"))
+        .applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,27 @@ def test_topk_by_brute_force(spark):
     assert topk.search(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("filled", [0.05, 0.24, 0.26, 1.0])
+def test_scores_of_sparse_and_dense_blocks(filled):
+    rng = np.random.default_rng(int(filled * 100))
+    queries, vectors = (rng.integers(-90, 90, (n, 37)) * (rng.random((n, 37)) < filled) for n in (20, 300))
+    want = queries @ vectors.T
+    assert (topk.accumulated(queries, vectors) == want).all() and (topk.scattered(queries, vectors) == want).all()
+    huge = vectors.astype(np.int64) << 40
+    assert (topk.accumulated(queries, huge) == queries @ huge.T).all()
+
+
+def test_search_in_many_groups(spark, monkeypatch):
+    """Blocks and groups of a few rows, sparse rows, ties: the same lists as from one block."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0] * 6 + [0.25, -0.5, 1.0]) for _ in range(12)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, topk.search(frame, k=7).collect()))
+    for name, value in (("BLOCK", 16), ("QUERY_BLOCK", 3), ("GROUP", 3), ("QUERY_GROUP", 2)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(map(tuple, topk.search(frame, k=7).collect())) == want and len(want) == 140
+
+
 @pytest.mark.parametrize("rows", [[], ODD], ids=["empty", "odd"])
 def test_whole_pipeline(spark, tmp_path, rows):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
