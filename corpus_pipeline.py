@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from somnotab.llm import contamination, language, mixing, shards, simhash, storage
+from somnotab.sources.files import delete_folder
 
 #: The field's words cannot be labelled in SQL.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no word of any language is found go."""
+    """Texts without a letter go, and those of which no language has enough words."""
     return language.accepted(docs, language.train(docs))
 
 
@@ -50,8 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's own tables, and the rows it read, are deleted once its rows are written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = storage.staged(stage(spark, docs, sf_dir), name)
+        path = storage.new_path(spark, name)
+        with storage.scratch(spark, f"{name}-work"):
+            docs = storage.staged(stage(spark, docs, sf_dir), name, path)
+        if read is not None:
+            delete_folder(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
-
