@@ -2,7 +2,8 @@
 
 A record belongs for ever to the virtual slot its id and text hash to; a small map says which shard
 holds a slot. Rebalancing edits the map, never the hash: a new version moves as few slots as it
-takes to bring the bytes of the shards together. All versions are kept in one table.
+takes to bring the bytes of the shards together. All versions are kept in one table, which later runs read,
+edit and add to; two versions say which slots have to move.
 
 The law is ``bytes``: the shards' sizes are near equal. ``slot`` is the row's place in its shard,
 gapless from 0, in the order of virtual slots; within a virtual slot rows are ordered by id (null
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somnotab.llm import storage
+from somnotab.sources.files import path_exists
 
 VIRTUAL_SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long"
@@ -93,27 +95,68 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == version)
 
 
-def stored_map(rows: DataFrame, shards: int, virtual_slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """virtual_slot, shard: the newest version of a map that is stored with all its versions."""
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the last version of a stored map; None if there is no map."""
+    if not path_exists(spark, path):
+        return None
+    return spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
+
+
+def _fitted(current: list[int], shards: int) -> list[int]:
+    """The map for a number of shards: slots of shards that are gone are dealt to the others in turn."""
+    return [shard if shard < shards else slot % shards for slot, shard in enumerate(current)]
+
+
+def stored_map(
+    rows: DataFrame, shards: int, virtual_slots: int = VIRTUAL_SLOTS, path: str | None = None
+) -> DataFrame:
+    """virtual_slot, shard: the newest version of a map that is stored with all its versions.
+
+    The map at ``path`` is edited for the loads of ``rows`` and kept there as its next version; if nothing
+    moves, it stays as it is. Without a path, or with one that holds no map yet, an even map is version 0.
+    """
     spark = rows.sparkSession
     loads = slot_loads(rows, virtual_slots)
-    path = storage.new_path(spark, "slot-map")
-    start = first_map(shards, virtual_slots)
-    write_version(spark, path, 0, start, loads)
-    write_version(spark, path, 1, rebalanced(start, loads, shards), loads)
-    return read_map(spark, path, 1).select("virtual_slot", "shard")
+    path = storage.new_path(spark, "slot-map") if path is None else path
+    version = newest_version(spark, path)
+    if version is None:
+        version = 0
+        current = first_map(shards, virtual_slots)
+        write_version(spark, path, version, current, loads)
+    else:
+        stored = {r["virtual_slot"]: r["shard"] for r in read_map(spark, path, version).collect()}
+        if len(stored) != virtual_slots:
+            raise ValueError(f"the stored map has {len(stored)} virtual slots, not {virtual_slots}")
+        current = [stored[slot] for slot in range(virtual_slots)]
+    edited = rebalanced(_fitted(current, shards), loads, shards)
+    if edited != current:
+        version += 1
+        write_version(spark, path, version, edited, loads)
+    return read_map(spark, path, version).select("virtual_slot", "shard")
+
+
+def moved(spark: SparkSession, path: str, before: int, after: int) -> DataFrame:
+    """virtual_slot, old_shard, new_shard, bytes: what has to be carried from one version to the other."""
+    old = read_map(spark, path, before).select("virtual_slot", F.col("shard").alias("old_shard"))
+    new = read_map(spark, path, after).select("virtual_slot", F.col("shard").alias("new_shard"), "bytes")
+    return old.join(new, "virtual_slot").where("old_shard <> new_shard").select("virtual_slot", "old_shard", "new_shard", "bytes")
 
 
 def assign(
-    documents: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", virtual_slots: int = VIRTUAL_SLOTS
+    documents: DataFrame,
+    shards: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    virtual_slots: int = VIRTUAL_SLOTS,
+    map_path: str | None = None,
 ) -> DataFrame:
-    """Size, checksum, shard and place of every row."""
+    """Size, checksum, shard and place of every row; ``map_path`` keeps the map from run to run."""
     rows = storage.staged(measured(documents, id_col, text_col, virtual_slots), "sharding")
     # Where a virtual slot begins within its shard: a running count over the map's few rows.
     counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")
-    begins = stored_map(rows, shards, virtual_slots).join(counts, "virtual_slot").select("virtual_slot", "shard", begin)
+    begins = stored_map(rows, shards, virtual_slots, map_path).join(counts, "virtual_slot").select("virtual_slot", "shard", begin)
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     placed = rows.withColumn("place", F.row_number().over(within) - 1)
     return placed.join(storage.small_side(begins, virtual_slots, 32), "virtual_slot").select(
@@ -129,12 +172,17 @@ def assign(
 
 
 def placed(
-    documents: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", virtual_slots: int = VIRTUAL_SLOTS
+    documents: DataFrame,
+    shards: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    virtual_slots: int = VIRTUAL_SLOTS,
+    map_path: str | None = None,
 ) -> DataFrame:
     """The rows themselves with their ``shard``: a look-up in the map, so no text is moved."""
     (slot,) = storage.fresh(documents, "slot")
     rows = measured(documents, id_col, text_col, virtual_slots).select("virtual_slot", "size")
-    newest = stored_map(rows, shards, virtual_slots).select(F.col("virtual_slot").alias(slot), F.col("shard").alias("shard"))
+    newest = stored_map(rows, shards, virtual_slots, map_path).select(F.col("virtual_slot").alias(slot), F.col("shard").alias("shard"))
     own = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(virtual_slots)).cast("int")
     kept = [c for c in documents.columns if c.lower() != "shard"]
     rows = documents.select(*kept, own.alias(slot))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somnotab.session import checkpoint_root
+from somnotab.sources.files import delete_folder
 
 BROADCAST_BYTES = 32 << 20
 _ROOT = {}
+#: Folders of the scratch scopes that are open, the innermost last.
+_SCOPES: list[str] = []
 
 
 def _root(spark: SparkSession) -> str:
@@ -22,24 +26,34 @@ def _root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPES[-1] if _SCOPES else _root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+def staged(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back: what follows starts from files."""
     spark = frame.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name) if path is None else path
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Intermediate tables made within the scope are deleted at its end; what is kept has a path from outside."""
+    folder = new_path(spark, name)
+    _SCOPES.append(folder)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(folder)
+        delete_folder(spark, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once its results are stored."""
     folder = _ROOT.pop(spark.sparkContext.applicationId, None)
     if folder is not None:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, folder)
 
 
 def small_side(table: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -69,6 +69,35 @@ def test_shards_rebalance():
     assert len({after[s] for s in (0, 1, 9, 17)}) == 4
 
 
+def test_map_lasts(spark, tmp_path):
+    """A second run edits the map of the first, and says what moves; a run that moves nothing adds no version."""
+    path = f"{tmp_path}/map"
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randrange(200), "en", "s") for i in range(1500)]
+
+    def run(rows, shards_):
+        found = {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in shards.assign(documents(spark, rows), shards_, virtual_slots=256, map_path=path).collect()}
+        return found, shards.newest_version(spark, path)
+
+    assert shards.newest_version(spark, path) is None
+    first, one = run(rows, 8)
+    again, same = run(rows, 8)
+    assert again == first and same == one == 1
+    more = rows + [(i, "y" * rng.randrange(3000), "en", "s") for i in range(1500, 1700)]
+    second, two = run(more, 8)
+    changes = {r["virtual_slot"]: (r["old_shard"], r["new_shard"]) for r in shards.moved(spark, path, one, two).collect()}
+    assert two == 2 and 0 < len(changes) < 128
+    for doc, (slot, shard) in first.items():
+        assert second[doc] == (slot, changes.get(slot, (0, shard))[1]) and changes.get(slot, (shard, 0))[0] == shard
+    third, three = run(more, 9)  # another shard takes its part of the slots
+    grown = [r for r in shards.moved(spark, path, two, three).collect()]
+    assert {shard for _, shard in third.values()} == set(range(9)) and sum(r["new_shard"] == 8 for r in grown) >= len(grown) / 2
+    fourth, _ = run(more, 3)  # shards that are gone hold nothing
+    assert {shard for _, shard in fourth.values()} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        shards.assign(documents(spark, rows), 8, virtual_slots=128, map_path=path)
+
+
 def test_water_level(spark):
     docs = documents(spark, [(i, "w " * n, "en", s) for i, (n, s) in enumerate([(10, "a"), (500, "b"), (490, "c"), (0, "d")])])
     goals = {r["source"]: r["target"] for r in mixing.targets(mixing.measured(docs, "doc_id", "text", "source")).collect()}
@@ -396,6 +425,16 @@ def test_columns_named_as_an_operator_names_its_own(spark):
     same(contamination.clean(docs, asked), contamination.clean(plain, asked))
 
 
+def test_scratch(spark):
+    outer = storage.new_path(spark, "kept")
+    with storage.scratch(spark, "work"):
+        inner = storage.staged(spark.range(3), "inner")
+        kept = storage.staged(inner.where("id > 0"), "kept", outer)
+    assert kept.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        inner.count()
+
+
 def test_release(spark):
     kept = storage.staged(spark.range(3), "gone")
     assert kept.count() == 3
