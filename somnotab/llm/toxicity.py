@@ -6,9 +6,9 @@ of a term's first place, so copies of one document are one piece of evidence. A
 as the lower confidence limit of its log odds, so a few chance contexts weigh little.
 
 The words of the lexicon are a trie. A word is run through the Levenshtein automaton in step with the
-trie, and only common paths are followed: one edit for terms of four to six letters, two for longer ones. A
-term cut into one part more than edits leaves one part whole, which says beforehand whether any path can
-succeed. A hit weighs the weight of its term, less for each edit; an exact hit is one of no edits, so one model
+trie, and only common paths are followed: one edit for terms of four to six letters, two for longer ones. An
+edit brings or takes one kind of letter at most, which says beforehand, for many words at a time, whether any path
+can succeed. A hit weighs the weight of its term, less for each edit; an exact hit is one of no edits, so one model
 judges both. Forms that stand in several harmless documents themselves are words of their own, no misspellings.
 
 Every hit is weighed by a window of words around it: quotation marks and words of report speak for a quotation,
@@ -51,7 +51,9 @@ MISSPELLED = 1.2
 #: Harmless documents in which a form must stand to be a word of its own.
 ESTABLISHED = 2
 _STEMS = (4, 5, 6)
-_MEMO = 1 << 18
+_MEMO = 1 << 20
+#: Characters of text whose words are looked up together.
+_CHARS = 1 << 22
 #: Rows of the sample that a task sees.
 _TASK_ROWS = 500
 _EDGES = "\"'`.,;:!?()[]{}<>|*_~#«»„“”‚‘’…-–—"
@@ -63,6 +65,13 @@ _REPORT = frozenset(
 _ADDRESS = frozenset("you your you're u tu te vous toi votre du dich dir ihr euch sie tú usted vosotros".split())
 
 
+def _bags(words: list[str], width: int) -> np.ndarray:
+    """The kinds of letters of every word as 64 bits."""
+    letters = np.array(words, dtype=f"U{max(1, width)}").view(np.uint32).reshape(len(words), -1)
+    bits = np.where(letters > 0, np.uint64(1) << (letters & np.uint32(63)).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
 def clean_word(word: str) -> str:
     return word.strip(_EDGES).lower()
 
@@ -85,45 +94,48 @@ def edits_allowed(term: str, weight: float) -> int:
 
 
 class Trie:
-    """Terms by letters, and their intersection with the Levenshtein automaton of a word."""
+    """Terms by letters, each with its edits, and their intersection with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms):
-        self.root: dict = {}
-        for term in terms:
+    def __init__(self, edits: dict[str, int]):
+        # A node: its children by letter, its term, and the most edits of any term below it.
+        self.root: tuple = ({}, [], [0])
+        for term, n in edits.items():
             node = self.root
             for letter in term:
-                node = node.setdefault(letter, {})
-            node[""] = term
+                node[2][0] = max(node[2][0], n)
+                node = node[0].setdefault(letter, ({}, [], [0]))
+            node[2][0] = max(node[2][0], n)
+            node[1].append(term)
 
-    def within(self, word: str, distance: int) -> list[tuple[int, str]]:
-        """(edits, term) of all terms at most ``distance`` edits from the word.
+    def within(self, word: str) -> list[tuple[int, str]]:
+        """(edits, term) of all terms at most two edits from the word.
 
-        A state of the automaton is the row of distances between what the path has read and every
-        prefix of the word; a path whose row exceeds the distance everywhere is left.
+        A state of the automaton is three sets of places in the word, as bits: those that what the path has read may
+        stand for with no, one and two edits. A path whose sets are empty up to the most edits below it is left.
         """
+        held: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            held[letter] = held.get(letter, 0) | 1 << i
+        size = len(word)
+        whole = (2 << size) - 1
         found: list[tuple[int, str]] = []
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        stack = [(self.root, 1, 3 & whole, 7 & whole)]
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= distance:
-                found.append((row[-1], node[""]))
-            for letter, child in node.items():
-                if not letter:
-                    continue
-                step = [row[0] + 1]
-                for i, own in enumerate(word):
-                    step.append(min(row[i + 1] + 1, step[i] + 1, row[i] + (own != letter)))
-                if min(step) <= distance:
-                    stack.append((child, tuple(step)))
+            (children, terms, _), r0, r1, r2 = stack.pop()
+            if terms and r2 >> size:
+                n = 0 if r0 >> size else 1 if r1 >> size else 2
+                found += [(n, term) for term in terms]
+            for letter, child in children.items():
+                same = held.get(letter, 0)
+                s0 = (r0 & same) << 1
+                s1 = ((r1 & same) << 1 | r0 | r0 << 1 | s0 << 1) & whole
+                s2 = ((r2 & same) << 1 | r1 | r1 << 1 | s1 << 1) & whole
+                most = child[2][0]
+                if s1 if most == 1 else s2:
+                    stack.append((child, s0, s1, s2))
         return found
 
 
-def _parts(term: str, n: int):
-    """The term cut into n parts of nearly equal length, with their places."""
-    ends = [len(term) * k // n for k in range(n + 1)]
-    return [(term[a:b], a) for a, b in zip(ends, ends[1:], strict=False)]
-
-
 @dataclass
 class Lexicon:
     """Terms and stems (ending in ``*``) with their weights, and forms that are words of their own."""
@@ -137,34 +149,39 @@ class Lexicon:
         words = {t: edits_allowed(t, w) for t, w in sorted(self.weights.items()) if not t.endswith("*")}
         self.edits = {t: n for t, n in words.items() if n}
         self.trie = Trie(self.edits)
-        # A part that some edits leave whole: where it stands in words that may be the term, by their length.
-        self.parts: dict[tuple[int, str], set[int]] = {}
-        self.part_lengths: dict[int, set[int]] = {}
-        for t, edits in self.edits.items():
-            for part, at in _parts(t, edits + 1):
-                for size in range(len(t) - edits, len(t) + edits + 1):
-                    self.parts.setdefault((size, part), set()).update(range(at - edits, at + edits + 1))
-                    self.part_lengths.setdefault(size, set()).add(len(part))
         self.stems = {t[:-1]: w for t, w in self.weights.items() if t.endswith("*")}
-
-    def _may_be_near(self, word: str) -> bool:
-        size = len(word)
-        for length in self.part_lengths.get(size, ()):
-            for at in range(size - length + 1):
-                if at in self.parts.get((size, word[at : at + length]), ()):
-                    return True
-        return False
+        self.longest = max((len(t) + n for t, n in self.edits.items()), default=0)
+        # What a term's letters say of words near it, by their length; terms that say the same are one.
+        self.bags: dict[int, set[tuple[int, int]]] = {}
+        if self.edits:
+            for term, bag in zip(self.edits, _bags(list(self.edits), self.longest).tolist(), strict=True):
+                n = self.edits[term]
+                for size in range(len(term) - n, len(term) + n + 1):
+                    self.bags.setdefault(size, set()).add((bag, n))
+
+    def may_be_near(self, words: list[str]) -> np.ndarray:
+        """Which words hold the letters that a misspelled term must: an edit brings or takes one kind at most."""
+        near = np.zeros(len(words), dtype=bool)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for size, bags in self.bags.items():
+            at = np.flatnonzero(sizes == size)
+            if not len(at):
+                continue
+            own = _bags([words[i] for i in at.tolist()], size)
+            found = np.zeros(len(at), dtype=bool)
+            for bag, n in bags:
+                term = np.uint64(bag)
+                found |= (np.bitwise_count(own & ~term) <= n) & (np.bitwise_count(term & ~own) <= n)
+            near[at] = found
+        return near
 
     def misspelled(self, word: str) -> tuple[str, int] | None:
         """The term that a word is nearest to, of equally near ones the heaviest, with its edits."""
-        if not self._may_be_near(word):
-            return None
-        near = [(d, -self.weights[t], t) for d, t in self.trie.within(word, 2) if 0 < d <= self.edits[t]]
+        near = [(d, -self.weights[t], t) for d, t in self.trie.within(word) if 0 < d <= self.edits[t]]
         return (min(near)[2], min(near)[0]) if near else None
 
-    def find(self, raw: str) -> tuple[str, float, int] | None:
-        """Term, weight of the hit, and its edits."""
-        word = clean_word(raw)
+    def written(self, word: str) -> tuple[str, float, int] | None:
+        """Term, weight and no edits of a clean word that is a term or begins with one."""
         if word in self.weights:
             return word, self.weights[word], 0
         size = len(word)
@@ -172,21 +189,51 @@ class Lexicon:
         if stems:
             best = max(stems, key=self.stems.__getitem__)
             return f"{best}*", self.stems[best], 0
-        found = None if word in self.established else self.misspelled(word)
-        return found and (found[0], self.weights[found[0]] * DECAY ** found[1], found[1])
+        return None
+
+    def find(self, words: list[str]) -> list[tuple[str, float, int] | None]:
+        """Term, weight of the hit, and its edits, for every word."""
+        clean = list(map(clean_word, words))
+        found = list(map(self.written, clean))
+        open_ = [i for i, (w, hit) in enumerate(zip(clean, found, strict=True)) if hit is None and w not in self.established]
+        near = self.may_be_near([clean[i] for i in open_])
+        for k in np.flatnonzero(near).tolist():
+            i = open_[k]
+            hit = self.misspelled(clean[i])
+            if hit is not None:
+                found[i] = (hit[0], self.weights[hit[0]] * DECAY ** hit[1], hit[1])
+        return found
 
 
 class _Memo(dict):
+    """Hits by word, looked up for many words at a time."""
+
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
-    def __missing__(self, word):
+    def learn(self, texts) -> None:
         if len(self) >= _MEMO:
             self.clear()
-        found = self[word] = self.lexicon.find(word)
+        new = list({w for text in texts if text for w in text.split()} - self.keys())
+        self.update(zip(new, self.lexicon.find(new), strict=True))
+
+    def __missing__(self, word):
+        [found] = self.lexicon.find([word])
+        self[word] = found
         return found
 
 
+def _learned_in_parts(texts: list[str | None], memo: _Memo):
+    """The texts, whose words the memo knows by then; looked up for ``_CHARS`` characters at a time."""
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= _CHARS or i == len(texts) - 1:
+            memo.learn(texts[start : i + 1])
+            yield from texts[start : i + 1]
+            start, chars = i + 1, 0
+
+
 def quoted_share(words: list[str], at: int) -> tuple[bool, bool]:
     """Whether the window around a word speaks for a quotation, and whether it addresses someone."""
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
@@ -301,7 +348,7 @@ def established_forms(sample: DataFrame, lexicon: dict[str, float]) -> frozenset
         memo = _Memo(Lexicon(lexicon))
         for batch in batches:
             forms = []
-            for text in batch.column(0).to_pylist():
+            for text in _learned_in_parts(batch.column(0).to_pylist(), memo):
                 forms += {clean_word(w) for w in set(text.split()) if (memo[w] or (0, 0, 0))[2]}
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], ["form"])
 
@@ -351,7 +398,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def observe(batches):
         memos = [_Memo(Lexicon(*half)) for half in halves]
         for batch in batches:
-            seen = [features(t, memos[h])[0] for t, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts, own = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for half, memo in enumerate(memos):
+                memo.learn([t for t, h in zip(texts, own, strict=True) if h == half])
+            seen = [features(t, memos[h])[0] for t, h in zip(texts, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.float64()))], ["i", "toxic", "seen"]
             )
@@ -378,7 +428,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
         memo = _Memo(Lexicon(model.lexicon, model.established))
         for batch in batches:
             scores, hits = [], []
-            for text in batch.column(1).to_pylist():
+            for text in _learned_in_parts(batch.column(1).to_pylist(), memo):
                 values, found = features(text, memo)
                 scores.append(model.score(values))
                 hits.append(found)

@@ -256,7 +256,7 @@ def test_automaton_by_brute_force():
     for _ in range(1500):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 11)))
         near = sorted((distance(word, t), -weights[t], t) for t in terms if distance(word, t) <= allowed(t))
-        found = lexicon.find(word)
+        [found] = lexicon.find([word])
         if word in weights:
             assert found == (word, weights[word], 0)
         elif not near:
@@ -265,7 +265,7 @@ def test_automaton_by_brute_force():
             edits, _, term = near[0]
             assert found == (term, weights[term] * toxicity.DECAY**edits, edits)
             edited.add(edits)
-    assert edited == {1, 2} and lexicon.find("abcabcabc") is None
+    assert edited == {1, 2} and lexicon.find(["abcabcabc"]) == [None]
 
 
 def test_toxicity_cases(spark):
