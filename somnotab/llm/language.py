@@ -38,8 +38,8 @@ UNKNOWN = "und"
 #: 2,499 held-out documents of the tables at 0.1 is 0.387, one in two thousand has less than 0.5.
 LEAST_SHARE = 0.35
 # Word characters that are neither letters nor decimal digits, such as fractions and superscripts.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]{{1,24}}")
+_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(r"[^\W\d_]{1,24}")
 _WIDTH = 24
 _BUCKETS = 1 << 16
 _LENGTH = 32
@@ -50,7 +50,12 @@ _CHARS = 1 << 21
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii() and (numbers := _NUMBERS & set(text)):
+        text = text.translate(dict.fromkeys(map(ord, numbers), " "))
+    return _WORD.findall(text)
 
 
 def features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
