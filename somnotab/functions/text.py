@@ -117,6 +117,11 @@ def text_pieces(text: Column, piece: str, flags: str) -> Column:
     return F.concat(F.lit("\n"), F.array_join(found, "\n"))
 
 
+def text_shortened(text: Column, stretch: str, flags: str) -> Column:
+    """The text with a line feed and the group of ``stretch`` in place of each of its matches."""
+    return F.regexp_replace(text, F.lit(f"(?{flags}){stretch}"), F.lit("\n$1"))
+
+
 def blank_to_null(value: Column) -> Column:
     """NULL for the empty string, which is how Spark reports an unmatched group."""
     return F.when(value != "", value)

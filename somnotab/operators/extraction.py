@@ -41,6 +41,7 @@ _CUTS = {
     "before": tx.text_before_last,
     "through": tx.text_through_last,
     "pieces": tx.text_pieces,
+    "shortened": tx.text_shortened,
 }
 
 

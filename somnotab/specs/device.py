@@ -7,9 +7,9 @@ from somnotab.specs.fields import Field, cased
 # The label of the name, which the capnography report shares.
 NAME = Field(
     "nombre_paciente",
-    r"\n(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad\b)",
+    r"\n(?: del paciente)?:? ?\|? ?({words})(?= ?\|? ?Edad{end})",
     pieces=r"Nombre((?: del paciente)?:? ?\|? ?"
-    r"(?:(?!Nombre(?: del paciente)?(?::| ?\|(?! ?Edad\b)))[\w -])*+(?:\|? ?Edad\b)?+)",
+    r"(?:(?!Nombre(?: del paciente)?(?::| ?\|(?! ?Edad\b)))[\w -])*+(?:\|? ?Edad\b)?+\W?+)",
 )
 
 # Labels, units and stop words of the DOC layout.

@@ -12,6 +12,8 @@ long ``marker ... .* ... value`` expressions a field names the *region* it lives
   opening word and, in the group, all such characters behind it and the closing word if it is another one. An
   opening word inside a piece needs no piece of its own, since what closes its value closes the
   outer one as well; one that reaches past the end of the piece must not be swallowed, so ``p`` stops there.
+* ``shortened=p``: the text with each match of ``p`` cut down to its group, behind a line feed. For stretches in which no
+  value can end, and whose opening words would each be tried to their end.
 
 For a leftmost search these say the same as the long expression, but a region is cut once per
 record and shared by all fields that name it, and a missing marker leaves nothing to search. However often
@@ -38,6 +40,8 @@ PLACEHOLDERS = {
     "{colon}": r" ?:? ?",
     "{sep}": r" ?[:|]? ?",
     "{cell}": r" ?[:|]? ?\|? ?",
+    # The end of a word in a piece: what follows it belongs to the piece, unless another label cuts the word off.
+    "{end}": r"(?!\n)\W",
 }
 
 
@@ -80,6 +84,7 @@ class Field:
     before: str | None = None
     through: str | None = None
     pieces: str | None = None
+    shortened: str | None = None
     cased: bool = False
     groups: int = 1
 
@@ -110,6 +115,8 @@ class Field:
             cuts += (("through", self.through, self.flags),)
         if self.pieces is not None:
             cuts += (("pieces", expand(self.pieces), self.flags),)
+        if self.shortened is not None:
+            cuts += (("shortened", expand(self.shortened), self.flags),)
         return (self.lowered, *cuts)
 
     def named(self, name: str) -> "Field":

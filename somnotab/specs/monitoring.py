@@ -6,6 +6,9 @@ from somnotab.specs.device import NAME
 from somnotab.specs.fields import Field, cased
 
 _WORD = "[a-záéíóúüñ]+"
+_IDENTITY = "(?:id|cc|ti|ce) ?:? ?"
+# What may belong to a value that begins with the next digit: its first letters and a label before them.
+_IDENTITY_HEAD = rf"(?:(?![a-z]*edad)[a-z]*{_IDENTITY})?(?![a-z]*edad)[a-z]*+(?=\d)"
 _ASLEEP = "durante (?:el )?sueno"
 _DISTRIBUTION = ("Distribucion de EtCO2",)
 
@@ -95,11 +98,14 @@ POLYGRAPHY_DOCX = [
         r"|\d{1,2} ?(?:de|del)? ?[a-z]+ ?(?:de|del)?\d{4}) ?informacion",
     ),
     Field("nombre_paciente", "nombre(?: del paciente)? ?: ?([^:]+?) ?id"),
+    # Between the value and the age stands no digit. So none ends in a stretch without digits that has no age and
+    # that a digit ends; only what reaches up to that digit can be the beginning of another one.
     Field(
         "id_paciente",
-        r"(?:id|cc|ti|ce) ?:? ?([a-z0-9]+)(?=\D*?(?:edad|\z))",
+        rf"{_IDENTITY}([a-z0-9]+)(?=[^\d\n]*?(?:edad|\z))",
         after=("nombre:",),
         before="edad",
+        shortened=rf"(?:(?<=edad)|(?<!\D))(?!{_IDENTITY_HEAD})(?:(?!edad)\D)+?(?<![a-z\d])({_IDENTITY_HEAD})",
     ),
     Field("edad_paciente", r"edad(?: del paciente)? ?[:=] ?(\d+)"),
     Field("medida_edad_paciente", r"edad(?: del paciente)? ?[:=] ?\d+ ?(anos|meses)\b(?= ?estudio)"),

@@ -44,9 +44,9 @@ _SLEEP_ARCHITECTURE = ("interpretacion arquitectura del sueno:",)
 CPAP_DOC = [
     Field(
         "nombre_paciente",
-        r"\n(?: del paciente)?{sep}({words})(?={sep}edad\b)",
+        r"\n(?: del paciente)?{sep}({words})(?={sep}edad{end})",
         pieces=r"nombre((?: del paciente)?{sep}"
-        r"(?:(?!nombre(?: del paciente)? ?[:|](?! ?edad\b))[\w -])*+(?:[:|]? ?edad\b)?+)",
+        r"(?:(?!nombre(?: del paciente)? ?[:|](?! ?edad\b))[\w -])*+(?:[:|]? ?edad\b)?+\W?+)",
     ),
     Field("edad_paciente", "edad{sep}({num})"),
     Field("medida_edad_paciente", r"edad{sep}\d+ ?(anos|meses)\b", cased=True),

@@ -68,7 +68,7 @@ def model(spec, text, kind):
         return (found[1] or None) if found else None
     prefix = "".join(f"{m}.*?" for m in spec.after)
     suffix = ""
-    pattern = expand(spec.pattern)
+    pattern = expand(spec.pattern).replace(r"[^\d\n]", r"\D")
     if spec.before is not None:
         suffix = f"(?=.*{spec.before})"
         pattern = pattern.replace(r"(?: |\z)", f"(?= |{spec.before})").replace(
@@ -248,7 +248,7 @@ CLOSINGS = "edad Edad peso talla imc empresa eps |Empresa |Edad Empresa |Fecha F
 
 def seconds(spark, extractor, n):
     """Openings behind, before and around their closing words, the last ones with something in between, too."""
-    texts = []
+    texts = [f"nombre: {'id ' * n}5 edad", f"nombre: edad {'id ' * n}5 x edad", f"nombre: {'id: ' * n}; 5 edad {'cc ' * n} 7 edad"]
     for opening in OPENINGS:
         many = " ".join([opening] * (n // len(opening.split())))
         texts += [many, f"{CLOSINGS} {many}", f"{many} {CLOSINGS}", f"{many} ; {CLOSINGS} {many}", f"mascara tamano {many} 7 {CLOSINGS}"]
@@ -270,7 +270,7 @@ def test_repeated_opening_words_are_linear(spark, extractor):
 NAMES = [
     "nombre", "Nombre", "nombre:", "Nombre:", "Nombre |", "nombre|", "Nombre del paciente", "nombre del paciente:", "edad",
     "Edad", "|Edad", "|edad", ": edad", "edades", "ANA", "ana-maria", ";", "|", "5", "12,5", "7", "CPAP es marca", "bipap es marca X",
-    "y se utilizo mascara", "latencia de sueno fue", "durante el sueno", "durante sueno", "peso", "70 kg", "talla", "imc", "id",
+    "y se utilizo mascara", "cc: 5", "ti", "id a5b", "nombre: x", "latencia de sueno fue", "durante el sueno", "durante sueno", "peso", "70 kg", "talla", "imc", "id",
     "solicita", "Solicita: Z", "empresa", "|Empresa", "Empresa", "Fecha", "|Fecha", "(ref. R", ")", "mascara tamano",
 ]
 
