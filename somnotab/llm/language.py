@@ -46,7 +46,7 @@ _LENGTH = 32
 _ROUNDS = 40
 _STEP = 32
 #: Characters of text handled together.
-_CHARS = 1 << 21
+_CHARS = 1 << 19
 
 
 def words_of(text: str | None) -> list[str]:
