@@ -101,13 +101,19 @@ class Template:
         return f"select {self.key} as doc_id, {values} from {self.table}"
 
 
+# Fixed value: rows of which one task makes the reports or the cells; 50,000 workbooks are 1.35 million cells,
+# which a task sorts in memory.
+ROWS_PER_TASK = 50_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small test file over all cores.
+    """Rows of a test file over all cores, and over more tasks the more rows there are.
 
     A report is a thousand times the size of the row it is rendered from, and a file of one row
-    group is read by one task.
+    group is read by one task. What a task makes must not grow with the table, or its sorts spill.
     """
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    tasks = -(-rows.count() // ROWS_PER_TASK)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism))
 
 
 NAME = "replace(c_name, '#', ' ')"
