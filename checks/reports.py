@@ -605,7 +605,7 @@ def all_reports(spark: SparkSession, folder: str) -> DataFrame:
     The fence keeps the rendering from being copied into the filters of what follows.
     """
     every = F.explode(F.sequence(F.lit(0), F.lit(len(TEMPLATES) - 1))).alias("_kind")
-    rows = spread(spark.read.parquet(f"{folder}/customer.parquet").select("*", every))
+    rows = spread(spark.read.parquet(f"{folder}/customer.parquet")).select("*", every)
     kind = F.col("_kind")
     named = rows.select("*", (F.col(K) * 100 + kind).alias("doc_id"))
     chosen = {"path": None, "ext": None, "_text": None}

@@ -51,6 +51,11 @@ def phrase_key(normal: Column) -> Column:
     return F.lower(F.replace(normal, F.lit("İ"), F.lit("i")))
 
 
+def marker_key(key: Column) -> Column:
+    """The phrase key as a search that ignores case reads it: ``ı`` is ``i``, and ``ſ`` is ``s``."""
+    return F.replace(F.replace(key, F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
+
+
 def unfolded_pattern(words: tuple[str, ...]) -> str:
     """Pattern that finds folded, lower-case words in raw text, whatever its accents and case.
 
@@ -75,16 +80,34 @@ def contains_any(key: Column, phrases: tuple[str, ...]) -> Column:
     return test
 
 
-def slice_between(normal: Column, start: str | None, end: str) -> Column:
+def slice_between(normal: Column, start: str | None, end: str, key: Column | None = None) -> Column:
     """Text after the first ``start`` marker and before the first ``end`` marker after it.
 
     ``start=None`` means the beginning of the text. The result is trimmed, and empty when a
     marker is absent or nothing lies between them. If no end follows the first start then no
     end follows a later one either, so the end is looked for once, from the first start on: a
     text that repeats the start and lacks the end is read twice, not once per start.
+
+    Markers are lower case. They are looked for in the text's marker key (``key``, if there is a
+    column of it), which is as long as the text, so that a place in one is a place in the other.
     """
-    rest = normal if start is None else text_after(normal, f"(?:{start})", "iU")
-    return F.trim(F.regexp_extract(rest, f"(?isU)\\A(.*?)(?:{end})", 1))
+    key = marker_key(phrase_key(normal)) if key is None else key
+    # A lambda holds what is looked at more than once, so that it is cut once.
+    rests = F.array(key) if start is None else F.slice(F.split(key, start, 2), 2, 1)
+    cut = F.transform(
+        rests,
+        lambda rest: F.transform(
+            F.array(F.split(rest, end, 2)),
+            lambda parts: F.when(
+                F.size(parts) == 2,
+                F.substring(
+                    normal, F.length(normal) - F.length(rest) + 1, F.length(F.get(parts, F.lit(0)))
+                ),
+            ),
+        ),
+    )
+    found = F.get(F.flatten(cut), F.lit(0))
+    return F.when(normal.isNotNull(), F.coalesce(F.trim(found), F.lit("")))
 
 
 def text_after(text: Column, marker: str, flags: str) -> Column:

@@ -17,21 +17,29 @@ NO_SLICE = "no_slice"
 NO_EXTRACTOR = "no_extractor"
 
 
-def exam_labels(key: Column, exams: tuple[Exam, ...] = EXAMS) -> Column:
-    """Array of the exam labels found in a lower-cased normal form, in recognition order.
+def label_hits(key: Column, exams: tuple[Exam, ...] = EXAMS) -> Column:
+    """The exam labels in recognition order, NULL for those not found in a lower-cased normal form."""
+    hits = [F.when(tx.contains_any(key, exam.phrases), F.lit(exam.label)) for exam in exams]
+    return F.array(*hits)
+
 
-    A report may carry several labels; one without any gets the unknown label.
+def exam_labels(hits: Column) -> Column:
+    """Array of the exam labels that were hit, in recognition order.
+
+    A report may carry several labels; one without any gets the unknown label. The hits must be
+    a column: searches inside ``array_compact`` would not be compiled.
     """
-    hits = [F.when(tx.contains_any(key, exam.phrases), F.lit(exam.label)) for exam in exams]
-    found = F.array_compact(F.array(*hits))
+    found = F.array_compact(hits)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(UNKNOWN)))
 
 
-def exam_slice(label: Column, normal: Column, exams: tuple[Exam, ...] = EXAMS) -> Column:
+def exam_slice(
+    label: Column, normal: Column, exams: tuple[Exam, ...] = EXAMS, key: Column | None = None
+) -> Column:
     """The section of the text that belongs to the label; empty when it cannot be cut."""
     cut = None
     for exam in exams:
-        section = tx.slice_between(normal, exam.start, exam.end)
+        section = tx.slice_between(normal, exam.start, exam.end, key)
         matches = label == exam.label
         cut = F.when(matches, section) if cut is None else cut.when(matches, section)
     return cut
@@ -43,7 +51,7 @@ def with_normal_text(reports: DataFrame) -> DataFrame:
 
 
 def with_labels(reports: DataFrame) -> DataFrame:
-    """Replace ``text`` by its normal form and add ``labels``.
+    """Replace ``text`` by its normal form and add ``labels`` and the marker key ``_marker_key``.
 
     ``labels`` is NULL for files that are not read or could not be decoded. Every phrase holds
     one of a few hint words, and one search of the raw text for these tells most foreign
@@ -56,13 +64,15 @@ def with_labels(reports: DataFrame) -> DataFrame:
         reports.withColumn("readable", F.coalesce(readable, F.lit(False)))
         .withColumn("normal", F.when(F.col("readable") & hinted, tx.normalize(F.col("text"))))
         .withColumn("_key", tx.phrase_key(F.col("normal")))
+        .withColumn("_hits", label_hits(F.col("_key")))
         .withColumn(
             "labels",
-            F.when(F.col("_key").isNotNull(), exam_labels(F.col("_key"))).when(
+            F.when(F.col("_key").isNotNull(), exam_labels(F.col("_hits"))).when(
                 F.col("readable"), F.array(F.lit(UNKNOWN))
             ),
         )
-        .drop("_key", "readable", "text")
+        .withColumn("_marker_key", tx.marker_key(F.col("_key")))
+        .drop("_key", "_hits", "readable", "text")
     )
 
 
@@ -95,7 +105,8 @@ def label_and_slice(reports: DataFrame) -> DataFrame:
     once, before the explode, and dropped after the section is cut.
     """
     exploded = explode_labels(with_labels(reports)).withColumn("ext", F.lower("ext"))
-    cut = exploded.withColumn("_cut", exam_slice(F.col("exam_type"), F.col("normal")))
+    section = exam_slice(F.col("exam_type"), F.col("normal"), key=F.col("_marker_key"))
+    cut = exploded.withColumn("_cut", section).drop("_marker_key")
     section = tx.blank_to_null(F.col("_section"))
     return (
         computed_once(cut.drop("normal"), "_cut", "_section")
