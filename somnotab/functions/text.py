@@ -56,6 +56,21 @@ def marker_key(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
 
 
+def is_ascii(text: Column) -> Column:
+    """True when every character is ASCII, so that no key needs a replacement."""
+    return F.octet_length(text) == F.length(text)
+
+
+def openings(key: Column, word: str, length: int) -> Column:
+    """What begins with ``word`` in the key, ``length`` characters of each place, joined by line feeds.
+
+    A phrase of at most that length that begins with the word is in the key if it is in here: one search of
+    the key serves all such phrases. The normal form has no line feeds, and places may overlap.
+    """
+    found = F.regexp_extract_all(key, F.lit(f"(?s){word}(?=(.{{0,{length - len(word)}}}))"), F.lit(1))
+    return F.concat(F.lit(word), F.array_join(found, f"\n{word}"))
+
+
 def unfolded_pattern(words: tuple[str, ...]) -> str:
     """Pattern that finds folded, lower-case words in raw text, whatever its accents and case.
 

@@ -21,33 +21,31 @@ LEVELS = {
 }
 
 
-def _missing_fields() -> Column:
-    """Names of the row's own fields that have no value in ``record``."""
+def _own_fields() -> Column:
+    """Names of the row's own fields, in the order of ``record``."""
     names = None
     for extractor in EXTRACTORS:
         mine = (F.col("exam_type") == extractor.exam) & (F.col("ext") == extractor.ext)
         own = F.array(*[F.lit(c) for c in extractor.columns])
         names = F.when(mine, own) if names is None else names.when(mine, own)
-    return F.filter(names, lambda name, i: F.get("record", i).isNull())
+    return names
 
 
 def audit(extracted: DataFrame) -> DataFrame:
     """``(doc_id, exam_type, level, reason, field)`` from the output of ``extract_all``.
 
-    One narrow scan: a row yields either its own failed status or one line per missing field.
+    One narrow scan: a row yields either its own failed status or one line per missing field. A record has at
+    least one field, so a row without a place is one without a record.
     """
-    missing = F.transform(
-        _missing_fields(),
-        lambda name: F.struct(F.lit(MISSING_FIELD).alias("reason"), name.alias("field")),
+    values = extracted.select(
+        "doc_id", "exam_type", "ext", "status", F.posexplode_outer("record").alias("place", "value")
     )
-    failed = F.array(
-        F.struct(F.col("status").alias("reason"), F.lit(None).cast("string").alias("field"))
-    )
-    lines = F.when(F.col("record").isNotNull(), missing).otherwise(failed)
+    failed = F.col("place").isNull()
     level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
     return (
-        extracted.select("doc_id", "exam_type", F.explode(lines).alias("line"))
-        .select("doc_id", "exam_type", "line.reason", "line.field")
+        values.where(F.col("value").isNull())
+        .withColumn("reason", F.when(failed, F.col("status")).otherwise(MISSING_FIELD))
+        .withColumn("field", F.when(~failed, F.get(_own_fields(), F.col("place"))))
         .select("doc_id", "exam_type", level[F.col("reason")].alias("level"), "reason", "field")
     )
 

@@ -8,7 +8,8 @@ An extractor is a list of field specs; the work is three projections over one ro
 
 Keeping them apart matters. Catalyst does not inline an expensive expression that is used
 more than once, so a region is searched by all its fields but cut once, and step 3, which
-looks at a value twice, does not run the search twice.
+looks at a value twice, does not run the search twice. Where step 3 is a lambda, a fence keeps the
+searches out of it: nothing inside a lambda is compiled.
 """
 
 from __future__ import annotations
@@ -125,13 +126,13 @@ class _Projections:
         return [self._of_extractor(extractor, c).alias(c) for c in extractor.columns]
 
     def record(self) -> Column:
-        """Values of the row's own extractor, in its column order, as one array."""
+        """Texts found by the row's own extractor, in its column order, as one array; empty where there is none."""
         result = None
         for number, extractor in enumerate(self.extractors):
             mine = F.col("_extractor") == number
             values = F.array(*[self._of_extractor(extractor, c) for c in extractor.columns])
             result = F.when(mine, values) if result is None else result.when(mine, values)
-        return F.transform(result, tx.blank_to_null)
+        return result
 
 
 def _all_fields(extractor: Extractor) -> list[Field]:
@@ -196,7 +197,9 @@ def extract_all(
     work = _Projections(section, extractors, dispatch=True)
     keep = [c for c in slices.columns if c != section]
     rows = _with_regions(slices.withColumn("_extractor", number), work)
-    return computed_once(rows.select(*keep, work.record().alias("_record")), "_record", "record")
+    found = computed_once(rows.select(*keep, work.record().alias("_texts")), "_texts", "_found")
+    record = F.transform("_found", tx.blank_to_null)
+    return computed_once(found.select(*keep, record.alias("_record")), "_record", "record")
 
 
 def records_of(extracted: DataFrame, exam: str, ext: str) -> DataFrame:

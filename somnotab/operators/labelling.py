@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somnotab.functions import text as tx
-from somnotab.specs.exams import EXAMS, EXTRACTORS, HINT_WORDS, READABLE, UNKNOWN, Exam
+from somnotab.specs.exams import EXAMS, EXTRACTORS, HINT_WORDS, OPENING, READABLE, UNKNOWN, Exam
 
 # Outcome of a (report, label) row.
 OK = "ok"
@@ -17,9 +17,22 @@ NO_SLICE = "no_slice"
 NO_EXTRACTOR = "no_extractor"
 
 
-def label_hits(key: Column, exams: tuple[Exam, ...] = EXAMS) -> Column:
-    """The exam labels in recognition order, NULL for those not found in a lower-cased normal form."""
-    hits = [F.when(tx.contains_any(key, exam.phrases), F.lit(exam.label)) for exam in exams]
+def label_openings(key: Column, exams: tuple[Exam, ...] = EXAMS) -> Column:
+    """What begins with the opening word in a lower-cased normal form, as far as a phrase can reach."""
+    longest = max(len(phrase) for exam in exams for phrase in exam.phrases)
+    return tx.openings(key, OPENING, max(longest, len(OPENING)))
+
+
+def label_hits(key: Column, exams: tuple[Exam, ...] = EXAMS, openings: Column | None = None) -> Column:
+    """The exam labels in recognition order, NULL for those not found in a lower-cased normal form.
+
+    Phrases that begin with the opening word are looked for in ``openings``, if there is a column of them.
+    """
+    hits = []
+    for exam in exams:
+        opened = openings is not None and all(p.startswith(OPENING) for p in exam.phrases)
+        found = tx.contains_any(openings if opened else key, exam.phrases)
+        hits.append(F.when(found, F.lit(exam.label)))
     return F.array(*hits)
 
 
@@ -63,16 +76,24 @@ def with_labels(reports: DataFrame) -> DataFrame:
     return (
         reports.withColumn("readable", F.coalesce(readable, F.lit(False)))
         .withColumn("normal", F.when(F.col("readable") & hinted, tx.normalize(F.col("text"))))
-        .withColumn("_key", tx.phrase_key(F.col("normal")))
-        .withColumn("_hits", label_hits(F.col("_key")))
+        .withColumn("_ascii", tx.is_ascii(F.col("normal")))
+        .withColumn(
+            "_key",
+            F.when(F.col("_ascii"), F.lower("normal")).otherwise(tx.phrase_key(F.col("normal"))),
+        )
+        .withColumn("_openings", label_openings(F.col("_key")))
+        .withColumn("_hits", label_hits(F.col("_key"), openings=F.col("_openings")))
         .withColumn(
             "labels",
             F.when(F.col("_key").isNotNull(), exam_labels(F.col("_hits"))).when(
                 F.col("readable"), F.array(F.lit(UNKNOWN))
             ),
         )
-        .withColumn("_marker_key", tx.marker_key(F.col("_key")))
-        .drop("_key", "_hits", "readable", "text")
+        .withColumn(
+            "_marker_key",
+            F.when(F.col("_ascii"), F.col("_key")).otherwise(tx.marker_key(F.col("_key"))),
+        )
+        .drop("_ascii", "_key", "_openings", "_hits", "readable", "text")
     )
 
 

@@ -61,6 +61,9 @@ EXAMS = (
 # Words of which every recognition phrase holds at least one.
 HINT_WORDS = ("informe", "estadisticas")
 
+# Fixed value: the word most recognition phrases begin with.
+OPENING = "informe"
+
 
 @dataclass(frozen=True)
 class Extractor:

@@ -332,3 +332,31 @@ def test_filters_do_not_repeat_the_search(spark):
     filters = [line for line in plan.split("\n") if "Filter" in line.split("(")[0] or " Filter " in line]
     assert filters and not any("regexp_extract" in line for line in filters)
     assert "Exchange" not in plan
+
+
+def test_searches_of_records_are_compiled(spark):
+    """Spark interprets what stands inside a lambda and its array; no search does, and the audit has no lambda of its own."""
+    slices = spark.createDataFrame(
+        [(1, "doc", "BASAL", "x", "ok")], "doc_id long, ext string, exam_type string, section string, status string"
+    )
+    records = ex.extract_all(slices)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    audited = au.audit(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" in plan and "transform(" in plan
+    assert "regexp_extract(" not in plan.split("transform(", 1)[1].split("lambdafunction", 1)[0]
+    assert "filter(" not in audited
+
+
+def test_audit_lines_of_lost_fields_and_failed_rows(spark):
+    columns = extractor_for("AUTOCPAP", "docx").columns
+    values = [None if i in (0, 3, len(columns) - 1) else "x" for i in range(len(columns))]
+    full = ["x"] * len(columns)
+    rows = [
+        (1, "docx", "AUTOCPAP", "ok", values),
+        (2, "docx", "AUTOCPAP", "ok", full),
+        (3, "pdf", None, "unsupported_ext", None),
+    ]
+    schema = "doc_id long, ext string, exam_type string, status string, record array<string>"
+    lines = {tuple(r) for r in au.audit(spark.createDataFrame(rows, schema)).collect()}
+    lost = {(1, "AUTOCPAP", "WARNING", "missing_field", columns[i]) for i in (0, 3, len(columns) - 1)}
+    assert lines == lost | {(3, None, "WARNING", "unsupported_ext", None)}

@@ -15,6 +15,32 @@ def test_phrase_searches_are_compiled(spark):
     assert not any("Contains(" in line.split("filter(", 1)[1].split("lambda", 1)[0] for line in compacted)
 
 
+def test_phrases_are_looked_for_where_the_opening_word_stands(spark):
+    """One search of the text for the word; the same labels as a search for every phrase."""
+    phrases = [phrase for exam in EXAMS for phrase in exam.phrases]
+    texts = [None, "", "informe", "informe de polisomnografia", *phrases]
+    for phrase in phrases:
+        texts += [f"informe informe de {phrase}", f"informe{phrase}", f"{phrase[:-1]} {phrase[-1]}", f"{phrase} y {phrases[0]}"]
+    keys = spark.createDataFrame([(t,) for t in texts], "key string")
+    opened = keys.withColumn("opened", lb.label_openings(F.col("key")))
+    both = opened.select(
+        lb.label_hits(F.col("key")).alias("a"), lb.label_hits(F.col("key"), openings=F.col("opened")).alias("b")
+    )
+    assert both.where("not (a <=> b)").collect() == [] and both.where("exists(b, x -> x is not null)").count() >= len(phrases)
+    reports = spark.createDataFrame([(1, "/a", "doc", "x")], "doc_id long, path string, ext string, text string")
+    plan = lb.with_labels(reports)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(_key") == 1
+
+
+def test_keys_are_the_same_with_and_without_replacements(spark):
+    texts = ["informe abc", "informe İ ı ſ K", "informe º ÁÉ", "INFORME ñandú 😀"]
+    rows = [(i, "/a", "doc", t) for i, t in enumerate(texts)]
+    labelled = lb.with_labels(spark.createDataFrame(rows, "doc_id long, path string, ext string, text string"))
+    key = tx.marker_key(tx.phrase_key(F.col("normal")))
+    assert labelled.where("_marker_key is not null").count() == len(texts)
+    assert labelled.where(~F.col("_marker_key").eqNullSafe(key)).collect() == []
+
+
 def test_sections_equal_a_search_that_ignores_case(spark):
     """Letters that fold to i, s and k, signs beyond the basic plane, and markers that touch or lack."""
     pieces = ["Nombre ANA \U0001f600 ", "İıſK", " x "]
