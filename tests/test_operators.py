@@ -2,7 +2,11 @@
 
 import csv
 import io
+import json
+import os
 import random
+import subprocess
+import sys
 from datetime import date, datetime, timedelta, timezone
 from urllib.parse import unquote
 
@@ -201,6 +205,62 @@ def test_workbooks(spark, tmp_path):
     }
 
 
+def test_cells_in_any_order_are_merged(spark):
+    """Cells of a file in many batches and tasks, repeated, nobody's, without value, cell or file: the greatest value of each."""
+    source = random.Random(5)
+    files = [None, "", *(f"/w/{i}.xlsx" for i in range(30))]
+    values = [None, "", "a", "B", "\u00e9", "\U0001f600", "\uffff", "10", "9"]
+    rows = [
+        (source.choice(files), source.choice([None, "ZZ9", *wb.CELLS]), source.choice(values)) for _ in range(3000)
+    ] + [("nada", "ZZ9", "x"), ("vacio", "G9", None), (None, None, None)]
+    cells = spark.createDataFrame(rows, "file string, cell string, value string").repartition(3)
+    wanted = {}
+    for file, cell, value in rows:
+        found = wanted.setdefault(file, dict.fromkeys(wb.CELLS))
+        if cell in found and value is not None:
+            found[cell] = max([v for v in (found[cell], value) if v is not None], key=str.encode)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (7, 10_000):
+            spark.conf.set(size, n)
+            got = [r.asDict() for r in workbook.pivot_cells(cells).collect()]
+            assert {r.pop("file"): r for r in got} == wanted and len(got) == len(wanted)
+    finally:
+        spark.conf.set(size, before)
+    assert workbook.pivot_cells(cells.where("false")).collect() == []
+
+
+_ONE_TASK_OF_CELLS = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from somnotab.operators import workbook
+from somnotab.specs import workbook as wb
+log = sys.argv[1]
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+    .config("spark.shuffle.spill.numElementsForceSpillThreshold", "5000").config("spark.eventLog.enabled", "true")
+    .config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.compress", "false")
+    .config("spark.eventLog.dir", "file://" + log).getOrCreate())
+sheet = F.explode(F.array(*[F.lit(c) for c in wb.CELLS])).alias("cell")
+cells = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("/w/"), "id").alias("file"), sheet, F.col("id").cast("string").alias("value"))
+assert workbook.pivot_cells(cells).where("G6 = H5").count() == 2000
+spark.stop()
+"""
+
+
+def test_a_task_sorts_files_not_cells(tmp_path):
+    """48,000 cells of 2,000 workbooks in one task, where a sort of over 5,000 rows is spilled: none is."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run(
+        [sys.executable, "-c", _ONE_TASK_OF_CELLS, str(tmp_path)],
+        cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300,
+    )
+    assert run.returncode == 0, run.stderr[-2000:]
+    (log,) = tmp_path.iterdir()
+    ends = [e for e in map(json.loads, log.read_text().splitlines()) if e["Event"] == "SparkListenerTaskEnd"]
+    assert ends and sum(e["Task Metrics"]["Disk Bytes Spilled"] for e in ends) == 0
+
+
 def test_workbook_names(values):
     names = ["X EGRESO.xlsx", "SEGUIMIENTO 2.xlsx", "egreso.xlsx", "EGRESO.XLSX", "EGRESO.xls"]
     assert values(workbook.is_rehab_workbook, names) == [True, True, False, False, False]
